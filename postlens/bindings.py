@@ -10,6 +10,8 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
+from postlens.session import spread
+
 TODAY = date(2026, 9, 1)
 
 _BASE = "CAST(floor(doc_id / 3) AS BIGINT)"
@@ -99,4 +101,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def postings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = POSTINGS_RAW_SQL.replace("FROM documents)", "FROM {documents})")
-    return spark.sql(sql, documents=table(spark, sf_dir, "documents"))
+    return spark.sql(sql, documents=spread(table(spark, sf_dir, "documents")))

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postlens.functions.text import squash
+from postlens.functions.text import let, squash
 
 _MONTH = (
     "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|"
@@ -76,6 +76,10 @@ def parse_posted_date(raw: Column, today: date, legacy_dayfirst: bool = False) -
     at most 12, the way a day-first parser reads them.
     """
     text = F.lower(squash(F.coalesce(raw, F.lit(""))))
+    return let(text, lambda t: _read(t, today, legacy_dayfirst))
+
+
+def _read(text: Column, today: date, legacy_dayfirst: bool) -> Column:
     base = F.lit(today)
 
     def ago(unit: str, days: int) -> Column:
@@ -95,7 +99,7 @@ def parse_posted_date(raw: Column, today: date, legacy_dayfirst: bool = False) -
         .when(relative & has("day"), ago("day", 1))
         .when(relative & has("week"), ago("week", 7))
         .when(relative & has("month"), ago("month", 30))
-        .otherwise(_absolute(cleaned, today, legacy_dayfirst))
+        .otherwise(let(cleaned, lambda t: _absolute(t, today, legacy_dayfirst)))
     )
 
 

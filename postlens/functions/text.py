@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -11,22 +12,20 @@ from postlens.packs import food_au as pack
 
 # The Unicode white space set, spelled out because ``\s`` alone is ASCII in Java and RE2.
 WS = r"[\t-\r\x1C-\x20\x85\p{Z}]"
-# Members of the set other than blank, tab and line ends.
-_RARE_WS = r"[\x0B\x0C\x1C-\x1F\x85\p{Z}&&[^ ]]"
+# Runs that need rewriting: any with white space other than a blank, or two blanks and more.
+_WS_RUN = r" *[\t-\r\x1C-\x1F\x85\p{Z}&&[^ ]]" + WS + r"*| {2,}"
 _NOT_WORD = r"[^\p{L}\p{N}_\s]"
 _TRAILING_GROUPS = r"(?:[\(\[\{][^\)\]\}]*[\)\]\}]" + WS + r"*)+$"
 
 
-def squash(text: Column) -> Column:
-    """Collapse white space runs to one blank and trim.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Name an intermediate value: it is computed once and appears once in the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
-    Byte-level replacement covers the common white space; the regexes run only on texts
-    that hold rare white space or a double blank.
-    """
-    for c in "\n\t\r":
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    text = F.when(text.rlike(_RARE_WS), F.regexp_replace(text, _RARE_WS, " ")).otherwise(text)
-    return F.trim(F.when(text.contains("  "), F.regexp_replace(text, " {2,}", " ")).otherwise(text))
+def squash(text: Column) -> Column:
+    """Collapse white space runs to one blank and trim."""
+    return F.trim(F.regexp_replace(text, _WS_RUN, " "))
 
 
 def blank_to_null(text: Column) -> Column:
@@ -40,36 +39,32 @@ def decode_entities(text: Column) -> Column:
     """Decode HTML entities once, left to right; unknown ones stay as they are."""
     table = F.create_map(*[F.lit(x) for pair in _ENTITIES.items() for x in pair])
 
-    def decode(part: Column) -> Column:
+    def named(part: Column, position: Column) -> Column:
         name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        code = F.when(
-            F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substring(name, 3, 8), 16, 10).cast("int")
-        ).when(F.substring(name, 1, 1) == "#", F.substring(name, 2, 8).cast("int"))
-        valid = (code > 0) & (code < 0x110000)
-        utf16 = F.when(
-            code < 0x10000,
-            F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE"),
-        ).otherwise(
-            F.decode(
-                F.unhex(
-                    F.concat(
-                        F.hex(F.lit(0xD800) + F.floor((code - 0x10000) / 0x400).cast("int")),
-                        F.hex(F.lit(0xDC00) + (code - 0x10000) % 0x400),
-                    )
-                ),
-                "UTF-16BE",
-            )
+        return F.struct(part.alias("part"), (position == 0).alias("first"), name.alias("name"))
+
+    def numbered(p: Column) -> Column:
+        name = p["name"]
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10).cast("int")).when(
+            name.startswith("#"), F.substring(name, 2, 8).cast("int")
         )
-        char = F.when(valid, utf16).otherwise(F.try_element_at(table, name))
-        rest = F.substr(part, F.length(name) + 2)
-        return F.when((name != "") & char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))
-
-    parts = F.split(text, "&", -1)
-    decoded = F.concat(
-        F.element_at(parts, 1),
-        F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decode), ""),
-    )
-    return F.when(F.instr(text, "&") > 0, decoded).otherwise(text)
+        return F.struct(p["part"].alias("part"), p["first"].alias("first"), name.alias("name"), code.alias("code"))
+
+    def decoded(p: Column) -> Column:
+        code, above = p["code"], p["code"] - 0x10000
+        pair = F.concat(
+            F.hex(F.lit(0xD800) + F.shiftright(above, 10)), F.hex(F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF)))
+        )
+        units = F.when(code < 0x10000, F.lpad(F.hex(code), 4, "0")).otherwise(pair)
+        char = F.when((code > 0) & (code < 0x110000), F.decode(F.unhex(units), "UTF-16BE")).otherwise(
+            F.try_element_at(table, p["name"])
+        )
+        rest = F.substr(p["part"], F.length(p["name"]) + 2)
+        plain = F.concat(F.lit("&"), p["part"])
+        return F.when(p["first"], p["part"]).otherwise(F.coalesce(F.concat(char, rest), plain))
+
+    parts = F.transform(F.transform(F.split(text, "&", -1), named), numbered)
+    return F.array_join(F.transform(parts, decoded), "")
 
 
 # Head, comments and raw-text elements carry no visible text.
@@ -81,9 +76,7 @@ _INVISIBLE = (
 def clean_text(html: Column) -> Column:
     """Visible text of an HTML fragment or plain string; '' for NULL."""
     text = F.coalesce(html, F.lit(""))
-    stripped = F.when(
-        (F.instr(text, "<") > 0) & (F.instr(text, ">") > 0), F.regexp_replace(text, _INVISIBLE, " ")
-    ).otherwise(text)
+    stripped = F.when(text.contains("<"), F.regexp_replace(text, _INVISIBLE, " ")).otherwise(text)
     return squash(decode_entities(stripped))
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -17,3 +22,30 @@ def cosine(a: Column, b: Column) -> Column:
     value = _dot(a, b) / F.nullif(norm, F.lit(0.0))
     bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(value, F.lit(0.0))))
     return F.when(a.isNotNull() & b.isNotNull(), bounded)
+
+
+def with_cosine(df: DataFrame, vector: str, profile: Sequence[float], name: str = "similarity") -> DataFrame:
+    """Replace ``vector`` by its cosine to one profile vector; NULL vectors give NULL.
+
+    Batches go to numpy over Arrow, where one matrix product per batch beats evaluating an
+    expression per element several times over. The profile is a single vector, so it
+    travels with the task.
+    """
+    unit = np.asarray(profile, dtype="float64")
+    norm = np.linalg.norm(unit)
+    keep = [c for c in df.columns if c != vector]
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(name, T.DoubleType())])
+
+    def similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(vector)
+            rows = np.asarray(column.flatten(), dtype="float64").reshape(-1, len(unit))
+            lengths = np.linalg.norm(rows, axis=1) * norm
+            cosines = np.divide(rows @ unit, lengths, out=np.zeros(len(rows)), where=lengths > 0)
+            values = np.full(len(column), np.nan)
+            present = np.asarray(column.is_valid())
+            values[present] = np.clip(cosines, -1.0, 1.0)
+            result = pa.array(values, mask=~present)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], result], names=[*keep, name])
+
+    return df.select(*keep, vector).mapInArrow(similarities, schema)

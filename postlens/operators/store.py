@@ -109,7 +109,7 @@ def repair_orphans(stored: DataFrame, hot_rows: int | None = None) -> DataFrame:
 def embedding_reuse(batch: DataFrame, vectors: DataFrame) -> DataFrame:
     """Attach a stored vector of the identical posting text, NULL where it must be computed."""
     key = ["normalized_title", "company_name", "description_hash"]
-    known = vectors.where("embedding is not null").groupBy(*key).agg(F.min_by("embedding", "id").alias("embedding"))
+    known = vectors.where("embedding is not null").groupBy(*key).agg(F.min_by("embedding", F.struct("id", "seq")).alias("embedding"))
     return batch.join(known, key, "left")
 
 

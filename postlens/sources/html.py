@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postlens.functions import urls
 from postlens.functions.text import blank_to_null, clean_text, title_tail_location
@@ -138,7 +139,7 @@ def board_postings(found: DataFrame, source: str, base: str) -> DataFrame:
     ).where((F.col("title") != "") & (F.col("apply_url") != ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _object_at(text: pd.Series, start: pd.Series) -> pd.Series:
     return pd.Series(
         [html_tree.balanced_object(t, s - 1) if t is not None and s > 0 else None for t, s in zip(text, start)]
