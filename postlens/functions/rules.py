@@ -1,14 +1,13 @@
-"""Compilers from rule data to Catalyst expressions.
+"""Compilers from rule data to expressions.
 
-All of them return plain columns: ordered first-match rules, multi-label pattern sets,
-gazetteers, point tables and bands.
+Rule tables become SQL text (``*_sql``, handed to ``F.expr`` as a whole, since building a
+table of hundreds of patterns call by call costs more than running it): ordered first-match
+rules, multi-label pattern sets, gazetteers, point tables and bands.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,7 +63,17 @@ def required_literal(pattern: str) -> str:
     return max([*runs, run], key=len)
 
 
-def matches(text: Column, pattern: str) -> Column:
+def text_literal(text: str) -> str:
+    quote = '"' if "'" in text else "'"
+    return f"r{quote}{text}{quote}"
+
+
+def let_sql(value: str, name: str, body: str) -> str:
+    """Name an intermediate value: it is computed once and appears once in the plan."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def matches_sql(text: str, pattern: str) -> str:
     """Does the regex occur in the text? Word boundaries and classes are Unicode-aware.
 
     Scanning for the required literal costs a fraction of running the regex, so the regex
@@ -74,11 +83,11 @@ def matches(text: Column, pattern: str) -> Column:
     for part in split_alternatives(pattern):
         literal = required_literal(part)
         if literal == part:
-            tests.append(text.contains(part))
+            tests.append(f"contains({text}, {text_literal(part)})")
             continue
-        regex = text.rlike("(?U)" + part)
-        tests.append(text.contains(literal) & regex if literal else regex)
-    return reduce(or_, tests)
+        regex = f"{text} RLIKE {text_literal('(?U)' + part)}"
+        tests.append(f"(contains({text}, {text_literal(literal)}) AND {regex})" if literal else regex)
+    return " OR ".join(tests)
 
 
 def any_match(text: Column, patterns: Iterable[str]) -> Column:
@@ -86,79 +95,83 @@ def any_match(text: Column, patterns: Iterable[str]) -> Column:
     return text.rlike("(?U)" + "|".join(patterns))
 
 
-def any_match_long(text: Column, patterns: Iterable[str]) -> Column:
+def any_match_sql(text: str, patterns: Iterable[str]) -> str:
+    return f"{text} RLIKE {text_literal('(?U)' + '|'.join(patterns))}"
+
+
+def any_match_long_sql(text: str, patterns: Iterable[str]) -> str:
     """The same test for long texts, pattern by pattern behind its required literal."""
-    return reduce(or_, [matches(text, p) for p in patterns])
+    return "(" + " OR ".join(matches_sql(text, p) for p in patterns) + ")"
 
 
-def contains_any(text: Column, words: Iterable[str]) -> Column:
+def contains_any_sql(text: str, words: Iterable[str]) -> str:
     """Gazetteer lookup: does any of the plain words occur as a substring?"""
-    return text.rlike("|".join("".join("\\" + c if c in _SPECIAL else c for c in w) for w in words))
+    escaped = ("".join("\\" + c if c in _SPECIAL else c for c in w) for w in words)
+    return f"{text} RLIKE {text_literal('|'.join(escaped))}"
 
 
-def multi_label(text: Column, labels: Mapping[str, Sequence[str]]) -> Column:
+def multi_label_sql(text: str, labels: Mapping[str, Sequence[str]]) -> str:
     """Array of every label with a matching pattern, in the order of the table."""
-    return F.array_compact(
-        F.array(*[F.when(any_match_long(text, ps), F.lit(k)) for k, ps in labels.items()])
-    )
+    cases = [f"CASE WHEN {any_match_long_sql(text, ps)} THEN '{k}' END" for k, ps in labels.items()]
+    return f"array_compact(array({', '.join(cases)}))"
 
 
-def _clause(tokens: Column, text: Column, clause: Mapping, flags: Mapping[str, bool]) -> Column | None:
+def _clause_sql(tokens: str, text: str, clause: Mapping, flags: Mapping[str, bool]) -> str | None:
     if "flag" in clause and not flags.get(clause["flag"], True):
         return None
 
-    def has(word: str) -> Column:
-        return tokens.contains(f" {word} ")
+    def has(word: str) -> str:
+        return f"contains({tokens}, ' {word} ')"
 
     tests = [has(w) for w in clause.get("all", [])]
-    tests += [reduce(or_, [has(w) for w in words]) for words in clause.get("any", [])]
-    tests += [~has(w) for w in clause.get("none", [])]
+    tests += ["(" + " OR ".join(has(w) for w in words) + ")" for words in clause.get("any", [])]
+    tests += [f"NOT {has(w)}" for w in clause.get("none", [])]
     if "phrase" in clause:
-        tests.append(text.contains(clause["phrase"]))
-    return reduce(and_, tests)
+        tests.append(f"contains({text}, {text_literal(clause['phrase'])})")
+    return "(" + " AND ".join(tests) + ")"
 
 
-def first_label(cases: Iterable[tuple[str, Column | None]], default: str) -> Column:
+def first_label_sql(cases: Iterable[tuple[str, str]], default: str) -> str:
     """``CASE WHEN``: the first case that holds gives the label."""
-    held = [(label, test) for label, test in cases if test is not None]
-    label, test = held[0]
-    expr = F.when(test, F.lit(label))
-    for label, test in held[1:]:
-        expr = expr.when(test, F.lit(label))
-    return expr.otherwise(F.lit(default))
+    return "CASE " + " ".join(f"WHEN {test} THEN '{label}'" for label, test in cases) + f" ELSE '{default}' END"
 
 
-def token_rules(tokens: Column, text: Column, rules, default: str, **flags: bool) -> Column:
+def token_rules_sql(tokens: str, text: str, rules, default: str, **flags: bool) -> str:
     """Ordered rules over a padded token string (see ``text.padded_tokens``) and the raw text."""
     cases = []
     for label, clauses in rules:
-        tests = [t for t in (_clause(tokens, text, c, flags) for c in clauses) if t is not None]
-        cases.append((label, reduce(or_, tests) if tests else None))
-    return first_label(cases, default)
+        tests = [t for t in (_clause_sql(tokens, text, c, flags) for c in clauses) if t]
+        if tests:
+            cases.append((label, " OR ".join(tests)))
+    return first_label_sql(cases, default)
 
 
-def pattern_rules(subjects: Mapping[str, Callable[[Sequence[str]], Column]], rules, default: str) -> Column:
+def pattern_rules_sql(subjects: Mapping[str, Callable[[Sequence[str]], str]], rules, default: str) -> str:
     """Ordered ``(label, subject, patterns)`` rules; a subject maps patterns to a test."""
-    return first_label([(label, subjects[s](ps)) for label, s, ps in rules], default)
+    return first_label_sql([(label, subjects[s](ps)) for label, s, ps in rules], default)
 
 
-def points(label: Column, table: Mapping[str, float], default: float = 0.0) -> Column:
-    expr = F.lit(float(default))
-    for key, value in table.items():
-        expr = F.when(label == key, F.lit(float(value))).otherwise(expr)
-    return expr
+def points_sql(label: str, table: Mapping[str, float]) -> str:
+    """Points of a label, 0 for labels outside the table, NULL for NULL."""
+    arms = " ".join(f"WHEN '{key}' THEN {float(value)}D" for key, value in table.items())
+    return f"CASE WHEN {label} IS NOT NULL THEN CASE {label} {arms} ELSE 0D END END"
 
 
-def band(value: Column, bands: Iterable[tuple[float, object]], default: object) -> Column:
+def band_sql(value: str, bands: Iterable[tuple[float, object]], default: str) -> str:
     """The entry of the highest lower bound not above the value."""
+
+    def shown(entry: object) -> str:
+        return f"'{entry}'" if isinstance(entry, str) else f"{float(entry)}D"
+
     ordered = sorted(bands, key=lambda b: b[0], reverse=True)
-    expr = F.when(value >= F.lit(float(ordered[0][0])), F.lit(ordered[0][1]))
-    for lower, result in ordered[1:]:
-        expr = expr.when(value >= F.lit(float(lower)), F.lit(result))
-    return expr.otherwise(F.lit(default))
+    return "CASE " + " ".join(f"WHEN {value} >= {lo} THEN {shown(e)}" for lo, e in ordered) + f" ELSE {default} END"
 
 
-def clamp(value: Column, lo: float, hi: float) -> Column:
+def clamp_sql(value: str, lo: float, hi: float) -> str:
     """Bound a value; NULL stays NULL (``greatest``/``least`` alone would skip it)."""
+    return let_sql(value, "v", f"CASE WHEN v IS NOT NULL THEN greatest({float(lo)}D, least({float(hi)}D, v)) END")
+
+
+def clamp(value: Column, lo: float, hi: float) -> Column:
     bounded = F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), value))
     return F.when(value.isNotNull(), bounded)

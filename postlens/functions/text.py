@@ -37,7 +37,7 @@ _ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos"
 
 def decode_entities(text: Column) -> Column:
     """Decode HTML entities once, left to right; unknown ones stay as they are."""
-    table = F.create_map(*[F.lit(x) for pair in _ENTITIES.items() for x in pair])
+    table = F.expr("map(" + ", ".join(f"'{n}', '\\u{ord(c):04x}'" for n, c in _ENTITIES.items()) + ")")
 
     def named(part: Column, position: Column) -> Column:
         name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)

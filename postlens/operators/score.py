@@ -12,113 +12,113 @@ from postlens.operators import classify
 from postlens.packs import food_au as pack
 
 
-def semantic_score(similarity: Column) -> Column:
-    return rules.clamp(similarity / F.lit(pack.SEMANTIC_CEILING), 0, 1) * 100
+def _words(items) -> str:
+    return ", ".join(f"'{i}'" for i in items)
 
 
-def seniority_score(category: Column) -> Column:
-    return rules.clamp(rules.points(category, pack.SENIORITY_POINTS) * 100 / 30, 0, 100)
+def _text(value: str) -> str:
+    return rules.text_literal(value)
 
 
-def industry_score(industry_key: Column, fired: Column) -> Column:
-    earned = rules.points(industry_key, pack.INDUSTRY_POINTS)
-    for signal, value in pack.RESPONSIBILITY_POINTS.items():
-        earned = earned + F.when(F.array_contains(fired, signal), F.lit(float(value))).otherwise(F.lit(0.0))
+def semantic_score(similarity: str) -> Column:
+    return F.expr(rules.clamp_sql(f"{similarity} / {pack.SEMANTIC_CEILING}D", 0, 1) + " * 100")
+
+
+def seniority_score(category: str) -> Column:
+    return F.expr(rules.clamp_sql(f"{rules.points_sql(category, pack.SENIORITY_POINTS)} * 100 / 30", 0, 100))
+
+
+def industry_score(industry_key: str, fired: str) -> Column:
+    """Industry points plus the points of the fired responsibilities, the overlap counted once."""
+    earned = rules.points_sql("signal", pack.RESPONSIBILITY_POINTS)
+    total = f"aggregate({fired}, {rules.points_sql(industry_key, pack.INDUSTRY_POINTS)}, (acc, signal) -> acc + {earned})"
     first, counted_once = pack.AUDIT_OVERLAP
-    both = F.array_contains(fired, first) & F.array_contains(fired, counted_once)
-    overlap = F.when(both, F.lit(float(pack.RESPONSIBILITY_POINTS[counted_once]))).otherwise(F.lit(0.0))
-    return rules.clamp(earned - overlap, 0, 100)
+    overlap = (
+        f"CASE WHEN array_contains({fired}, '{first}') AND array_contains({fired}, '{counted_once}') "
+        f"THEN {float(pack.RESPONSIBILITY_POINTS[counted_once])}D ELSE 0D END"
+    )
+    return F.expr(rules.clamp_sql(f"{total} - {overlap}", 0, 100))
 
 
-def company_score(company_key: Column, is_tier1: Column) -> Column:
-    anchor = pack.COMPANY_POINTS[pack.COMPANY_ANCHOR] or 15
-    earned = rules.points(company_key, pack.COMPANY_POINTS)
-    earned = F.when(is_tier1, F.greatest(earned, F.lit(float(anchor)))).otherwise(earned)
-    return rules.clamp(earned / anchor * 100, 0, 100)
+def company_score(company_key: str, is_tier1: str) -> Column:
+    anchor = float(pack.COMPANY_POINTS[pack.COMPANY_ANCHOR] or 15)
+    earned = rules.points_sql(company_key, pack.COMPANY_POINTS)
+    lifted = rules.let_sql(earned, "p", f"CASE WHEN {is_tier1} AND p < {anchor}D THEN {anchor}D ELSE p END")
+    return F.expr(rules.clamp_sql(f"{lifted} / {anchor}D * 100", 0, 100))
 
 
-def salary_points(lo: Column, hi: Column, disclosed: Column) -> Column:
+def salary_points(lo: str, hi: str, disclosed: str) -> Column:
     """Points of the upper bound (the lower one if there is none); 0 when undisclosed."""
-    amount = F.coalesce(hi, lo)
     gap_from, gap_to = pack.SALARY_NEUTRAL_GAP
-    banded = rules.band(amount, [(b, float(p)) for b, p in pack.SALARY_BANDS], 0.0)
-    return (
-        F.when(~disclosed | amount.isNull(), F.lit(0.0))
-        .when((amount >= gap_from) & (amount < gap_to), F.lit(0.0))
-        .otherwise(banded)
+    amount = f"coalesce({hi}, {lo})"
+    banded = rules.band_sql(amount, [(b, float(p)) for b, p in pack.SALARY_BANDS], "0D")
+    return F.expr(
+        f"CASE WHEN NOT ({disclosed}) OR {amount} IS NULL THEN 0D "
+        f"WHEN {amount} >= {gap_from} AND {amount} < {gap_to} THEN 0D ELSE {banded} END"
     )
 
 
-def location_salary_score(location_key: Column, salary_pts: Column) -> Column:
-    raw = rules.points(location_key, pack.LOCATION_POINTS) + salary_pts
-    return rules.clamp((raw + 30) / 60 * 100, 0, 100)
+def location_salary_score(location_key: str, salary_pts: str) -> Column:
+    raw = f"{rules.points_sql(location_key, pack.LOCATION_POINTS)} + {salary_pts}"
+    return F.expr(rules.clamp_sql(f"({raw} + 30) / 60 * 100", 0, 100))
 
 
-def final_score(semantic: Column, seniority: Column, industry: Column, company: Column, place: Column) -> Column:
+def final_score(semantic: str, seniority: str, industry: str, company: str, place: str) -> Column:
     w = pack.WEIGHTS
-    total = (
-        F.lit(w["semantic"]) * semantic
-        + F.lit(w["seniority"]) * seniority
-        + F.lit(w["industry"]) * industry
-        + F.lit(w["company"]) * company
-        + F.lit(w["location_salary"]) * place
-    )
-    return F.round(total, 1)
+    parts = [
+        (w["semantic"], semantic), (w["seniority"], seniority), (w["industry"], industry), (w["company"], company),
+        (w["location_salary"], place),
+    ]
+    return F.expr("round(" + " + ".join(f"{weight}D * {score}" for weight, score in parts) + ", 1)")
 
 
-def priority_tier(score: Column) -> Column:
-    return F.when(score.isNotNull(), rules.band(score, pack.TIER_BANDS, "D"))
+def priority_tier(score: str) -> Column:
+    return F.expr(f"CASE WHEN {score} IS NOT NULL THEN {rules.band_sql(score, pack.TIER_BANDS, repr('D'))} END")
 
 
-def tier_rank(tier: Column) -> Column:
-    expr = F.lit(4)
-    for name, rank in pack.TIER_RANK.items():
-        expr = F.when(tier == name, F.lit(rank)).otherwise(expr)
-    return expr
+def tier_rank(tier: str) -> Column:
+    return F.expr(f"CASE {tier} " + " ".join(f"WHEN '{t}' THEN {r}" for t, r in pack.TIER_RANK.items()) + " ELSE 4 END")
 
 
-def match_reasons(
-    category: Column, is_tier1: Column, location_key: Column, salary_pts: Column, fired: Column, age_days: Column
-) -> Column:
+def match_reasons(category: str, is_tier1: str, location_key: str, salary_pts: str, fired: str, age_days: str) -> Column:
     """Texts of the alert conditions that hold, in fixed order."""
 
-    def has(*names: str) -> Column:
-        return F.arrays_overlap(fired, F.array(*[F.lit(n) for n in names]))
+    def has(*names: str) -> str:
+        return f"arrays_overlap({fired}, array({_words(names)}))"
 
-    text = pack.REASONS
+    text = {k: _text(v) for k, v in pack.REASONS.items()}
     cases = [
-        (category.isin(pack.ALERT_SENIORITY), F.concat(F.lit(text["seniority"]), F.replace(category, F.lit("_"), F.lit(" ")))),
-        (is_tier1, F.lit(text["tier1"])),
-        (location_key.isin(pack.HOME_REGION), F.lit(text["region"])),
-        (salary_pts >= 10, F.lit(text["salary"])),
-        (has("multi_site_national"), F.lit(text["multi_site"])),
-        (has("supplier_vendor_assurance", "co_packer"), F.lit(text["supplier"])),
-        (has("site_leadership", "alert_quality_systems_ownership"), F.lit(text["leadership"])),
-        (has("food_safety_cert"), F.lit(text["food_safety"])),
-        (age_days < 7, F.lit(text["fresh"])),
+        (f"{category} IN ({_words(pack.ALERT_SENIORITY)})", f"concat({text['seniority']}, replace({category}, '_', ' '))"),
+        (is_tier1, text["tier1"]),
+        (f"{location_key} IN ({_words(pack.HOME_REGION)})", text["region"]),
+        (f"{salary_pts} >= 10", text["salary"]),
+        (has("multi_site_national"), text["multi_site"]),
+        (has("supplier_vendor_assurance", "co_packer"), text["supplier"]),
+        (has("site_leadership", "alert_quality_systems_ownership"), text["leadership"]),
+        (has("food_safety_cert"), text["food_safety"]),
+        (f"{age_days} < 7", text["fresh"]),
     ]
-    return F.array_compact(F.array(*[F.when(test, reason) for test, reason in cases]))
+    return F.expr("array_compact(array(" + ", ".join(f"CASE WHEN {t} THEN {r} END" for t, r in cases) + "))")
 
 
-def resume_tips(fired: Column, category: Column) -> Column:
+def resume_tips(fired: str, category: str) -> Column:
     cases = []
     for names, categories, tip in pack.TIPS:
-        test = F.arrays_overlap(fired, F.array(*[F.lit(n) for n in names]))
+        test = f"arrays_overlap({fired}, array({_words(names)}))"
         if categories:
-            test = test | category.isin(categories)
-        cases.append(F.when(test, F.lit(tip)))
-    held = F.array_compact(F.array(*cases))
-    return F.when(F.size(held) == 0, F.array(F.lit(pack.DEFAULT_TIP))).otherwise(F.slice(held, 1, pack.MAX_TIPS))
+            test += f" OR {category} IN ({_words(categories)})"
+        cases.append(f"CASE WHEN {test} THEN {_text(tip)} END")
+    held = f"array_compact(array({', '.join(cases)}))"
+    shown = f"CASE WHEN size(h) = 0 THEN array({_text(pack.DEFAULT_TIP)}) ELSE slice(h, 1, {pack.MAX_TIPS}) END"
+    return F.expr(rules.let_sql(held, "h", shown))
 
 
 def gate(df: DataFrame) -> DataFrame:
     """Mark rows as scorable; overseas or irrelevant ones become 'irrelevant' but stay."""
-    scorable = (F.col("location_key") != "overseas") & classify.is_relevant(F.col("title"))
-    return (
-        df.withColumn("location_key", classify.location_class(F.col("location")))
-        .withColumn("scorable", scorable)
-        .withColumn("status", F.when(F.col("scorable"), F.col("status")).otherwise(F.lit("irrelevant")))
-    )
+    marked = df.withColumns(
+        {"location_key": classify.location_class("location"), "_relevant": classify.is_relevant("title")}
+    ).withColumn("scorable", F.expr("location_key <> 'overseas' AND _relevant"))
+    return marked.withColumn("status", F.expr("CASE WHEN scorable THEN status ELSE 'irrelevant' END")).drop("_relevant")
 
 
 def score(df: DataFrame, today: date) -> DataFrame:
@@ -128,64 +128,47 @@ def score(df: DataFrame, today: date) -> DataFrame:
     similarity, the salary columns, posted_date and the columns of :func:`gate`. Each level
     is its own projection, so the text is lowered once and the signals are computed once.
     """
-    ok = F.col("scorable")
 
     def scored(expr: Column) -> Column:
-        return F.when(ok, expr)
+        return F.when(F.col("scorable"), expr)
 
-    col = F.col
+    components = ["semantic_score", "seniority_score", "industry_score", "company_score", "location_score"]
     levels = [
-        {"text_lc": scored(classify.posting_text(col("title"), col("description")))},
+        {"text_lc": scored(classify.posting_text("title", "description"))},
         {
-            "category": scored(classify.seniority(col("title"))),
-            "signals": scored(classify.signals(col("text_lc"))),
-            "industry_key": scored(classify.industry(col("sector"), col("text_lc"))),
-            "company_key": scored(
-                classify.company_class(col("sector"), col("text_lc"), col("is_recruiter"), col("company_name"))
-            ),
-            "salary_pts": scored(
-                salary_points(col("salary_min"), col("salary_max"), col("salary_currency").isNotNull())
-            ),
-            "age_days": F.date_diff(F.lit(today), col("posted_date")),
+            "category": scored(classify.seniority("title")),
+            "signals": scored(classify.signals("text_lc")),
+            "industry_key": scored(classify.industry("sector", "text_lc")),
+            "company_key": scored(classify.company_class("sector", "text_lc", "is_recruiter", "company_name")),
+            "salary_pts": scored(salary_points("salary_min", "salary_max", "salary_currency IS NOT NULL")),
+            "age_days": F.date_diff(F.lit(today), F.col("posted_date")),
         },
         {
-            "semantic_score": scored(semantic_score(col("similarity"))),
-            "seniority_score": seniority_score(col("category")),
-            "industry_score": industry_score(col("industry_key"), col("signals")),
-            "company_score": company_score(col("company_key"), col("is_tier1")),
-            "location_score": scored(location_salary_score(col("location_key"), col("salary_pts"))),
-            "hard_excluded": F.coalesce(
-                classify.is_hard_excluded(col("industry_key"), col("signals")), F.lit(False)
-            ),
+            "semantic_score": scored(semantic_score("similarity")),
+            "seniority_score": seniority_score("category"),
+            "industry_score": industry_score("industry_key", "signals"),
+            "company_score": company_score("company_key", "is_tier1"),
+            "location_score": scored(location_salary_score("location_key", "salary_pts")),
+            "hard_excluded": F.coalesce(classify.is_hard_excluded("industry_key", "signals"), F.lit(False)),
             "match_reasons": scored(
-                match_reasons(
-                    col("category"), col("is_tier1"), col("location_key"), col("salary_pts"), col("signals"),
-                    col("age_days"),
-                )
+                match_reasons("category", "is_tier1", "location_key", "salary_pts", "signals", "age_days")
             ),
-            "resume_tips": scored(resume_tips(col("signals"), col("category"))),
+            "resume_tips": scored(resume_tips("signals", "category")),
         },
         {
-            "final_score": final_score(
-                *[col(c) for c in ("semantic_score", "seniority_score", "industry_score", "company_score", "location_score")]
-            ),
-            "strong_alert": F.coalesce(F.size("match_reasons") > 0, F.lit(False)),
-            "status": F.when(col("hard_excluded"), F.lit("irrelevant")).otherwise(col("status")),
+            "final_score": final_score(*components),
+            "strong_alert": F.expr("coalesce(size(match_reasons) > 0, false)"),
+            "status": F.expr("CASE WHEN hard_excluded THEN 'irrelevant' ELSE status END"),
         },
-        {"priority_tier": priority_tier(col("final_score"))},
+        {"priority_tier": priority_tier("final_score")},
     ]
     for level in levels:
         df = df.withColumns(level)
-    # seniority/industry/company points of a NULL label would read as 0
-    for name in ("seniority_score", "industry_score", "company_score"):
-        df = df.withColumn(name, scored(col(name)))
     return df.drop("text_lc", "salary_pts")
 
 
 def boost(df: DataFrame) -> DataFrame:
     """Shift the score by the company's star rating and band it again."""
-    delta = (F.col("stars") - pack.DEFAULT_STARS) * F.lit(pack.STAR_BOOST)
-    shifted = rules.clamp(F.col("final_score") + delta, 0, 100)
-    return df.withColumn(
-        "final_score", F.when(delta != 0, shifted).otherwise(F.col("final_score"))
-    ).withColumn("priority_tier", priority_tier(F.col("final_score")))
+    delta = f"(stars - {pack.DEFAULT_STARS}) * {pack.STAR_BOOST}D"
+    shifted = f"CASE WHEN stars = {pack.DEFAULT_STARS} THEN final_score ELSE {rules.clamp_sql(f'final_score + {delta}', 0, 100)} END"
+    return df.withColumn("final_score", F.expr(shifted)).withColumn("priority_tier", priority_tier("final_score"))

@@ -71,8 +71,8 @@ def new_postings(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 def regate(stored: DataFrame) -> DataFrame:
     """Stored 'new' rows that fail the gates become 'irrelevant'; other statuses stay."""
-    overseas = classify.location_class(F.col("location")) == "overseas"
-    fails = (F.col("status") == "new") & (overseas | ~classify.is_relevant(F.col("title")))
+    overseas = classify.location_class("location") == "overseas"
+    fails = (F.col("status") == "new") & (overseas | ~classify.is_relevant("title"))
     return stored.withColumn("status", F.when(fails, F.lit("irrelevant")).otherwise(F.col("status")))
 
 

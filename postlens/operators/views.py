@@ -27,10 +27,10 @@ def select_for_digest(df: DataFrame, min_tier: str = "C", home_only: bool = True
     kept = df.where(
         (F.col("status") != "irrelevant")
         & F.col("priority_tier").isNotNull()
-        & (tier_rank(F.col("priority_tier")) <= limit)
+        & (tier_rank("priority_tier") <= limit)
     )
     if home_only:
-        kept = kept.where(classify.region(F.col("location"), F.col("title")) != "other")
+        kept = kept.where(classify.region("location", "title") != "other")
     return kept
 
 
@@ -49,7 +49,7 @@ def report_sections(df: DataFrame) -> DataFrame:
     Sections overlap by design. Section 3 keeps the best row per link: the window groups by
     link there and by row elsewhere, and its ``= 1`` filter is applied before the shuffle.
     """
-    elsewhere = classify.region(F.col("location"), F.col("title")) == "other"
+    elsewhere = classify.region("location", "title") == "other"
     placed = df.withColumn("_else", elsewhere).withColumn(
         "section",
         F.explode(
@@ -80,7 +80,7 @@ def top_n_per_section(sections: DataFrame, n: int = pack.EMAIL_TOP_N) -> DataFra
 def tier_counts(df: DataFrame) -> DataFrame:
     """Rows per tier in fixed order, 'Unscored' last; only tiers that occur."""
     tier = F.coalesce("priority_tier", F.lit("Unscored")).alias("tier")
-    position = F.when(F.col("tier") == "Unscored", F.lit(5)).otherwise(tier_rank(F.col("tier")))
+    position = F.when(F.col("tier") == "Unscored", F.lit(5)).otherwise(tier_rank("tier"))
     return df.groupBy(tier).agg(F.count("*").alias("n")).withColumn("position", position).orderBy("position")
 
 

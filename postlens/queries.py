@@ -72,7 +72,7 @@ def with_similarity(df: DataFrame, spark, sf_dir) -> DataFrame:
 
 def enriched(spark, sf_dir) -> DataFrame:
     df = enrich.enrich_companies(norm(spark, sf_dir), enrich.companies(spark))
-    return df.withColumn("text_lc", classify.posting_text(C("title"), C("description")))
+    return df.withColumn("text_lc", classify.posting_text("title", "description"))
 
 
 def scored(spark, sf_dir) -> DataFrame:
@@ -162,7 +162,7 @@ def normalize_postings(spark, sf_dir):
 # -- predicates and classes ----------------------------------------------------------
 @query
 def relevance_gate(spark, sf_dir):
-    return postings_raw(spark, sf_dir).where(classify.is_relevant(C("title"))).select("seq", "title")
+    return postings_raw(spark, sf_dir).where(classify.is_relevant("title")).select("seq", "title")
 
 
 @query
@@ -174,15 +174,15 @@ def precision_gate(spark, sf_dir):
 def hard_exclude(spark, sf_dir):
     df = enriched(spark, sf_dir)
     df = df.select(
-        "seq", classify.industry(C("sector"), C("text_lc")).alias("industry_key"),
-        classify.signals(C("text_lc")).alias("signals"),
+        "seq", classify.industry("sector", "text_lc").alias("industry_key"),
+        classify.signals("text_lc").alias("signals"),
     )
-    return df.select("seq", classify.is_hard_excluded(C("industry_key"), C("signals")).alias("excluded"))
+    return df.select("seq", classify.is_hard_excluded("industry_key", "signals").alias("excluded"))
 
 
 @query
 def region_filter(spark, sf_dir):
-    region = classify.region(C("location"), C("title"))
+    region = classify.region("location", "title")
     df = postings_raw(spark, sf_dir).select("seq", "location", region.alias("region"))
     return df.where("region <> 'other'")
 
@@ -195,42 +195,42 @@ def recruiter_flag(spark, sf_dir):
 @query
 def classify_first_match(spark, sf_dir):
     return postings_raw(spark, sf_dir).select(
-        "seq", classify.seniority(C("title")).alias("category"),
-        classify.seniority(C("title"), promote_senior_specialist=False).alias("category_plain"),
+        "seq", classify.seniority("title").alias("category"),
+        classify.seniority("title", promote_senior_specialist=False).alias("category_plain"),
     )
 
 
 @query
 def detect_signals(spark, sf_dir):
-    body = classify.posting_text(C("title"), C("description"))
+    body = classify.posting_text("title", "description")
     df = postings_raw(spark, sf_dir).select("seq", body.alias("text_lc"))
-    return df.select("seq", classify.signals(C("text_lc")).alias("signals")).select("seq", flat("signals"))
+    return df.select("seq", classify.signals("text_lc").alias("signals")).select("seq", flat("signals"))
 
 
 @query
 def classify_industry(spark, sf_dir):
-    return enriched(spark, sf_dir).select("seq", classify.industry(C("sector"), C("text_lc")).alias("industry_key"))
+    return enriched(spark, sf_dir).select("seq", classify.industry("sector", "text_lc").alias("industry_key"))
 
 
 @query
 def classify_company(spark, sf_dir):
-    key = classify.company_class(C("sector"), C("text_lc"), C("is_recruiter"), C("company_name"))
+    key = classify.company_class("sector", "text_lc", "is_recruiter", "company_name")
     return enriched(spark, sf_dir).select("seq", key.alias("company_key"))
 
 
 @query
 def is_home_country(spark, sf_dir):
-    return postings_raw(spark, sf_dir).select("seq", classify.is_home_country(C("location")).alias("home"))
+    return postings_raw(spark, sf_dir).select("seq", classify.is_home_country("location").alias("home"))
 
 
 @query
 def classify_location(spark, sf_dir):
-    return postings_raw(spark, sf_dir).select("seq", classify.location_class(C("location")).alias("location_key"))
+    return postings_raw(spark, sf_dir).select("seq", classify.location_class("location").alias("location_key"))
 
 
 @query
 def location_bucket(spark, sf_dir):
-    return postings_raw(spark, sf_dir).select("seq", classify.location_bucket(C("location")).alias("bucket"))
+    return postings_raw(spark, sf_dir).select("seq", classify.location_bucket("location").alias("bucket"))
 
 
 # -- vectors and scores -------------------------------------------------------------
@@ -248,26 +248,25 @@ def text_vectors(spark, sf_dir):
 @query
 def score_industry(spark, sf_dir):
     df = enriched(spark, sf_dir).select(
-        "seq", classify.industry(C("sector"), C("text_lc")).alias("industry_key"),
-        classify.signals(C("text_lc")).alias("signals"),
+        "seq", classify.industry("sector", "text_lc").alias("industry_key"),
+        classify.signals("text_lc").alias("signals"),
     )
-    return df.select("seq", score.industry_score(C("industry_key"), C("signals")).alias("industry_score"))
+    return df.select("seq", score.industry_score("industry_key", "signals").alias("industry_score"))
 
 
 @query
 def score_company(spark, sf_dir):
-    key = classify.company_class(C("sector"), C("text_lc"), C("is_recruiter"), C("company_name"))
+    key = classify.company_class("sector", "text_lc", "is_recruiter", "company_name")
     df = enriched(spark, sf_dir).select("seq", "is_tier1", key.alias("company_key"))
-    return df.select("seq", score.company_score(C("company_key"), C("is_tier1")).alias("company_score")).select(
+    return df.select("seq", score.company_score("company_key", "is_tier1").alias("company_score")).select(
         "seq", *rounded("company_score")
     )
 
 
 @query
 def salary_bands(spark, sf_dir):
-    price = C("o_totalprice")
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey", score.salary_points(F.lit(None).cast("double"), price, F.lit(True)).alias("points")
+        "o_orderkey", score.salary_points("CAST(NULL AS DOUBLE)", "o_totalprice", "true").alias("points")
     )
 
 
@@ -927,7 +926,7 @@ def seniority_top(spark, sf_dir):
     """The 20 best distinct postings by seniority score."""
     rows = norm(spark, sf_dir)
     first = resolve.pass1(resolve.slim(rows)).select("seq")
-    ranked = rows.join(first, "seq", "left_semi").select(
-        "seq", "title", score.seniority_score(classify.seniority(C("title"))).alias("seniority_score")
+    ranked = rows.join(first, "seq", "left_semi").withColumn("category", classify.seniority("title")).select(
+        "seq", "title", score.seniority_score("category").alias("seniority_score")
     )
     return ranked.orderBy(C("seniority_score").desc(), "seq").limit(20).select("seq", "title", *rounded("seniority_score"))
