@@ -164,7 +164,8 @@ def band_sql(value: str, bands: Iterable[tuple[float, object]], default: str) ->
         return f"'{entry}'" if isinstance(entry, str) else f"{float(entry)}D"
 
     ordered = sorted(bands, key=lambda b: b[0], reverse=True)
-    return "CASE " + " ".join(f"WHEN {value} >= {lo} THEN {shown(e)}" for lo, e in ordered) + f" ELSE {default} END"
+    cases = " ".join(f"WHEN v >= {lo} THEN {shown(e)}" for lo, e in ordered)
+    return let_sql(value, "v", f"CASE {cases} ELSE {default} END")
 
 
 def clamp_sql(value: str, lo: float, hi: float) -> str:

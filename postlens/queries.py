@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from postlens.bindings import TODAY, postings_raw, table
 from postlens.functions import dates, display, encode, rules, salary, text, urls, vectors
 from postlens.operators import classify, enrich, health, normalize, resolve, score, store, views
+from postlens.operators.materialize import cut
 from postlens.plans.pipeline import run as run_plan
 from postlens.plans.pipeline import score_all
 from postlens.session import SETTINGS, scratch_dir, spread
@@ -80,6 +81,14 @@ def scored(spark, sf_dir) -> DataFrame:
     return score_all(df, enrich.companies(spark), enrich.ratings(spark), TODAY)
 
 
+def scored_table(spark, sf_dir) -> DataFrame:
+    """Scored rows as stored, which is what the views read.
+
+    A filter on a score would otherwise be pushed below the scoring and repeat it.
+    """
+    return cut(scored(spark, sf_dir).drop("description"), "scored")
+
+
 # -- text, dates, salary ----------------------------------------------------------
 @query
 def normalize_title(spark, sf_dir):
@@ -441,23 +450,23 @@ def content_dedup(spark, sf_dir):
 # -- views -------------------------------------------------------------------------
 @query
 def digest_select(spark, sf_dir):
-    return views.select_for_digest(scored(spark, sf_dir)).select("seq", "priority_tier", *rounded("final_score"))
+    return views.select_for_digest(scored_table(spark, sf_dir)).select("seq", "priority_tier", *rounded("final_score"))
 
 
 @query
 def digest_new_only(spark, sf_dir):
-    top = store.with_id(views.select_for_digest(scored(spark, sf_dir)))
+    top = store.with_id(views.select_for_digest(scored_table(spark, sf_dir)))
     return store.new_postings(top, stored_v0(spark, sf_dir)).select("seq", "priority_tier")
 
 
 @query
 def digest_summary(spark, sf_dir):
-    return views.digest_summary(views.select_for_digest(scored(spark, sf_dir)))
+    return views.digest_summary(views.select_for_digest(scored_table(spark, sf_dir)))
 
 
 @query
 def top_jobs(spark, sf_dir):
-    return views.top_jobs(scored(spark, sf_dir), limit=50, min_score=40.0).select("seq", *rounded("final_score"))
+    return views.top_jobs(scored_table(spark, sf_dir), limit=50, min_score=40.0).select("seq", *rounded("final_score"))
 
 
 @query
@@ -469,7 +478,7 @@ def seen_since(spark, sf_dir):
 
 @query
 def report_sections(spark, sf_dir):
-    rows = views.report_sections(scored(spark, sf_dir).drop("description"))
+    rows = views.report_sections(scored_table(spark, sf_dir))
     return rows.select(
         big(C("section"), "section"), views.section_heading().alias("heading"), "seq", *rounded("final_score")
     ).orderBy("section", C("final_score").desc_nulls_last(), "seq")
@@ -477,30 +486,30 @@ def report_sections(spark, sf_dir):
 
 @query
 def section_counts(spark, sf_dir):
-    counts = views.section_counts(views.report_sections(scored(spark, sf_dir)))
+    counts = views.section_counts(views.report_sections(scored_table(spark, sf_dir)))
     return counts.select(big(C("section"), "section"), "n")
 
 
 @query
 def email_top_n(spark, sf_dir):
-    rows = views.top_n_per_section(views.report_sections(scored(spark, sf_dir).drop("description")))
+    rows = views.top_n_per_section(views.report_sections(scored_table(spark, sf_dir)))
     return rows.select(big(C("section"), "section"), big(C("rank"), "rank"), "seq", *rounded("final_score"))
 
 
 @query
 def digest_lines(spark, sf_dir):
-    top = views.top_n_per_section(views.report_sections(scored(spark, sf_dir).drop("description")))
+    top = views.top_n_per_section(views.report_sections(scored_table(spark, sf_dir)))
     return views.digest_lines(top).select(big(C("section"), "section"), big(C("rank"), "rank"), "lines")
 
 
 @query
 def tier_counts(spark, sf_dir):
-    return views.tier_counts(scored(spark, sf_dir)).select("tier", "n", big(C("position"), "position"))
+    return views.tier_counts(scored_table(spark, sf_dir)).select("tier", "n", big(C("position"), "position"))
 
 
 @query
 def alerts_log(spark, sf_dir):
-    digest = store.with_id(views.select_for_digest(scored(spark, sf_dir)))
+    digest = store.with_id(views.select_for_digest(scored_table(spark, sf_dir)))
     path = scratch_dir(spark, "alerts")
     log = views.alerts(digest, "run-1", "email", F.lit(datetime(2026, 9, 1)))
     log.write.mode("append").parquet(path)
