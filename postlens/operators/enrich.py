@@ -5,22 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlens.functions.rules import text_literal
 from postlens.functions.text import normalize_company
 from postlens.packs import food_au as pack
-from postlens.schema import COMPANY
+
+
+def _local(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A pack table as literal rows: the planner knows its size and broadcasts it by itself."""
+
+    def literal(value) -> str:
+        return text_literal(value) if isinstance(value, str) else str(value).lower()
+
+    values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
 
 
 def companies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(pack.COMPANIES, COMPANY)
+    return _local(spark, pack.COMPANIES, "company_id, name, sector, priority_tier, adapter, active")
 
 
 def ratings(spark: SparkSession) -> DataFrame:
     """Ratings keyed by normalised company name; a later entry of the same key wins."""
     rows = [(i, name, stars) for i, (name, stars) in enumerate(pack.RATINGS.items())]
-    df = spark.createDataFrame(rows, "pos int, name string, stars int")
-    return df.groupBy(normalize_company(F.col("name")).alias("company_key")).agg(
-        F.max_by("stars", "pos").alias("stars")
-    )
+    keyed = _local(spark, rows, "pos, name, stars").groupBy(normalize_company(F.col("name")).alias("company_key"))
+    return keyed.agg(F.max_by("stars", "pos").alias("stars"))
 
 
 def enrich_companies(df: DataFrame, dim: DataFrame) -> DataFrame:

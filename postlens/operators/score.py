@@ -73,7 +73,8 @@ def final_score(semantic: str, seniority: str, industry: str, company: str, plac
 
 
 def priority_tier(score: str) -> Column:
-    return F.expr(f"CASE WHEN {score} IS NOT NULL THEN {rules.band_sql(score, pack.TIER_BANDS, repr('D'))} END")
+    banded = f"CASE WHEN s IS NOT NULL THEN {rules.band_sql('s', pack.TIER_BANDS, repr('D'))} END"
+    return F.expr(rules.let_sql(score, "s", banded))
 
 
 def tier_rank(tier: str) -> Column:

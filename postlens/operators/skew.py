@@ -26,9 +26,10 @@ def lookup(
     dealt over the salts by ``spread_by``; all other keys use salt 0.
     """
     threshold = HOT_ROWS if hot_rows is None else hot_rows
+    # Safe to broadcast: the weights add up to the rows, so at most rows/threshold keys are hot.
     hot = facts.where(F.col(weight) > threshold).select(*keys, F.lit(True).alias("_hot"))
     salted_rows = (
-        rows.join(hot, keys, "left")
+        rows.join(F.broadcast(hot), keys, "left")
         .withColumn(
             "_salt",
             F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)),

@@ -74,8 +74,6 @@ PAYLOAD = T.StructType(
     ]
 )
 
-COMPANY = "company_id string, name string, sector string, priority_tier string, adapter string, active boolean"
-
 ALERT = T.StructType(
     [
         T.StructField("job_id", T.StringType()),
