@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from postlens.operators import classify
 from postlens.operators.materialize import cut
@@ -119,14 +120,14 @@ def month_of(posted: Column) -> Column:
 
 def read_table(spark, path: str, schema) -> DataFrame:
     """The stored table, empty when nothing was written yet."""
+    # The month is declared as text: left to inference, '2026-05' could come back as a date.
+    with_month = StructType([*schema.fields, StructField("month", StringType())])
     try:
-        stored = spark.read.parquet(path)
+        return spark.read.schema(with_month).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
-    names = [f.name for f in schema.fields]
-    return stored.select(*[c for c in stored.columns if c in {*names, "month"}])
+        return spark.createDataFrame([], with_month)
 
 
 def merge_table(path: str, batch: DataFrame, schema, now: Column) -> DataFrame:
@@ -140,14 +141,47 @@ def merge_table(path: str, batch: DataFrame, schema, now: Column) -> DataFrame:
     batch = cut(batch.withColumn("month", month_of(F.col("posted_date"))), "merge-batch")
     months = [r.month for r in batch.select("month").distinct().collect()]  # calendar-bounded
     stored = read_table(spark, path, schema)
-    if "month" in stored.columns:
-        stored = stored.where(F.col("month").isin(months)).drop("month")
+    stored = stored.where(F.col("month").isin(months)).drop("month")
     merged = upsert(stored, batch.drop("month"), now)
     staged = cut(merged.withColumn("month", month_of(F.col("posted_date"))), "merge-staged")
-    (
-        staged.write.partitionBy("month")
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .parquet(path)
+    _replace_months(staged, path)
+    return read_table(spark, path, schema)
+
+
+_MAINTAINED = [
+    "id", "seq", "source", "title", "normalized_title", "company_name", "location", "posted_date", "status",
+    "duplicate_of", "final_score",
+]
+
+
+def maintain_table(spark, path: str, schema) -> DataFrame:
+    """Re-gate and repair the stored table, replacing only the months in which rows change.
+
+    The check reads the few columns it needs; descriptions and scores are read again only for
+    the months to rewrite. A second call changes nothing.
+    """
+    slim = read_table(spark, path, schema).select(*_MAINTAINED)
+    before = slim.withColumns({"_status": F.col("status"), "_duplicate_of": F.col("duplicate_of")})
+    same = F.col("status").eqNullSafe(F.col("_status")) & F.col("duplicate_of").eqNullSafe(F.col("_duplicate_of"))
+    changes = cut(
+        repair_orphans(regate(before))
+        .where(~same)
+        .select(
+            "id", F.col("status").alias("_status"), F.col("duplicate_of").alias("_duplicate_of"),
+            month_of(F.col("posted_date")).alias("month"), F.lit(True).alias("_changed"),
+        ),
+        "maintain-changes",
     )
+    months = [r.month for r in changes.select("month").distinct().collect()]  # calendar-bounded
+    if months:
+        stored = read_table(spark, path, schema).where(F.col("month").isin(months))
+        joined = stored.join(changes.drop("month"), "id", "left")
+        for name in ("status", "duplicate_of"):
+            joined = joined.withColumn(name, F.when(F.col("_changed"), F.col(f"_{name}")).otherwise(F.col(name)))
+        _replace_months(cut(joined.drop("_status", "_duplicate_of", "_changed"), "maintain-staged"), path)
     return read_table(spark, path, schema)
+
+
+def _replace_months(staged: DataFrame, path: str) -> None:
+    writer = staged.write.partitionBy("month").mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)

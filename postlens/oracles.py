@@ -474,6 +474,7 @@ SQL = {
         f"{RAW}, l AS (SELECT *, {LOCATION_CLASS} AS location_key FROM raw)", f"SELECT seq, {BUCKET} AS bucket FROM l"
     ),
     "cosine_to_profile": with_(SIMS, "SELECT vec_id, round(similarity, 6) AS similarity FROM sims"),
+    "text_vectors": "SELECT doc_id, 128 AS dim, 1.0::DOUBLE AS unit FROM documents",
     "score_industry": with_(ENRICHED, f"SELECT seq, {INDUSTRY_SCORE} AS industry_score FROM cls"),
     "score_company": with_(ENRICHED, f"SELECT seq, round({COMPANY_SCORE}, 6) AS company_score FROM cls"),
     "salary_bands": "SELECT o_orderkey, "

@@ -69,5 +69,6 @@ def run(
     if table_path:
         stored = store.read_table(raw.sparkSession, table_path, POSTING)
         digest = cut(store.new_postings(top, stored), "run-digest")
-        table = store.merge_table(table_path, postings, POSTING, now)
+        store.merge_table(table_path, postings, POSTING, now)
+        table = store.maintain_table(raw.sparkSession, table_path, POSTING)
     return Run(postings, top, digest, table, resolve.dedup_stats(resolved))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 from datetime import date, timedelta
 
-from postlens.functions.text import city_key  # noqa: F401  (kept importable on its own)
 from postlens.operators import resolve
 from postlens.operators.components import connected_components
 

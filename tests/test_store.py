@@ -56,6 +56,22 @@ def test_merge_table_rewrites_only_touched_months(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "table" / "month=2026-05").iterdir()) == untouched
 
 
+def test_maintain_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    store.merge_table(path, table(spark, [
+        posting(1, "Quality Manager", "Franklin, WI"), posting(2, "QA Manager", posted_date=date(2026, 5, 1)),
+        posting(3, "QA Lead", "Sydney", "duplicate"), posting(4, "QA Lead", "Perth", "duplicate", source="jora"),
+    ]), POSTING, at(1))
+    kept = sorted(p.name for p in (tmp_path / "table" / "month=2026-05").iterdir())
+    assert store.maintain_table(spark, path, POSTING).count() == 4
+    once = {r.seq: (r.status, r.duplicate_of) for r in store.maintain_table(spark, path, POSTING).collect()}
+    ids = {r.seq: r.id for r in store.read_table(spark, path, POSTING).collect()}
+    assert once == {1: ("irrelevant", None), 2: ("new", None), 3: ("new", None), 4: ("duplicate", ids[3])}
+    assert sorted(p.name for p in (tmp_path / "table" / "month=2026-05").iterdir()) == kept
+    assert {r.seq: (r.status, r.duplicate_of) for r in store.maintain_table(spark, path, POSTING).collect()} == once
+    assert sorted(p.name for p in (tmp_path / "table").glob("month=*")) == ["month=2026-05", "month=2026-06"]
+
+
 def test_regate(spark):
     stored = table(spark, [
         posting(1, "Quality Manager"), posting(2, "Quality Manager", "Franklin, WI"), posting(3, "Production Operator", "Melbourne VIC"),
