@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import linededup, mixing, sharding
+from postlens.llm import decontam, linededup, mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,4 +34,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped.select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op2_feistel_sharding, op6_source_mixing, op9_line_dedup)}
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.contamination(docs.select("doc_id", "text"), items, keep=["doc_id"])
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_feistel_sharding, op6_source_mixing, op8_benchmark_decontamination, op9_line_dedup,
+    )
+}
