@@ -77,3 +77,20 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(s.n_hit, 0)::BIGINT AS n_
   sha256(coalesce(f.items, '')) AS items_sha256, coalesce(s.n_hit, 0) > 0 AND 20 * coalesce(s.n_hit, 0) >= len(d.w) AS contaminated
 FROM docs d LEFT JOIN spots s ON d.doc_id = s.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id
 """
+
+SQL["op4_ngram_jaccard"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS shingle
+  FROM (SELECT doc_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS size FROM sets GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.size, y.size HAVING 100 * count(*) >= 75 * (x.size + y.size - count(*))
+), reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT w.doc_id, coalesce(max(s.size), 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(min(r.b), w.doc_id)) AS component_id
+FROM words w LEFT JOIN sizes s ON w.doc_id = s.doc_id LEFT JOIN reach r ON r.a = w.doc_id GROUP BY w.doc_id
+"""

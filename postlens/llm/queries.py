@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import decontam, linededup, mixing, sharding
+from postlens.llm import decontam, jaccard, linededup, mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.assignments(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -42,6 +46,6 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_feistel_sharding, op6_source_mixing, op8_benchmark_decontamination, op9_line_dedup,
+        op2_feistel_sharding, op4_ngram_jaccard, op6_source_mixing, op8_benchmark_decontamination, op9_line_dedup,
     )
 }
