@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import decontam, jaccard, linededup, mixing, sharding
+from postlens.llm import decontam, jaccard, langid, linededup, mixing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.classify(docs.select("doc_id", "text"), labels, keep=["doc_id"])
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.assignments(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -38,6 +43,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontam.contamination(docs.select("doc_id", "text"), items, keep=["doc_id"])
@@ -46,6 +55,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_feistel_sharding, op4_ngram_jaccard, op6_source_mixing, op8_benchmark_decontamination, op9_line_dedup,
+        op2_feistel_sharding, op4_ngram_jaccard, op5_quality_classifier, op6_source_mixing, op7_language_id,
+        op8_benchmark_decontamination, op9_line_dedup,
     )
 }
