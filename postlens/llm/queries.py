@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import decontam, jaccard, langid, linededup, mixing, quality, sharding
+from postlens.llm import decontam, jaccard, langid, linededup, lm, mixing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,10 +52,14 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contamination(docs.select("doc_id", "text"), items, keep=["doc_id"])
 
 
+def op10_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op2_feistel_sharding, op4_ngram_jaccard, op5_quality_classifier, op6_source_mixing, op7_language_id,
-        op8_benchmark_decontamination, op9_line_dedup,
+        op8_benchmark_decontamination, op9_line_dedup, op10_deleted_interpolation,
     )
 }
