@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import decontam, jaccard, langid, linededup, lm, mixing, quality, sharding
+from postlens.llm import decontam, jaccard, langid, linededup, lm, mixing, quality, sharding, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op2_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in the order of (doc_id, text_crc32, size), 16 shards."""
     text = F.col("text")
@@ -59,7 +63,7 @@ def op10_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_feistel_sharding, op4_ngram_jaccard, op5_quality_classifier, op6_source_mixing, op7_language_id,
+        op1_cover_tree_topk, op2_feistel_sharding, op4_ngram_jaccard, op5_quality_classifier, op6_source_mixing, op7_language_id,
         op8_benchmark_decontamination, op9_line_dedup, op10_deleted_interpolation,
     )
 }
