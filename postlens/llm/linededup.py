@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlens.operators.materialize import cut
+
 MAX_LINE_WORDS = 16
 MIN_WINDOW_WORDS = 12
 _SPACE = r"\t\n\x0B\f\r\x20"
@@ -25,13 +27,28 @@ def lines_of(text: Column) -> Column:
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """``(h1, h2, _ld_id, _ld_hash, pos)`` per window of three lines with ``MIN_WINDOW_WORDS`` words or more."""
-    bare = F.transform(lines_of(F.col("text")), lambda x: F.regexp_replace(x, F.lit(rf"[{_SPACE}]+$"), F.lit("")))
-    cut_up = docs.select(F.col("doc_id").alias("_ld_id"), F.xxhash64("text").alias("_ld_hash"), bare.alias("lines"))
-    passages = F.transform(F.sequence(F.lit(1), F.size("lines") - 2), lambda i: F.array_join(F.slice("lines", i, 3), "\n"))
-    rows = cut_up.where(F.size("lines") >= 3).select(*_KEY, F.posexplode(passages).alias("pos", "passage"))
-    wide = rows.where(F.regexp_count("passage", F.lit(WORD)) >= MIN_WINDOW_WORDS)
-    return wide.select(F.xxhash64(F.lit(1), "passage").alias("h1"), F.xxhash64(F.lit(2), "passage").alias("h2"), *_KEY, "pos")
+    """``(h1, h2, _ld_id, _ld_hash, pos)`` per window of three lines with ``MIN_WINDOW_WORDS`` words or more.
+
+    Every line is hashed once, and a window's hashes are made of those of its lines.
+    """
+
+    def facts(line: Column) -> Column:
+        bare = F.rtrim(line, F.lit("\t\n\x0b\f\r "))
+        words = F.when(bare == "", 0).otherwise(F.size(F.split(bare, f"[{_BLANK}]+")))
+        return F.struct(F.xxhash64(bare).alias("a"), F.hash(bare).alias("b"), words.alias("n"))
+
+    def window(i: Column) -> Column:
+        three = [F.get("lines", i + k) for k in range(3)]
+        return F.struct(
+            F.xxhash64(*[x["a"] for x in three]).alias("h1"), F.hash(*[x["b"] for x in three]).alias("h2"),
+            i.alias("pos"), sum((x["n"] for x in three[1:]), three[0]["n"]).alias("n"),
+        )
+
+    cut_up = docs.select(
+        F.col("doc_id").alias("_ld_id"), F.hash("text").alias("_ld_hash"), F.transform(lines_of(F.col("text")), facts).alias("lines")
+    )
+    windows = F.filter(F.transform(F.sequence(F.lit(0), F.size("lines") - 3), window), lambda w: w["n"] >= MIN_WINDOW_WORDS)
+    return cut_up.where(F.size("lines") >= 3).select(*_KEY, F.inline(windows)).drop("n")
 
 
 def _covered(starts: Column) -> Column:
@@ -50,25 +67,24 @@ def _covered(starts: Column) -> Column:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with later occurrences of repeated windows cut out of ``text``; every row stays.
 
-    The first occurrence is the one with the smallest (doc_id, hash of the text, position),
+    The first occurrence is the one with the smallest (doc_id, 32-bit hash of the text, position),
     null doc_id first. Lines covered by any later occurrence go; the rest is joined
     unchanged, so a document without repeats keeps its text byte for byte, and one that
     repeats others throughout is left with an empty text. Adds ``n_lines`` and
     ``n_removed``. Texts of fewer than three lines, null and empty texts stay as they are.
-    Rows equal in doc_id and text count as one occurrence. Window identity is 128 bits of
+    Rows equal in doc_id and text count as one occurrence. Window identity is 96 bits of
     hash. A window that very many documents share meets its single first occurrence in a
     join whose large partitions Spark can split.
     """
-    windows = _windows(docs)
+    windows = cut(_windows(docs), "line-windows")
+    many = windows.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
+    repeated = cut(windows.join(many, "h1"), "line-repeats")
     firsts = (
-        windows.groupBy("h1", "h2")
-        .agg(F.min(F.struct(*_KEY, "pos")).alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-        .drop("n")
+        repeated.groupBy("h1", "h2").agg(F.min(F.struct(*_KEY, "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     )
-    later = windows.join(firsts, ["h1", "h2"]).where(~F.struct(*_KEY, "pos").eqNullSafe(F.col("first")))
+    later = repeated.join(firsts, ["h1", "h2"]).where(~F.struct(*_KEY, "pos").eqNullSafe(F.col("first")))
     starts = later.groupBy(*_KEY).agg(F.array_sort(F.collect_set("pos")).alias("_ld_starts"))
-    out = docs.withColumn("_ld_h", F.xxhash64("text"))
+    out = docs.withColumn("_ld_h", F.hash("text"))
     out = out.join(starts, out["doc_id"].eqNullSafe(starts["_ld_id"]) & (out["_ld_h"] == starts["_ld_hash"]), "left")
     lines = F.arrays_zip(lines_of(F.col("text")).alias("line"), F.col("_ld_flags").alias("gone"))
     kept = F.array_join(F.transform(F.filter("_ld_lines", lambda x: ~F.coalesce(x["gone"], F.lit(False))), lambda x: x["line"]), "")
