@@ -16,7 +16,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.operators.materialize import cut
@@ -68,32 +68,32 @@ def _role(written: str) -> str:
     return "".join([*out, written[at:]])
 
 
-def spans(tokens: list[int], fixed: int, history: list[int]) -> list[tuple[int, int, int]]:
-    """(first repeated, first, end) of windows over turns of which ``history`` tells the ones before.
+def spans(tokens: list[int], fixed: int, past: list[int], budget: int, history: int) -> list[tuple[int, int, int]]:
+    """(first repeated, first, end) of windows over turns after those of ``past``.
 
-    Positions count from the first turn of ``history``. A span takes turns while the budget
-    lasts; the repeated turns before it are those that fit ``HISTORY`` and leave room for its
+    Positions count from the first turn of ``past``. A span takes turns while the budget
+    lasts; the repeated turns before it are those that fit ``history`` and leave room for its
     first turn.
     """
-    whole = [*history, *tokens]
+    whole = [*past, *tokens]
     ends = [0]
     for t in whole:
         ends.append(ends[-1] + t)
-    out, first = [], len(history)
+    out, first = [], len(past)
     while first < len(whole):
-        room = min(HISTORY, BUDGET - fixed - whole[first])
+        room = min(history, budget - fixed - whole[first])
         back = first
         while back > 0 and ends[first] - ends[back - 1] <= room:
             back -= 1
         end = first + 1
-        while end < len(whole) and fixed + ends[end + 1] - ends[back] <= BUDGET:
+        while end < len(whole) and fixed + ends[end + 1] - ends[back] <= budget:
             end += 1
         out.append((back, first, end))
         first = end
     return out
 
 
-def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _format(budget: int, history: int):
     """Windows of one stretch after another; rows arrive by (conversation, stretch, place)."""
     names = ["has_id", "conv_id", "stretch", "place", "part", "role", "text", "tokens"]
 
@@ -108,7 +108,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fixed = sum(r[7] for r in system)
         out = []
         body = new[lead:]
-        plan = spans([r[7] for r in body], fixed, [r[7] for r in past]) or ([(0, 0, 0)] if lead else [])
+        plan = spans([r[7] for r in body], fixed, [r[7] for r in past], budget, history) or ([(0, 0, 0)] if lead else [])
         turns = [*past, *body]
         for w, (back, first, end) in enumerate(plan):
             text, masks = [], []
@@ -128,17 +128,19 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([list(x) for x in c] if i == 5 else c, k) for i, (c, k) in enumerate(zip(columns, kinds, strict=True))],
             ["conv_id", "stretch", "window", "repeated", "formatted", "loss"],
         )
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if r[:3] != now and held:
+                    yield windows(now, held)
+                    held = []
+                now = r[:3]
+                held.append(r)
+        if held:
+            yield windows(now, held)
 
-    now, held = None, []
-    for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            if r[:3] != now and held:
-                yield windows(now, held)
-                held = []
-            now = r[:3]
-            held.append(r)
-    if held:
-        yield windows(now, held)
+    return each
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +154,7 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.int64())], [*batch.schema.names, "before"])
 
 
-def format_windows(turns: DataFrame) -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, stretch: int = STRETCH) -> DataFrame:
     """``(conv_id, stretch, window, repeated, formatted, loss)`` from ``turns(conv_id, turn, role, text)``.
 
     ``formatted`` is the window's text, its first ``repeated`` turns repeat earlier ones, and
@@ -194,14 +196,14 @@ def format_windows(turns: DataFrame) -> DataFrame:
     at = F.col("before") - F.col("zero") - F.col("lead")
     after = at + F.col("tokens")
 
-    def stretch(x):
-        return F.floor(x / STRETCH).cast("long")
+    def stretch_of(x: Column) -> Column:
+        return F.floor(x / stretch).cast("long")
 
-    last = stretch(F.greatest(F.col("last") - F.col("zero") - F.col("lead"), F.lit(0)))
+    last = stretch_of(F.greatest(F.col("last") - F.col("zero") - F.col("lead"), F.lit(0)))
     # A turn belongs to the stretch it begins in; the system turn goes to all, and a turn that
-    # ends within HISTORY of a later stretch's beginning goes there as history.
-    mine = stretch(F.greatest(at, F.lit(0)))
-    also = stretch(after + HISTORY)
+    # ends within ``history`` of a later stretch's beginning goes there as history.
+    mine = stretch_of(F.greatest(at, F.lit(0)))
+    also = stretch_of(after + history)
     shares = F.when(is_system, F.transform(F.sequence(F.lit(0), last), lambda s: F.struct(s.cast("long").alias("stretch"), F.lit(0).alias("part"))))
     shares = shares.otherwise(
         F.concat(
@@ -215,7 +217,7 @@ def format_windows(turns: DataFrame) -> DataFrame:
     grouped = dealt.repartition(*key, "stretch").sortWithinPartitions(*key, "stretch", "place")
     grouped = grouped.select("has_id", "conv_id", "stretch", "place", "part", "role", "text", "tokens")
     return grouped.mapInArrow(
-        _format, "conv_id long, stretch long, window long, repeated long, formatted string, loss array<array<long>>"
+        _format(budget, history), "conv_id long, stretch long, window long, repeated long, formatted string, loss array<array<long>>"
     )
 
 

@@ -33,13 +33,13 @@ _CELLS = _BINS * _LOW + 2  # the last one is a probability of zero
 _BUCKETS = 64
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``RUN_BYTES`` of text, so that words repeat within them."""
+def _runs(batches: Iterator[pa.RecordBatch], run_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``run_bytes`` of text, so that words repeat within them."""
     held, size = [], 0
-    for part in wb.chunks(batches, "text"):
+    for part in wb.chunks(batches, "text", min(run_bytes, wb.CHUNK_BYTES)):
         held.append(part)
         size += part.column("text").nbytes
-        if size >= RUN_BYTES:
+        if size >= run_bytes:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held, size = [], 0
     if held:
@@ -94,9 +94,9 @@ def _split(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(keys, np.arange(buckets, dtype=np.uint64) * width).tolist() + [len(keys)]
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+def _named(batches: Iterator[pa.RecordBatch], run_bytes: int) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Runs and their names: a hash of the rows in order, the same whenever the input is read."""
-    for part in _runs(batches):
+    for part in _runs(batches, run_bytes):
         ids = part.column("row_id").to_numpy().view(np.uint64)
         at = np.arange(len(ids), dtype=np.uint64)
         yield int(wb.mix64(np.array([np.sum(wb.mix64(ids + wb.mix64(at)))], np.uint64)).view(np.int64)[0]), part
@@ -124,11 +124,11 @@ def _rows(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def _ask(buckets: int):
+def _ask(buckets: int, run_bytes: int):
     """(run, bucket, kind, keys, own counts): the distinct words (kind 0) and pairs (kind 1) of a run."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, part in _named(batches):
+        for name, part in _named(batches, run_bytes):
             token, before, row = _tokens(part.column("text"))
             train = ~part.column("held").to_numpy(zero_copy_only=False).astype(bool)[row]
             out = []
@@ -165,13 +165,17 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _blobs([*out, (0, held[0][1], held[0][2] + 2, sums, b"")])
 
 
-def _body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _body(run_bytes: int):
     """A run with its texts, to meet the answers; bucket -1."""
-    for name, part in _named(batches):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-            writer.write_batch(part)
-        yield _blobs([(name, -1, 0, sink.getvalue().to_pybytes(), b"")])
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, part in _named(batches, run_bytes):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(part)
+            yield _blobs([(name, -1, 0, sink.getvalue().to_pybytes(), b"")])
+
+    return body
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +302,7 @@ def _scores(tokens: int, types: int, documents: int, weights: np.ndarray):
     return _by_run(handle)
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per row of ``docs``.
 
     Null and empty texts consist of the end alone. Without training documents every count is
@@ -311,14 +315,14 @@ def score(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(12, -(-size // 4 // BUCKET_KEYS))
     shape = "run long, bucket int, kind int, keys binary, counts binary"
-    questions = held.mapInArrow(_ask(partitions), shape).repartition(partitions, "bucket", "kind")
+    questions = held.mapInArrow(_ask(partitions, run_bytes), shape).repartition(partitions, "bucket", "kind")
     answers = cut(questions.sortWithinPartitions("bucket", "kind").mapInArrow(_answer, shape), "lm-answers")
     tokens, types = 0, 0
     for r in answers.where("kind = 2").select("keys").collect():  # one row per bucket
         sums = np.frombuffer(r["keys"], np.int64)
         tokens, types = tokens + int(sums[0]), types + int(sums[1])
     documents = held.where("NOT held").select("row_id").count()
-    meeting = held.mapInArrow(_body, shape).unionByName(answers.where("kind < 2"))
+    meeting = held.mapInArrow(_body(run_bytes), shape).unionByName(answers.where("kind < 2"))
     meeting = meeting.repartition(partitions, "run").sortWithinPartitions("run")
     runs = cut(
         meeting.mapInArrow(

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20  # texts handled at once; a longer text is handled alone
+CHUNK_BYTES = 2 << 20  # texts handled at once; a longer text is handled alone
 _HASH_BYTES = 1 << 20  # bytes of words hashed at once, so one long text needs little more than itself
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -45,8 +45,8 @@ def _places(n: int) -> np.ndarray:
     return _place
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose texts come to ``CHUNK_BYTES`` at most, or of one row."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose texts come to ``limit`` bytes at most, or of one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -55,7 +55,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
         row = 0
         while row < batch.num_rows:
             before = ends[row - 1] if row else 0
-            end = max(row + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, "right")))
+            end = max(row + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(row, end - row)
             row = end
 
