@@ -7,6 +7,7 @@ rules, multi-label pattern sets, gazetteers, point tables and bands.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -15,51 +16,107 @@ from pyspark.sql import functions as F
 _SPECIAL = set(".^$*+?{}[]\\|()")
 
 
-def split_alternatives(pattern: str) -> list[str]:
-    """Split at the ``|`` signs that stand outside every group and class."""
-    parts, depth, start, i = [], 0, 0, 0
+def _tokens(pattern: str) -> list[tuple[str, str]]:
+    """Pieces of a regex: ('text' | 'other' | 'open' | 'close' | 'or' | 'repeat', source).
+
+    A class, an escape and a quantifier are one piece each. Only a backslash before a sign
+    that is no letter or digit stands for that sign; any other escape is 'other'.
+    """
+    out: list[tuple[str, str]] = []
+    i = 0
     while i < len(pattern):
-        c = pattern[i]
+        c, end, kind = pattern[i], i + 1, "other"
         if c == "\\":
-            i += 1
-        elif c in "([":
-            depth += 1
-        elif c in ")]":
-            depth -= 1
-        elif c == "|" and depth == 0:
-            parts.append(pattern[start:i])
-            start = i + 1
-        i += 1
-    return [*parts, pattern[start:]]
+            follower = pattern[i + 1 : i + 2]
+            end = i + 2
+            if follower == "Q":
+                stop = pattern.find("\\E", end)
+                end = len(pattern) if stop < 0 else stop + 2
+            elif follower in "pPxNkuc0" and follower:
+                body = re.compile(r"\{[^}]*\}|<[^>]*>|[0-9A-Fa-f]{1,4}|[A-Za-z@\[-_]").match(pattern, end)
+                end = body.end() if body else end
+            elif follower and not follower.isalnum():
+                kind = "text"
+        elif c == "[":
+            depth = 0
+            while end <= len(pattern):
+                d = pattern[end - 1]
+                if d == "\\":
+                    end += 1
+                elif d == "[":
+                    depth += 1
+                    end += pattern[end : end + 1] == "^"
+                    end += pattern[end : end + 1] == "]"
+                elif d == "]":
+                    depth -= 1
+                    if depth == 0:
+                        break
+                end += 1
+            end = min(end, len(pattern))
+        elif c == "(":
+            kind = "open"
+            inside = re.compile(r"\(\?[^()]*?[:=!>)]").match(pattern, i)
+            if inside:
+                end = inside.end()
+                kind = "flags" if inside.group().endswith(")") else "open"
+        elif c == ")":
+            kind = "close"
+        elif c == "|":
+            kind = "or"
+        elif c in "?*+":
+            kind = "repeat"
+            while pattern[end : end + 1] in ("?", "+") and end < len(pattern):
+                end += 1
+        elif c == "{":
+            body = re.compile(r"\{\d+(,\d*)?\}[?+]?").match(pattern, i)
+            if body:
+                end, kind = body.end(), "repeat"
+        elif c not in _SPECIAL:
+            kind = "text"
+        out.append((kind, pattern[i:end]))
+        i = end
+    return out
+
+
+def split_alternatives(pattern: str) -> list[str]:
+    """Split at the ``|`` signs that stand outside every group and class.
+
+    A pattern with inline flags is one part, as they would hold for the parts after them.
+    """
+    pieces = _tokens(pattern)
+    if any(kind == "flags" for kind, _ in pieces):
+        return [pattern]
+    parts, depth = [""], 0
+    for kind, source in pieces:
+        depth += (kind == "open") - (kind == "close")
+        if kind == "or" and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += source
+    return parts
 
 
 def required_literal(pattern: str) -> str:
     """The longest plain text every match of ``pattern`` must contain ('' if there is none).
 
-    Text inside groups and classes is ignored, and so is a character made optional by a
-    following ``?`` or ``*``; what is left is a necessary condition, cheap to test first.
+    Only characters outside every group and class count, and none that a quantifier follows:
+    what is left is a necessary condition, cheap to test first. A pattern with inline flags
+    or alternatives outside groups has none.
     """
-    runs, run, depth, i = [], "", 0, 0
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\":
-            i += 1
-            literal = "" if pattern[i].isalnum() else pattern[i]
-        elif c in "([":
-            depth += 1
-            literal = ""
-        elif c in ")]":
-            depth -= 1
-            literal = ""
-        else:
-            literal = "" if c in _SPECIAL else c
-        optional = i + 1 < len(pattern) and pattern[i + 1] in "?*{"
-        if depth == 0 and literal and not optional:
-            run += literal
+    pieces = _tokens(pattern)
+    if any(kind == "flags" for kind, _ in pieces):
+        return ""
+    runs, run, depth = [], "", 0
+    for n, (kind, source) in enumerate(pieces):
+        if kind == "or" and depth == 0:
+            return ""
+        depth += (kind == "open") - (kind == "close")
+        repeated = n + 1 < len(pieces) and pieces[n + 1][0] == "repeat"
+        if kind == "text" and depth == 0 and not repeated:
+            run += source[-1]
         else:
             runs.append(run)
             run = ""
-        i += 1
     return max([*runs, run], key=len)
 
 

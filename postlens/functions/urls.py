@@ -28,13 +28,30 @@ def canonical(href: Column, base: Column) -> Column:
     return strip_query(absolute(href, base))
 
 
+def _without_dots(url: Column) -> Column:
+    """Resolve ``.`` and ``..`` segments of the path; none climbs above the site."""
+    site = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    rest = F.substr(url, F.length(site) + 1)
+    path = F.regexp_extract(rest, r"^([^?#]*)", 1)
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.array_append(kept, part))
+
+    parts = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))
+    folded = F.aggregate(parts, F.array(F.lit("")), step)
+    folder = F.when(path.rlike(r"/\.{1,2}$"), F.array_append(folded, F.lit(""))).otherwise(folded)
+    resolved = F.concat(site, F.array_join(folder, "/"), F.substr(rest, F.length(path) + 1))
+    return F.when((site != "") & path.rlike(r"/\.{1,2}(/|$)"), resolved).otherwise(url)
+
+
 def join(base: Column, href: Column) -> Column:
-    """Resolve a link found on page ``base`` (scheme-relative, root, query, relative forms)."""
+    """Resolve a link found on page ``base`` (scheme-relative, root, query, relative forms, dot segments)."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     page = strip_query(base)
     folder = F.when(page == site, F.concat(site, F.lit("/"))).otherwise(F.regexp_replace(page, "[^/]*$", ""))
-    return (
+    resolved = (
         F.when((F.coalesce(base, F.lit("")) == "") | href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, href))
         .when(href.startswith("/"), F.concat(site, href))
@@ -43,6 +60,7 @@ def join(base: Column, href: Column) -> Column:
         .when(href.startswith("./"), F.concat(folder, F.substr(href, F.lit(3))))
         .otherwise(F.concat(folder, href))
     )
+    return _without_dots(resolved)
 
 
 def set_query_param(url: Column, key: str, value: Column) -> Column:

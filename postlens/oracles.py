@@ -8,7 +8,6 @@ functions instead of keyed aggregations.
 from __future__ import annotations
 
 from postlens.bindings import POSTINGS_RAW_SQL, TODAY
-from postlens.functions.rules import required_literal
 from postlens.packs import food_au as pack
 
 WS = r"[\t-\r\x1C-\x20\x85\p{Z}]"
@@ -42,9 +41,7 @@ def re2(pattern: str) -> str:
 
 def any_re(e: str, patterns) -> str:
     def test(pattern: str) -> str:
-        literal = required_literal(pattern) if "|" not in pattern else ""
-        guard = f"contains({e}, {q(literal)}) AND " if literal else ""
-        return f"({guard}regexp_matches({e}, {q(re2(pattern))}))"
+        return f"regexp_matches({e}, {q(re2(pattern))})"
 
     return "(" + " OR ".join(test(p) for p in patterns) + ")"
 
@@ -630,7 +627,7 @@ c AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS company_id, s_name AS name, n_
     "source_union": with_(
         f"{RAW}, {COMPANIES}",
         "SELECT seq, source, title, company_id, CASE WHEN source = 'official_ats' THEN location END AS location, CASE WHEN source <> 'official_ats' THEN salary_raw END AS salary_raw "
-        "FROM raw WHERE company_id IN (SELECT company_id FROM companies WHERE active)",
+        "FROM raw WHERE company_id IS NULL OR company_id IN (SELECT company_id FROM companies WHERE active)",
     ),
     "page_dedup": with_(RAW, "SELECT source, title, company_name, min(seq) AS seq, CAST(floor(min(seq) / 20) AS BIGINT) AS page_no FROM raw GROUP BY 1, 2, 3"),
     "title_tail_location": with_(
@@ -673,7 +670,7 @@ c AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS company_id, s_name AS name, n_
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_ingest": with_(
         f"{NORM}, ids AS MATERIALIZED (SELECT *, {_ID} AS id FROM norm)",
-        "SELECT id, max(seq) AS seq, arg_max(title, seq) AS title, 'new' AS status FROM ids GROUP BY id",
+        "SELECT id, max(seq) AS seq, arg_max(title, seq) AS title, 'new' AS status, true AS seen_now FROM ids GROUP BY id",
     ),
     "pipeline_run": with_(
         f"{SCORED}, {ER.replace(NORM + ',', '', 1)}",

@@ -388,11 +388,11 @@ REASONS = {
 }
 # (signals, categories, text): shown when any of the signals fired or the category is listed.
 TIPS = [
-    (["multi_site_national"], [], "Emphasize PepsiCo national quality across 8 plants"),
+    (["multi_site_national"], [], "Emphasize national quality scope across several sites"),
     (["supplier_vendor_assurance", "co_packer"], [],
-     "Highlight co-packer & supplier quality from PepsiCo/Bunge"),
+     "Highlight co-packer and supplier quality work"),
     (["food_safety_cert"], [], "Lead with FSSC 22000, HACCP, audit readiness"),
-    (["laboratory"], [], "Highlight Bunge QFS lab management"),
+    (["laboratory"], [], "Highlight laboratory management"),
     (["manages_quality_team", "site_leadership"], [],
      "Foreground team leadership and site-level QA ownership"),
     (["regulatory_compliance"], ["regulatory_affairs_manager_food"],

@@ -139,3 +139,24 @@ def test_required_literal_is_necessary():
     assert rules.required_literal(r"fssc\s?22000") == "22000"
     assert rules.required_literal(r"manage[s]? (?:a|the)? ?(?:quality|qa) team") == "manage"
     assert rules.required_literal(r"\baudits?\b") == "audit"
+
+
+def test_required_literal_is_in_every_match(spark):
+    cases = [
+        (r"\d{4}", "", "grade 1999"), (r"\p{L}+", "", "abc"), ("ab{0,2}c", "a", "ac"), (r"\x41bc", "", "Abc"), ("[(|]ab|c", "", "c"),
+        (r"a\.b", "a.b", "a.b"), ("(?i)abc", "", "ABC"), ("colou?r", "colo", "color"), ("[^]]x", "x", "ax"), ("[a[b]c]d", "d", "bd"),
+        (r"\Qa|b\E", "", "a|b"), ("x(?:y|z)end", "end", "xyend"), (r"\bqa\b lead", " lead", "qa lead"), ("a*b+c", "c", "bc"),
+    ]
+    for pattern, literal, sample in cases:
+        assert rules.required_literal(pattern) == literal, pattern
+        df = spark.createDataFrame([(sample,)], "t string")
+        assert df.where(rules.matches_sql("t", pattern)).count() == 1, pattern
+    assert rules.split_alternatives("[(|]ab|c") == ["[(|]ab", "c"] and rules.split_alternatives("(a|b)|c") == ["(a|b)", "c"]
+
+
+def test_vectors_of_another_length_have_no_cosine(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [1.0, 0.0, 0.0]), (4, None), (5, [0.0, 2.0])], "id long, v array<double>")
+    got = {r.id: r.s for r in vectors.with_cosine(df, "v", [1.0, 0.0], "s").collect()}
+    assert got == {1: 1.0, 2: None, 3: None, 4: None, 5: 0.0}
+    built_in = df.select("id", vectors.cosine(F.col("v"), F.array(F.lit(1.0), F.lit(0.0))).alias("s"))
+    assert {r.id: r.s for r in built_in.collect()} == got
