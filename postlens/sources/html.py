@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlens.functions import urls
-from postlens.functions.text import blank_to_null, clean_text, title_tail_location
+from postlens.functions.text import blank_to_null, clean_text, decode_entities, title_tail_location
 from postlens.packs import food_au as pack
 from postlens.sources import html_tree
 
@@ -52,23 +52,35 @@ LINKEDIN_CARDS = {
     "date": ["time@datetime", "time"],
     "urn": ["@data-entity-urn"],
 }
+BOARD_CARDS = {"seek": SEEK_CARDS, "jora": JORA_CARDS, "linkedin": LINKEDIN_CARDS}
 REDUX_MARKER = r"window\.SEEK_REDUX_DATA\s*=\s*"
 
 
+# The rest of a tag: quoted values may hold any sign.
+_IN_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+_ATTRIBUTE = r"""(?s)([^\s=>"'/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def _href(anchor: Column) -> Column:
+    """The decoded value of the anchor's first href attribute, quoted or not; '' without one."""
+    tag = F.regexp_extract(anchor, rf"(?is)^<a({_IN_TAG})>", 1)
+    attributes = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0))
+    href = F.get(F.filter(attributes, lambda x: x.rlike(r"(?i)^href\s*=")), F.lit(0))
+    value = F.regexp_replace(href, r"""(?is)^href\s*=\s*["']?|["']$""", "")
+    return F.trim(decode_entities(F.coalesce(value, F.lit(""))))
+
+
 def anchor_postings(pages: DataFrame, html: str, base: str, any_link: bool = False) -> DataFrame:
     """Posting links of a page, one row per (page, URL), first occurrence kept.
 
     ``any_link`` lifts the posting-path test for sites with their own link scheme.
     """
     # Tags other than anchors and raw-text blocks cannot contribute; one regex pass finds
-    # every anchor with its content.
-    pattern = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>"
+    # every anchor, and the short matches are then taken apart.
     body = F.regexp_replace(F.col(html), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(body, F.lit(pattern), F.lit(1)).alias("href"),
-        F.regexp_extract_all(body, F.lit(pattern), F.lit(2)).alias("inner"),
-    )
-    links = pages.select("*", F.posexplode(pairs).alias("pos", "a")).drop(html)
+    found_at = F.regexp_extract_all(body, F.lit(rf"(?is)<a(?=\s){_IN_TAG}>.*?</a\s*>"), F.lit(0))
+    parts = F.transform(found_at, lambda a: F.struct(_href(a).alias("href"), F.regexp_extract(a, rf"(?is)^<a{_IN_TAG}>(.*)</a\s*>$", 1).alias("inner")))
+    links = pages.select("*", F.posexplode(parts).alias("pos", "a")).drop(html)
     href = F.lower("a.href")
     ignored = F.lit(False)
     for prefix in IGNORED_HREFS:
@@ -118,13 +130,17 @@ def advertiser(name: Column) -> Column:
     return F.when(F.lower(company).isin(pack.HIDDEN_ADVERTISERS), F.lit("")).otherwise(company)
 
 
-def board_postings(found: DataFrame, source: str, base: str) -> DataFrame:
+def _site(base: str | Column) -> Column:
+    return F.lit(base) if isinstance(base, str) else base
+
+
+def board_postings(found: DataFrame, source: str, base: str | Column) -> DataFrame:
     """Card rows of a board to raw postings: canonical link, id from link, hidden names."""
-    link, site = F.col("link"), F.lit(base)
+    link, site = F.col("link"), _site(base)
     job_id = urls.job_id(urls.canonical(link, site), source, F.col("urn"))
     url = urls.canonical(link, site)
     if source == "seek":
-        url = F.when(job_id.isNotNull(), F.concat(F.lit(base + "/job/"), job_id)).otherwise(url)
+        url = F.when(job_id.isNotNull(), F.concat(site, F.lit("/job/"), job_id)).otherwise(url)
     return found.select(
         *[c for c in found.columns if c not in CARD_FIELDS],
         F.lit(source).alias("source"),
@@ -152,7 +168,7 @@ _RECORD = (
 )
 
 
-def embedded_json(pages: DataFrame, html: str, base: str) -> DataFrame:
+def embedded_json(pages: DataFrame, html: str, base: str | Column) -> DataFrame:
     """Postings of the state object a results page assigns to a script variable."""
     marker = F.regexp_extract(F.col(html), f"(?s){REDUX_MARKER}", 0)
     start = F.when(marker != "", F.position(marker, F.col(html)) + F.length(marker)).otherwise(F.lit(0))
@@ -171,7 +187,7 @@ def embedded_json(pages: DataFrame, html: str, base: str) -> DataFrame:
         F.lit("seek").alias("source"),
         clean_text(F.col("r.title")).alias("title"),
         advertiser(F.coalesce(blank_to_null(F.col("r.companyName")), F.col("r.advertiser.description"))).alias("company_name"),
-        F.concat(F.lit(base + "/job/"), blank_to_null(F.col("r.id"))).alias("apply_url"),
+        F.concat(_site(base), F.lit("/job/"), blank_to_null(F.col("r.id"))).alias("apply_url"),
         blank_to_null(F.col("r.id")).alias("source_job_id"),
         F.get(labels, F.lit(0)).alias("location"),
         text["teaser"].alias("description"),

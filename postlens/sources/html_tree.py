@@ -21,21 +21,24 @@ class Node:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
 
-    def walk(self):
-        for child in self.children:
+    def _below(self):
+        """Nodes and texts in document order; a stack, as pages may nest to any depth."""
+        stack = [iter(self.children)]
+        while stack:
+            child = next(stack[-1], None)
+            if child is None:
+                stack.pop()
+                continue
+            yield child
             if isinstance(child, Node):
-                yield child
-                yield from child.walk()
+                stack.append(iter(child.children))
 
-    def text(self, separator: str = "", strip: bool = False) -> str:
-        return separator.join(self._texts(strip))
+    def walk(self):
+        return (child for child in self._below() if isinstance(child, Node))
 
-    def _texts(self, strip: bool):
-        for child in self.children:
-            if isinstance(child, Node):
-                yield from child._texts(strip)
-            elif not strip or child.strip():
-                yield child.strip() if strip else child
+    def text(self, separator: str = "", strip: bool = False) -> str:
+        texts = (child for child in self._below() if not isinstance(child, Node))
+        return separator.join(t.strip() if strip else t for t in texts if not strip or t.strip())
 
 
 class _Builder(HTMLParser):

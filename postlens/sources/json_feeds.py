@@ -159,10 +159,17 @@ def lever(payloads: DataFrame) -> DataFrame:
     )
 
 
+DETAIL_KEY = ["source", "company_id", "detail_key"]
+
+
+def _details(details: DataFrame, description: Column) -> DataFrame:
+    landed = F.col("landed_at") if "landed_at" in details.columns else F.lit(None).cast("timestamp")
+    return details.select(*DETAIL_KEY, landed.alias("landed_at"), blank_to_null(clean_text(description)).alias("description"))
+
+
 def workday_detail(details: DataFrame) -> DataFrame:
-    """``(detail_key, description)`` of landed detail bodies."""
-    text = F.get_json_object("payload", "$.jobPostingInfo.jobDescription")
-    return details.select("detail_key", blank_to_null(clean_text(text)).alias("description"))
+    """``(source, company_id, detail_key, landed_at, description)`` of landed detail bodies."""
+    return _details(details, F.get_json_object("payload", "$.jobPostingInfo.jobDescription"))
 
 
 def smartrecruiters_detail(details: DataFrame) -> DataFrame:
@@ -170,25 +177,26 @@ def smartrecruiters_detail(details: DataFrame) -> DataFrame:
         blank_to_null(F.get_json_object("payload", f"$.jobAd.sections.{s}.text"))
         for s in ("jobDescription", "qualifications")
     ]
-    return details.select("detail_key", blank_to_null(clean_text(F.concat_ws("\n", *parts))).alias("description"))
+    return _details(details, F.concat_ws("\n", *parts))
 
 
 def with_details(rows: DataFrame, key: Column, details: DataFrame) -> DataFrame:
-    """Left join of list rows to their details; rows without a detail keep a NULL description."""
-    one = details.groupBy("detail_key").agg(F.min("description").alias("_description"))
-    return (
-        rows.withColumn("detail_key", key)
-        .join(one, "detail_key", "left")
-        .withColumn("description", F.col("_description"))
-        .drop("detail_key", "_description")
-    )
+    """Left join of list rows to the latest detail of their own company; without one the description is NULL."""
+    latest = F.max(F.struct(F.coalesce("landed_at", F.lit(0).cast("timestamp")), "description"))
+    one = details.where("description is not null").groupBy(*[F.col(k).alias(f"_d_{k}") for k in DETAIL_KEY]).agg(latest.alias("_d"))
+    keyed = rows.withColumn("detail_key", key)
+    same = F.lit(True)
+    for k in DETAIL_KEY:
+        same = same & keyed[k].eqNullSafe(one[f"_d_{k}"])
+    joined = keyed.join(one, same, "left")
+    return joined.withColumn("description", F.col("_d.description")).select(*rows.columns)
 
 
 def payload_kind(payload: Column) -> Column:
     """Shape of a landed body, from the marks that tell the shapes apart."""
     text = F.trim(F.coalesce(payload, F.lit("")))
-    head = F.lower(F.ltrim(F.substring(text, 1, 512)))
-    rss = head.startswith("<?xml") | head.contains("<rss") | head.contains("<item>") | head.contains("<item ")
+    page = text.rlike(r"(?i)^(<!--.*?-->\s*)*<(!doctype\s+html|html)\b")
+    rss = text.startswith("<?xml") | text.rlike(r"(?i)<rss\b") | (~page & text.rlike(r"(?i)<item\b"))
     return (
         F.when(text == "", F.lit("empty"))
         .when(F.substring(text, 1, 1) == "[", F.lit("postings_array"))

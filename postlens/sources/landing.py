@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from postlens.sources import json_feeds, xml_feeds
+from postlens.sources import html, json_feeds, xml_feeds
 
 PARSERS = {
     "list": json_feeds.workday,
@@ -39,25 +39,81 @@ def keep_first(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_rn", rank).where("_rn = 1").drop("_rn")
 
 
+LANDED_KEY = ["source", "company_id", "page_no"]
+ROW = [
+    "source", "company_id", "page_no", "pos", "title", "company_name", "apply_url", "source_job_id", "location",
+    "description", "posted_date_raw", "salary_raw",
+]
+
+
+def _anchors(pages: DataFrame) -> DataFrame:
+    slim = pages.select(*LANDED_KEY, F.coalesce("company_name", F.lit("")).alias("company_name"), "base_url", "payload")
+    return html.anchor_postings(slim, "payload", "base_url")
+
+
+def _boards(pages: DataFrame) -> list[DataFrame]:
+    site = F.regexp_replace("base_url", "/+$", "")
+    out = []
+    for board, config in html.BOARD_CARDS.items():
+        found = html.cards(pages.where(F.col("source") == board), "payload", config, ["company_id", "base_url", "page_no"])
+        out.append(html.board_postings(found, board, site))
+    return out
+
+
+def _state(pages: DataFrame) -> DataFrame:
+    slim = pages.select("company_id", "base_url", "page_no", "payload")
+    return html.embedded_json(slim, "payload", F.regexp_replace("base_url", "/+$", ""))
+
+
+def _complete(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ROW])
+
+
 def parse_all(payloads: DataFrame) -> DataFrame:
-    """Route each payload to the parser of its shape and union the rows."""
+    """Route each payload to the parser of its shape and union the rows, with a stable ``seq``.
+
+    ``seq`` is a hash of (source, company, page, position), so a payload parsed again gives
+    its rows the same numbers. A page of a board goes to the board's cards, any other page
+    to its posting links.
+    """
     routed = payloads.withColumn("kind", json_feeds.payload_kind(F.col("payload")))
-    union = None
-    for kind, parser in PARSERS.items():
-        rows = parser(routed.where(F.col("kind") == kind))
-        union = rows if union is None else union.unionByName(rows, allowMissingColumns=True)
-    return union
+    pages = routed.where("kind = 'html'")
+    board = F.coalesce(F.col("source").isin(*html.BOARD_CARDS), F.lit(False))
+    feeds = [parser(routed.where(F.col("kind") == kind)) for kind, parser in PARSERS.items()]
+    feeds += [_anchors(pages.where(~board)), *_boards(pages), _state(routed.where("kind = 'embedded_json'"))]
+    union = _complete(feeds[0])
+    for feed in feeds[1:]:
+        union = union.unionByName(_complete(feed))
+    return union.withColumn("seq", F.xxhash64(*LANDED_KEY, "pos").bitwiseAND(F.lit((1 << 63) - 1)))
+
 
+def ingest_errors(payloads: DataFrame) -> DataFrame:
+    """Bodies that gave no row, with their kind and a reason, instead of failing the run.
 
-def unparsed(payloads: DataFrame) -> DataFrame:
-    """Bodies no parser takes: kept aside as ingest errors instead of failing the run."""
+    Reasons: ``empty``, ``unknown_shape``, ``malformed`` (JSON that does not parse) and
+    ``no_rows``. A well-formed JSON list without entries is no error.
+    """
+    parsed = parse_all(payloads).select(*[F.col(k).alias(f"_k_{k}") for k in LANDED_KEY]).distinct()
+    same = F.lit(True)
+    for k in LANDED_KEY:
+        same = same & payloads[k].eqNullSafe(parsed[f"_k_{k}"])
     kind = json_feeds.payload_kind(F.col("payload"))
-    return payloads.withColumn("kind", kind).where(~F.col("kind").isin(*PARSERS, "html", "embedded_json"))
+    silent = payloads.join(parsed, same, "left_anti").withColumn("kind", kind)
+    markup = F.col("kind").isin("rss", "html", "embedded_json")
+    reason = (
+        F.when(F.col("kind") == "empty", "empty")
+        .when(~markup & F.try_parse_json("payload").isNull(), "malformed")
+        .when(F.col("kind") == "unknown_json", "unknown_shape")
+        .when(markup, "no_rows")
+    )
+    return silent.withColumn("reason", reason).where("reason is not null")
 
 
 def active_only(rows: DataFrame, companies: DataFrame) -> DataFrame:
-    """Rows of active companies (rows without a company pass when their source is a board)."""
-    return rows.join(companies.where("active").select("company_id"), "company_id", "left_semi")
+    """Rows of active companies; rows without a company, as boards give them, pass."""
+    active = companies.where("active").select("company_id").distinct()
+    named = rows.where("company_id is not null").join(active, "company_id", "left_semi").select(*rows.columns)
+    return named.unionByName(rows.where("company_id is null"))
 
 
 def source_union(active: DataFrame, *feeds: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from postlens.schema import PAYLOAD
 from postlens.sources import html, html_tree, json_feeds, landing, xml_feeds
 
@@ -16,7 +18,67 @@ def test_malformed_bodies_give_no_rows(spark):
     for parser in (json_feeds.workday, json_feeds.phenom_jobs, json_feeds.phenom_widgets, json_feeds.smartrecruiters, json_feeds.greenhouse, json_feeds.lever):
         assert parser(bad).count() == 0
     assert xml_feeds.rss(landed(spark, "<rss><channel><item>", "no xml")).count() == 0
-    assert landing.unparsed(landed(spark, '{"x": 1}', "<html></html>")).count() == 1
+
+
+def test_every_body_gives_rows_or_an_error(spark):
+    seek = '<article data-automation="normalJob"><a data-automation="jobTitle" href="/job/7?x=1">Quality Lead</a></article>'
+    state = '<script>window.SEEK_REDUX_DATA = {"results": {"jobs": [{"id": "9", "title": "QA"}]}};</script>'
+    rss = "<!-- " + "long comment " * 100 + "--><rss><channel><item><title>QM - Perth</title><link>https://r/1</link></item></channel></rss>"
+    bodies = [
+        ("a", '{"jobPostings": [{"title": "QM", "externalPath": "/job/1"}]}'), ("a", "[broken"), ("a", "<rss><channel><item>"),
+        ("a", '<html><a href="/job/3">Quality Manager</a></html>'), ("seek", f"<html>{seek}</html>"), ("seek", state), ("a", ""),
+        ("a", '{"x": 1}'), (None, rss), ("a", "<html>nothing</html>"), ("a", '{"jobPostings": []}'), ("jora", "<div>" * 5000),
+    ]
+    rows = [(s, "bega", "Bega", "https://h", "Site", i, b) for i, (s, b) in enumerate(bodies)]
+    df = spark.createDataFrame(rows, PAYLOAD)
+    parsed = landing.parse_all(df).collect()
+    assert sorted((r.page_no, r.title, r.apply_url) for r in parsed) == [
+        (0, "QM", "https://h/en-US/Site/job/1"), (3, "Quality Manager", "https://h/job/3"), (4, "Quality Lead", "https://h/job/7"),
+        (5, "QA", "https://h/job/9"), (8, "QM - Perth", "https://r/1"),
+    ]
+    assert len({r.seq for r in parsed}) == 5
+    again = {(r.page_no, r.seq) for r in landing.parse_all(df.repartition(3)).collect()}
+    assert again == {(r.page_no, r.seq) for r in parsed}
+    errors = {r.page_no: r.reason for r in landing.ingest_errors(df).collect()}
+    assert errors == {1: "malformed", 2: "no_rows", 6: "empty", 7: "unknown_shape", 9: "no_rows", 11: "no_rows"}
+
+
+def test_rows_without_a_company_pass(spark):
+    rows = spark.createDataFrame([(1, "on"), (2, "off"), (3, None), (4, "unknown")], "seq long, company_id string")
+    companies = spark.createDataFrame([("on", True), ("off", False)], "company_id string, active boolean")
+    assert sorted(r.seq for r in landing.active_only(rows, companies).collect()) == [1, 3]
+
+
+def test_details_stay_with_their_company(spark):
+    rows = spark.createDataFrame([("s", "a", "/1", None), ("s", "b", "/1", None), (None, "a", "/2", None)], "source string, company_id string, path string, description string")
+    body = lambda t: '{"jobPostingInfo": {"jobDescription": "%s"}}' % t
+    details = spark.createDataFrame(
+        [("s", "a", "/1", "2026-01-01", body("old")), ("s", "a", "/1", "2026-01-02", body("new")), (None, "a", "/2", "2026-01-01", body("c"))],
+        "source string, company_id string, detail_key string, landed_at string, payload string",
+    ).withColumn("landed_at", F.to_timestamp("landed_at"))
+    got = json_feeds.with_details(rows, F.col("path"), json_feeds.workday_detail(details)).collect()
+    assert {(r.company_id, r.path): r.description for r in got} == {("a", "/1"): "new", ("b", "/1"): None, ("a", "/2"): "c"}
+    smart = spark.createDataFrame(
+        [("s", "a", "/1", '{"jobAd": {"sections": {"jobDescription": {"text": "<p>A</p>"}, "qualifications": {"text": "B"}}}}')],
+        "source string, company_id string, detail_key string, payload string",
+    )
+    got = json_feeds.with_details(rows, F.col("path"), json_feeds.smartrecruiters_detail(smart)).collect()
+    assert {r.company_id: r.description for r in got if r.path == "/1"} == {"a": "A B", "b": None}
+
+
+def test_anchor_attributes_and_dot_segments(spark):
+    page = (
+        """<a title="a>b" href="/job/1?a=1&amp;b=2">Quality One</a><a class=x href=/job/2>Quality Two</a>"""
+        """<A HREF='../job/3'>Quality Three</A><a data-href="/job/9" href="./job/4/../5#x">Quality Five</a>"""
+    )
+    df = spark.createDataFrame([(1, "https://h/a/b/list", page)], "id long, url string, html string")
+    got = [r.apply_url for r in html.anchor_postings(df, "html", "url").orderBy("pos").collect()]
+    assert got == ["https://h/job/1?a=1&b=2", "https://h/job/2", "https://h/a/job/3", "https://h/a/b/job/5#x"]
+
+
+def test_deep_pages_do_not_fail():
+    tree = html_tree.parse("<div>" * 5000 + "<p class=x>deep")
+    assert [n.text() for n in html_tree.select(tree, ".x")] == ["deep"] and tree.text() == "deep"
 
 
 def test_list_feed(spark):
