@@ -9,27 +9,32 @@ from postlens.operators.materialize import cut
 from postlens.operators.skew import lookup
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """``(v, root)`` for every vertex of ``edges(a, b)``; root is the smallest vertex.
 
     Each round points every vertex at its smallest neighbour, follows that pointer once
     more, and contracts the edges along it. A vertex that is not a local minimum disappears,
     so the vertices at least halve and the rounds grow with the logarithm of the longest
-    chain. The round's tables are written out; the loop ends when no edge is left.
+    chain. The round's tables are written out; the loop ends when no edge is left. Every
+    lookup weighs a key by the rows that meet it there: neighbours that share a pointer,
+    vertices already merged into a root, edges of a vertex; keys of more than ``hot_rows``
+    are salted.
     """
     edges = cut(edges.where("a <> b").select("a", "b").distinct(), "edges")
     both = edges.union(edges.select("b", "a"))
     roots = both.select(F.col("a").alias("v")).distinct().withColumn("root", F.col("v"))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        nearest = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"), F.count("*").alias("degree"))
-        parent = nearest.select("v", F.least("v", "m").alias("p"), "degree")
-        onward = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        jump = cut(parent.join(onward, "p").select("v", F.col("pp").alias("p"), "degree"), "jumps")
+        nearest = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"))
+        parent = cut(nearest.select("v", F.least("v", "m").alias("p")), "parents")
+        pointed = parent.groupBy("p").agg(F.count("*").alias("weight"))
+        onward = parent.select(F.col("v").alias("p"), F.col("p").alias("pp")).join(pointed, "p")
+        jump = cut(lookup(parent, onward, ["p"], "weight", "v", hot_rows).select("v", F.col("pp").alias("p")), "jumps")
 
         def follow(df: DataFrame, column: str, spread_by: str) -> DataFrame:
-            facts = jump.select(F.col("v").alias(column), "p", "degree")
-            moved = lookup(df, facts, [column], "degree", spread_by)
+            weights = df.groupBy(column).agg(F.count("*").alias("weight"))
+            facts = jump.withColumnRenamed("v", column).join(weights, column)
+            moved = lookup(df, facts, [column], "weight", spread_by, hot_rows)
             return moved.withColumn(column, F.coalesce("p", column)).drop("p")
 
         roots = cut(follow(roots, "root", "v").select("v", "root"), "roots")

@@ -46,25 +46,20 @@ def seen_since(df: DataFrame, column: str, since: datetime, order: list[Column])
 def report_sections(df: DataFrame) -> DataFrame:
     """Postings with their section (1 preferred, 2 board picks, 3 other regions).
 
-    Sections overlap by design. Section 3 keeps the best row per link: the window groups by
-    link there and by row elsewhere, and its ``= 1`` filter is applied before the shuffle.
+    Sections overlap by design. Section 3 keeps the best row per link, so it alone is shuffled;
+    its ``= 1`` filter is applied before that.
     """
-    elsewhere = classify.region("location", "title") == "other"
-    placed = df.withColumn("_else", elsewhere).withColumn(
-        "section",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.when(F.col("source") == pack.SOURCE_PREFERENCE[0], F.lit(1)),
-                    F.when(F.col("source").isin(pack.AGGREGATORS) & ~F.col("_else"), F.lit(2)),
-                    F.when(F.col("_else"), F.lit(3)),
-                )
-            )
-        ),
+    placed = df.withColumn("_else", classify.region("location", "title") == "other")
+    plain = F.array_compact(
+        F.array(
+            F.when(F.col("source") == pack.SOURCE_PREFERENCE[0], F.lit(1)),
+            F.when(F.col("source").isin(pack.AGGREGATORS) & ~F.col("_else"), F.lit(2)),
+        )
     )
-    unit = F.when(F.col("section") == 3, F.col("apply_url")).otherwise(F.col("seq").cast("string"))
-    rank = F.row_number().over(W.partitionBy("section", "_unit").orderBy(*by_score()))
-    return placed.withColumn("_unit", unit).withColumn("_rn", rank).where("_rn = 1").drop("_rn", "_unit", "_else")
+    first_two = placed.withColumn("section", F.explode(plain)).drop("_else")
+    rank = F.row_number().over(W.partitionBy("apply_url").orderBy(*by_score()))
+    third = placed.where("_else").withColumn("section", F.lit(3)).withColumn("_rn", rank).where("_rn = 1")
+    return first_two.unionByName(third.drop("_rn", "_else"))
 
 
 def section_heading() -> Column:
@@ -94,7 +89,7 @@ def digest_summary(digest: DataFrame) -> DataFrame:
 
 
 def alerts(digest: DataFrame, run_id: str, channel: str, sent_at: Column) -> DataFrame:
-    """One log row per posting sent; append it with ``write.mode('append')``."""
+    """One log row per posting sent; ``log_alerts`` stores it."""
     return digest.select(
         F.col("id").alias("job_id"),
         F.lit(run_id).alias("run_id"),
@@ -106,6 +101,18 @@ def alerts(digest: DataFrame, run_id: str, channel: str, sent_at: Column) -> Dat
     )
 
 
+def log_alerts(rows: DataFrame, path: str) -> None:
+    """Add alert rows to the log; a repeated run id replaces its own rows."""
+    writer = rows.write.partitionBy("run_id").mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
+
+
+def write_report(sections: DataFrame, path: str) -> None:
+    """Store the report's sections, each in its own folder and in score order within its files."""
+    ordered = sections.repartitionByRange("section", *by_score()).sortWithinPartitions("section", *by_score())
+    ordered.write.partitionBy("section").mode("overwrite").parquet(path)
+
+
 def digest_lines(top: DataFrame) -> DataFrame:
     """The text block of each listed posting (``top`` carries section, rank and stars)."""
     names = ["title", "company_name", "location", "final_score", "priority_tier", "stars", "apply_url"]

@@ -53,10 +53,11 @@ def run(
     if similarity is None:
         kept = kept.withColumn("similarity", F.lit(0.0))
     else:
-        kept = kept.join(similarity, "seq", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+        one = similarity.groupBy("seq").agg(F.max("similarity").alias("similarity"))
+        kept = kept.join(one, "seq", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     scored = cut(score_all(kept, companies, ratings, today), "run-scored")
     losers = resolved.where("seq <> canonical")
-    canonical_ids = kept.select("cluster", F.col("id").alias("duplicate_of"))
+    canonical_ids = resolved.where("seq = canonical").select("cluster", F.col("id").alias("duplicate_of"))
     sizes = resolved.groupBy("cluster").agg(F.count("*").alias("n"))
     facts = cut(canonical_ids.join(sizes, "cluster"), "run-canonicals")
     linked = lookup(losers, facts, ["cluster"], "n", "seq", hot_rows)
@@ -64,11 +65,11 @@ def run(
         conform(scored, POSTING).unionByName(conform(linked, POSTING)).drop("first_seen", "last_seen"), "run-postings"
     )
     canonical = postings.where("status <> 'duplicate'")
-    top = views.select_for_digest(canonical, min_tier, home_only)
+    top = views.select_for_digest(canonical, min_tier, home_only).orderBy(*views.by_score())
     digest, table = top, None
     if table_path:
         stored = store.read_table(raw.sparkSession, table_path, POSTING)
-        digest = cut(store.new_postings(top, stored), "run-digest")
+        digest = cut(store.new_postings(top, stored), "run-digest").orderBy(*views.by_score())
         store.merge_table(table_path, postings, POSTING, now)
         table = store.maintain_table(raw.sparkSession, table_path, POSTING)
     return Run(postings, top, digest, table, resolve.dedup_stats(resolved))

@@ -512,7 +512,8 @@ def alerts_log(spark, sf_dir):
     digest = store.with_id(views.select_for_digest(scored_table(spark, sf_dir)))
     path = scratch_dir(spark, "alerts")
     log = views.alerts(digest, "run-1", "email", F.lit(datetime(2026, 9, 1)))
-    log.write.mode("append").parquet(path)
+    for _ in range(2):  # a repeated run must not double its rows
+        views.log_alerts(log, path)
     return spark.read.parquet(path).select("job_id", "run_id", "channel", "priority_tier", "strong_alert", day("sent_at"))
 
 
@@ -765,8 +766,15 @@ def ingest_xml_items(spark, sf_dir):
 @query
 def ingest_detail_join(spark, sf_dir):
     body = F.to_json(struct(jobPostingInfo=struct(jobDescription=F.concat(F.lit("<div><p>"), escaped(C("description")), F.lit("</p></div>")))))
-    details = postings_raw(spark, sf_dir).where("seq % 3 <> 0").select(F.concat(F.lit("/job/"), seq_text()).alias("detail_key"), body.alias("payload"))
+    details = postings_raw(spark, sf_dir).where("seq % 3 <> 0").select(
+        F.lit("official_ats").alias("source"), F.lit("bega").alias("company_id"),
+        F.concat(F.lit("/job/"), seq_text()).alias("detail_key"), body.alias("payload"), F.timestamp_seconds(F.lit(2)).alias("landed_at"),
+    )
     rows = json_feeds.workday(workday_pages(spark, sf_dir))
+    # Another company has details under the same paths, and older ones of this company exist.
+    wrong = details.withColumn("payload", F.lit('{"jobPostingInfo":{"jobDescription":"wrong"}}'))
+    other = wrong.withColumn("company_id", F.lit("another"))
+    details = details.unionByName(other).unionByName(wrong.withColumn("landed_at", F.timestamp_seconds(F.lit(1))))
     path = F.regexp_extract("apply_url", "(/job/[0-9]+)$", 1)
     joined = json_feeds.with_details(rows, path, json_feeds.workday_detail(details))
     return joined.select("apply_url", "title", F.when(C("description").isNotNull(), text.description_hash(C("description"))).alias("body_hash"))
@@ -788,6 +796,27 @@ def payload_router(spark, sf_dir):
     return landed.groupBy(json_feeds.payload_kind(C("payload")).alias("kind")).agg(F.count("*").alias("n"))
 
 
+def _landed(spark, sf_dir) -> DataFrame:
+    """Bodies of every shape, and the raw pages as unknown sites."""
+    raw = table(spark, sf_dir, "pages").select(
+        F.lit("site").alias("source"), F.lit(None).cast("string").alias("company_id"), F.lit(None).cast("string").alias("company_name"),
+        C("url").alias("base_url"), F.lit("").alias("site"), C("page_id").alias("page_no"), C("html").alias("payload"),
+    )
+    return cut(all_pages(spark, sf_dir).unionByName(raw), "landed")
+
+
+@query
+def ingest_all(spark, sf_dir):
+    """Raw postings of all landed bodies."""
+    return landing.parse_all(_landed(spark, sf_dir)).select("seq", "source", "company_id", "page_no", "pos", "title", "apply_url", "location")
+
+
+@query
+def ingest_errors(spark, sf_dir):
+    """Landed bodies without a row, by reason."""
+    return landing.ingest_errors(_landed(spark, sf_dir)).select("source", "company_id", "page_no", "kind", "reason")
+
+
 @query
 def source_union(spark, sf_dir):
     """Feeds of different shape side by side; rows of inactive companies drop out."""
@@ -872,7 +901,7 @@ def url_canonical(spark, sf_dir):
 # -- streaming ----------------------------------------------------------------------
 def _events_stream(spark, sf_dir) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    return ingest.file_stream(spark, sf_dir, schema, glob="events.parquet")
+    return ingest.file_stream(spark, f"{sf_dir}/events.parquet", schema)
 
 
 @query
@@ -908,10 +937,13 @@ def stream_ingest(spark, sf_dir):
     from postlens.schema import POSTING
 
     schema = table(spark, sf_dir, "documents").schema
-    landed = ingest.file_stream(spark, sf_dir, schema, glob="documents.parquet")
+    landed = ingest.file_stream(spark, f"{sf_dir}/documents.parquet", schema)
     out, state = scratch_dir(spark, "table"), scratch_dir(spark, "table-state")
     ingest.ingest(landed, _stream_postings, out, POSTING, state).awaitTermination()
-    return store.read_table(spark, out, POSTING).select("id", "seq", "title", "status")
+    stored = store.read_table(spark, out, POSTING)
+    # Both times are the batch's own, so they agree and lie within this run.
+    recent = (C("first_seen") == C("last_seen")) & (C("first_seen") > F.current_timestamp() - F.expr("INTERVAL 1 DAY"))
+    return stored.select("id", "seq", "title", "status", recent.alias("seen_now"))
 
 
 # -- whole run -------------------------------------------------------------------------

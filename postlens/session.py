@@ -63,10 +63,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rebalance an input that has fewer files than the session has cores.
+    """Rebalance an input that is read by fewer tasks than the session has cores.
 
-    A single-row-group file is read by one task, which starves the text stages. Inputs with
-    at least one file per core pass through without a shuffle.
+    A small file of one row group is read by one task, which starves the text stages. An
+    input whose scan splits into a task per core or more passes without a shuffle, so only
+    inputs below cores x ``maxPartitionBytes`` are ever moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,11 +14,28 @@ from pyspark.sql.types import StructType
 from postlens.operators.store import merge_table
 
 
-def file_stream(spark: SparkSession, folder: str, schema: StructType, glob: str | None = None, files_per_batch: int = 1000) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.parquet(folder)
+def file_stream(spark: SparkSession, table: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
+    """Rows of a table as its files land; the table is a folder of files or one file.
+
+    A pattern that fits the table alone stands for either, where a plain path must be a folder.
+    """
+    pattern = f"{table[:-1]}[{table[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
+
+
+def batch_clock(spark: SparkSession, log: str, batch_id: int) -> datetime:
+    """The time at which a batch was first taken up, from a small log beside the checkpoint.
+
+    A replayed batch finds its time there, so it stores what it stored before.
+    """
+    path = f"{log}/batch={batch_id}"
+    try:
+        return spark.read.schema("taken timestamp").parquet(path).first()["taken"]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    spark.sql("SELECT current_timestamp() AS taken").coalesce(1).write.parquet(path)
+    return spark.read.schema("taken timestamp").parquet(path).first()["taken"]
 
 
 def ingest(
@@ -24,12 +43,12 @@ def ingest(
 ) -> StreamingQuery:
     """Upsert every newly landed file into the posting table, then stop.
 
-    The upsert is keyed and takes its clock from the batch id, so a replayed batch leaves
-    the table as it was.
+    The upsert is keyed and a batch keeps the time of its first attempt, so a replayed batch
+    leaves the table as it was.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        now = F.timestamp_seconds(F.lit(batch_id))
+        now = F.lit(batch_clock(batch.sparkSession, f"{checkpoint.rstrip('/')}-clock", batch_id))
         merge_table(table, to_postings(batch), schema, now)
 
     return (
