@@ -1,20 +1,48 @@
-"""A corpus pipeline of five stages over the documents table."""
+"""A corpus pipeline of five stages over the documents table.
+
+Every stage takes (spark, docs, sf_dir) and works on all the rows that the stage before kept;
+all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import mixing, sharding
+from postlens.llm import decontam, jaccard, langid, mixing, sharding
+from postlens.llm.batches import small_batches
 from postlens.operators.materialize import cut
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# Two stages train or iterate, which SQL can't express; tests compare with brute force.
+MIN_LANGUAGE_SCORE = 0.5
+SHARDS = 16
+# Two stages train a model or follow links without end, which SQL can't express; tests compare
+# the run with brute force.
 ORACLE_SQL = None
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told: no letters or a score below one half, and they go."""
+    small_batches(spark)
+    labelled = langid.identify(docs)
+    sure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    return labelled.where(sure).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, with the smallest doc_id."""
+    small_batches(spark)
+    return jaccard.drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    small_batches(spark)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.contamination(docs, items, keep=docs.columns).where(~F.col("contaminated")).select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the target weights of their sources."""
+    """Documents repeated, or left out, to meet the target weights of their sources."""
     sizes = cut(docs.select("source", mixing.n_words(F.col("text")).alias("size")), "mix-sizes")
     sized = docs.withColumn("size", mixing.n_words(F.col("text")))
     return mixing.emit(mixing.with_copies(sized, sizes=sizes)).select(*docs.columns)
@@ -22,15 +50,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its shard and slot."""
-    return sharding.shard_rows(docs, [F.col("doc_id"), F.xxhash64("text")], 16)
+    return sharding.shard_rows(docs, [F.col("doc_id"), F.xxhash64("text")], SHARDS)
 
 
-STAGES = [("mixing", mix_sources), ("sharding", shard)]
+STAGES = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources", mix_sources),
+    ("sharding", shard),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn, each written as Parquet and reread as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"corpus-{name}")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = cut(stage(spark, docs, sf_dir), f"corpus-{k}")
     return STAGES[-1][1](spark, docs, sf_dir)
