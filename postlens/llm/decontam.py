@@ -91,8 +91,8 @@ def _count_grams(keys: np.ndarray, lengths: list[int]):
     return count
 
 
-def _matcher(prefixes: list[tuple], names: list[str], first_block: bool):
-    """``prefixes``: (gram, place in the window, size, words, item)."""
+def _matcher(prefixes: list[tuple], names: list[str], first_block: bool, last_block: bool):
+    """``prefixes``: (gram, place in the window, size, words, item). The last block's matcher gives the verdict."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_gram: dict[int, list[tuple]] = defaultdict(list)
@@ -117,34 +117,30 @@ def _matcher(prefixes: list[tuple], names: list[str], first_block: bool):
                         if begin >= low and begin + size <= high and words.text_of(begin, begin + size) == text:
                             hits[row].add((begin - low, size, item))
             columns = [part.column(n) for n in names]
-            n_words = pa.array(words.count.astype(np.int64)) if first_block else part.column("_dc_words")
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64()), ("item", pa.int64())]))
             listed = [[{"start": a, "size": b, "item": c} for a, b, c in sorted(h)] for h in hits]
-            yield pa.RecordBatch.from_arrays([*columns, n_words, pa.array(listed, kind)], [*names, "_dc_words", "_dc_hits"])
+            if last_block:
+                yield pa.RecordBatch.from_arrays([*columns, *_digest(words.count.tolist(), listed)], [*names, *_ADDED])
+            else:
+                kind = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64()), ("item", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(listed, kind)], [*names, "_dc_hits"])
 
     return match
 
 
-def _digest(names: list[str]):
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for n_words, hits in zip(batch.column("_dc_words").to_pylist(), batch.column("_dc_hits").to_pylist(), strict=True):
-                n_hit, covered = 0, 0
-                for h in hits:  # sorted by start
-                    n_hit += max(0, h["start"] + h["size"] - max(covered, h["start"]))
-                    covered = max(covered, h["start"] + h["size"])
-                items = sorted({str(h["item"]) for h in hits})
-                sha = hashlib.sha256(",".join(items).encode()).hexdigest()
-                rows.append((n_words, n_hit, len(items), sha, n_hit > 0 and 100 * n_hit >= HIT_PERCENT * n_words))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in names], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]],
-                [*names, *_ADDED],
-            )
-
-    return digest
+def _digest(n_words: list[int], hits: list[list[dict]]) -> list[pa.Array]:
+    """Columns of the verdict on each document, from its hits in order of their start."""
+    rows = []
+    for words, found in zip(n_words, hits, strict=True):
+        n_hit, covered = 0, 0
+        for h in found:
+            n_hit += max(0, h["start"] + h["size"] - max(covered, h["start"]))
+            covered = max(covered, h["start"] + h["size"])
+        items = sorted({str(h["item"]) for h in found})
+        sha = hashlib.sha256(",".join(items).encode()).hexdigest()
+        rows.append((words, n_hit, len(items), sha, n_hit > 0 and 100 * n_hit >= HIT_PERCENT * words))
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+    return [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
 
 
 def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -178,9 +174,9 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
             (r["gram"], r["place"], r["size"], bytes(r["words"]), r["item_id"])
             for r in ranked.where("known = of").select("rarest.gram", "rarest.place", "size", "words", "item_id").collect()
         ]
-        names = passing.columns if not b else [c for c in passing.columns if c not in ("_dc_words", "_dc_hits")]
-        kept = T.StructType([passing.schema[n] for n in names])
-        schema = T.StructType([*kept.fields, T.StructField("_dc_words", T.LongType()), T.StructField("_dc_hits", HITS)])
-        passing = passing.mapInArrow(_matcher(prefixes, names, not b), schema)
-    schema = T.StructType([*[docs.schema[n] for n in keep], *[T.StructField(n, t) for n, t in _ADDED.items()]])
-    return passing.select(*keep, "_dc_words", "_dc_hits").mapInArrow(_digest(keep), schema)
+        last = b == blocks - 1
+        names = keep if last else list(dict.fromkeys([*keep, "text"]))
+        added = [T.StructField(n, t) for n, t in _ADDED.items()] if last else [T.StructField("_dc_hits", HITS)]
+        schema = T.StructType([*[docs.schema[n] for n in names], *added])
+        passing = passing.mapInArrow(_matcher(prefixes, names, not b, last), schema)
+    return passing
