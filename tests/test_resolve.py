@@ -102,3 +102,14 @@ def test_match_links_plan_has_no_pairwise_join(spark):
     node = resolve.nodes(resolve.pass2(resolve.pass1(resolve.slim(spark.createDataFrame(rows(50, 4), SCHEMA)))))
     plan = resolve.match_links(node)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_components_with_hot_vertices_agree_with_union_find(spark):
+    """A chain of stars, with every key of more than two rows salted."""
+    from postlens.operators.components import connected_components
+
+    edges = [(100 * s, 100 * s + i) for s in range(5) for i in range(1, 12)] + [(100 * s + 3, 100 * (s + 1)) for s in range(3)]
+    edges += [(900, 901), (901, 900), (950, 950)]
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), hot_rows=2).collect()
+    want = {v: (0 if v < 400 else 400 if v < 500 else 900) for e in edges if e[0] != e[1] for v in e}
+    assert {r.v: r.root for r in got} == want and len(got) == len(want)
