@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window as W
 
 from postlens.operators import classify
 from postlens.operators.materialize import cut
@@ -35,11 +36,15 @@ def with_id(df: DataFrame) -> DataFrame:
 
 
 def last_per_key(batch: DataFrame) -> DataFrame:
-    """A batch may hold a key more than once: the last row counts, the first names the id."""
-    rest = [c for c in batch.columns if c not in ("id", "source_job_id")]
-    return batch.groupBy("id").agg(
-        F.max_by(F.struct(*rest), "seq").alias("row"), F.min_by("source_job_id", "seq").alias("source_job_id")
-    ).select("id", "source_job_id", "row.*")
+    """A batch may hold a key more than once: the last row counts, the first names the id.
+
+    ``row_number() = 1`` drops earlier wide rows before the shuffle; the first row's job id
+    comes from two slim columns.
+    """
+    rank = F.row_number().over(W.partitionBy("id").orderBy(F.col("seq").desc_nulls_last()))
+    last = batch.withColumn("_rn", rank).where("_rn = 1").drop("_rn", "source_job_id")
+    first = batch.groupBy("id").agg(F.min_by("source_job_id", "seq").alias("source_job_id"))
+    return last.join(first, "id").select("id", "source_job_id", *[c for c in last.columns if c != "id"])
 
 
 def upsert(stored: DataFrame, batch: DataFrame, now: Column, legacy_status_overwrite: bool = False) -> DataFrame:

@@ -567,6 +567,10 @@ known AS (SELECT DISTINCT ON (normalized_title, company_name, description_hash)
         _STATS,
         "SELECT company_id, name, status, status = 'ok' AS ok, fetched AS job_count, status <> 'ok' AND priority_tier = 'P1' AS failing FROM stats",
     ),
+    "health_gate": with_(
+        _STATS,
+        "SELECT count(*) FILTER (status <> 'ok' AND priority_tier = 'P1') AS failing, count(*) FILTER (status <> 'ok' AND priority_tier = 'P1') = 0 AS passes FROM stats",
+    ),
     "run_stats": (
         f"SELECT strftime(ts, '%Y-%m-%d') AS run_id, count(*) AS sources, CAST(sum(floor(value)) AS BIGINT) AS raw_fetched, count(*) FILTER ({_STATUS_OF_EVENT} = 'ok') AS ok, "
         f"count(*) FILTER ({_STATUS_OF_EVENT} = 'blocked') AS blocked, count(*) FILTER ({_STATUS_OF_EVENT} = 'error') AS errors FROM events GROUP BY 1"

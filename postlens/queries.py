@@ -540,6 +540,12 @@ def source_health(spark, sf_dir):
     return health.source_health(_stats(spark, sf_dir))
 
 
+@query
+def health_gate(spark, sf_dir):
+    """Whether the run passes: no unhealthy source of top priority."""
+    return health.gate_passes(health.source_health(_stats(spark, sf_dir)))
+
+
 @query
 def run_stats(spark, sf_dir):
     status = (
