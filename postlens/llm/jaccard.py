@@ -556,12 +556,15 @@ def _residual(together: DataFrame, lead: DataFrame, facts: DataFrame, compared:
 
 
 def decided(docs: DataFrame) -> DataFrame:
-    """``(doc_id, key, size, component_id)`` per row of ``docs``."""
+    """``(doc_id, key, size, component_id, root)`` per row of ``docs``.
+
+    ``root`` is a key that tells components apart also where ids are null or repeat; null for rows without shingles.
+    """
     classes, links, members = link(docs)
     roots = connected_components(links)
     rooted = classes.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("key", "component_id")
+    named = rooted.join(smallest, "root").select("key", "component_id", "root")
     # Many copies of one text share a key: Spark can split a large partition of this join.
     return members.join(named, "key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
@@ -583,10 +586,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Only rows that may have to go are shuffled with their texts; a filter of bounded size
     tells which. Rows without shingles all stay. Of rows that repeat the smallest doc_id
-    within their component one stays.
+    within their component one stays. Components are told apart by their roots, so rows of
+    different components all stay, also if they have no doc_id or the same one.
     """
     rows = cut(decided(docs), "jaccard-decided")
-    repeated = rows.where("size > 0").groupBy("doc_id", "component_id").count().where("count > 1").select("doc_id")
+    repeated = rows.where("size > 0").groupBy("doc_id", "root").count().where("count > 1").select("doc_id")
     doubtful = rows.where("NOT (doc_id <=> component_id)").select("doc_id").union(repeated).distinct()
     bits, _ = wanted_filter(cut(doubtful, "jaccard-doubtful"), "doc_id")
     names = docs.columns
@@ -603,10 +607,12 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, key], [*names, "_jd_key"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("_jd_key", T.LongType())])
-    facts = rows.select(F.col("doc_id").alias("_jd_id"), F.col("key").alias("_jd_of"), "size", "component_id").distinct()
-    facts = facts.select("_jd_id", "_jd_of", F.col("size").alias("_jd_size"), F.col("component_id").alias("_jd_component"))
+    facts = rows.select(F.col("doc_id").alias("_jd_id"), F.col("key").alias("_jd_of"), "size", "component_id", "root").distinct()
+    facts = facts.select(
+        "_jd_id", "_jd_of", F.col("size").alias("_jd_size"), F.col("component_id").alias("_jd_component"), F.col("root").alias("_jd_root")
+    )
     maybe = docs.mapInArrow(unsure, schema)
     joined = maybe.join(facts, (maybe["_jd_key"] == facts["_jd_of"]) & maybe["doc_id"].eqNullSafe(facts["_jd_id"]))
     kept = joined.where(F.col("doc_id").eqNullSafe(F.col("_jd_component")))
-    once = kept.where("_jd_size > 0").dropDuplicates(["doc_id", "_jd_component"])
+    once = kept.where("_jd_size > 0").dropDuplicates(["_jd_root"])
     return docs.mapInArrow(sure, docs.schema).union(once.select(*names)).union(kept.where("_jd_size = 0").select(*names))

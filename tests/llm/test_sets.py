@@ -161,6 +161,15 @@ def test_one_document_of_each_group_stays(spark):
     assert got.count(500) == 2 and got.count(None) == 1
 
 
+def test_unrelated_rows_with_null_or_repeated_ids_all_stay(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(12))
+    alone = [(None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (3, text("f"))]
+    copies = [(None, text("a")), (7, text("d")), (7, text("f")), (None, text("f"))]
+    df = spark.createDataFrame(alone + copies, "doc_id long, text string").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.drop_near_duplicates(df).collect()]
+    assert sorted(kept, key=str) == sorted(alone, key=str)
+
+
 def expected_hits(docs, items):
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     windows = {}
