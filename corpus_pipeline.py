@@ -43,8 +43,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated, or left out, to meet the target weights of their sources."""
-    sizes = cut(docs.select("source", mixing.n_words(F.col("text")).alias("size")), "mix-sizes")
-    sized = docs.withColumn("size", mixing.n_words(F.col("text")))
+    sizes = mixing.sizes_of(docs)
+    sized = docs.withColumns({"size": mixing.n_words(F.col("text")), mixing.MARK: mixing.mark()})
     return mixing.emit(mixing.with_copies(sized, sizes=sizes)).select(*docs.columns)
 
 

@@ -11,6 +11,7 @@ from postlens.operators.materialize import cut
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
 BROADCAST_SOURCES = 100_000  # rows of one string and a few numbers; more are joined by shuffle
+MARK = "_mx_mark"
 _UNIT_DIGITS = 13  # hexadecimal digits of the draw: 52 bits, exact in a double
 
 
@@ -52,27 +53,46 @@ def mix(docs: DataFrame, seed: int = 20) -> DataFrame:
 
     The rate of a source is target / source_size. A document gets floor(rate) copies and one
     more if a number drawn from md5(seed, doc_id) is below the fraction, so reruns agree.
+    Where rows of different source or text have one doc_id, or none, one of them draws so and
+    the others from md5(seed, doc_id, mark): only rows equal in all three draw alike.
     A null text has size 0. A source of size 0 has target 0 and keeps one copy of its
-    documents, which add no words. Rows with the same doc_id draw alike. Columns of these
-    names in the input are replaced. Sources are broadcast up to ``BROADCAST_SOURCES``.
+    documents, which add no words. Columns of these names in the input are replaced.
+    Sources are broadcast up to ``BROADCAST_SOURCES``.
     """
-    return with_copies(docs.withColumn("size", n_words(F.col("text"))), seed)
+    return with_copies(docs.withColumns({"size": n_words(F.col("text")), MARK: mark()}), seed).drop(MARK)
+
+
+def mark() -> Column:
+    """A 64-bit hash that tells rows of one doc_id apart."""
+    return F.xxhash64("source", F.isnull("source"), "text")
+
+
+def sizes_of(docs: DataFrame) -> DataFrame:
+    """One slim row per document, counted in one scan of the texts and written out."""
+    return cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), mark().alias(MARK)), "mix-sizes")
 
 
 def with_copies(sized: DataFrame, seed: int = 20, sizes: DataFrame | None = None) -> DataFrame:
-    """As ``mix`` for rows that have a ``size``; ``sizes`` may hold their (source, size) already."""
-    targets, n = source_targets((sizes or sized).select("source", "size"))
+    """As ``mix`` for rows that have a ``size`` and a ``MARK``; ``sizes`` may hold these columns of all rows already."""
+    slim = sized if sizes is None else sizes
+    targets, n = source_targets(slim.select("source", "size"))
+    # Ids of several marks are few, or one of very many rows: the planner sees the size of their table.
+    marks = slim.groupBy("doc_id").agg(F.min(MARK).alias("_mx_first"), F.max(MARK).alias("_mx_last"))
+    shared = cut(marks.where("_mx_first <> _mx_last").select(F.col("doc_id").alias("_mx_id"), "_mx_first"), "mix-shared")
     facts = targets.select(F.col("source").alias("_mx_source"), "source_size", "target")
     rows = sized.drop("source_size", "target", "copies")
     facts = F.broadcast(facts) if n <= BROADCAST_SOURCES else facts
     joined = rows.join(facts, rows["source"].eqNullSafe(facts["_mx_source"]), "left").drop("_mx_source")
+    joined = joined.join(shared, joined["doc_id"].eqNullSafe(shared["_mx_id"]), "left").drop("_mx_id")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    later = F.col("_mx_first") != F.col(MARK)
+    key = F.when(later, F.concat(key, F.lit(":"), F.col(MARK).cast("string"))).otherwise(key)
     draw = F.conv(F.substring(F.md5(key), 1, _UNIT_DIGITS), 16, 10).cast("double") / F.lit(float(16**_UNIT_DIGITS))
     return (
         joined.withColumn("_mx_rate", rate)
         .withColumn("copies", (F.floor("_mx_rate") + F.when(draw < F.col("_mx_rate") - F.floor("_mx_rate"), 1).otherwise(0)).cast("int"))
-        .drop("_mx_rate")
+        .drop("_mx_rate", "_mx_first")
     )
 
 
@@ -82,6 +102,6 @@ def emit(mixed: DataFrame) -> DataFrame:
 
 
 def assignments(docs: DataFrame, seed: int = 20) -> DataFrame:
-    """One slim row per document: sizes are counted in one scan of the texts and written out."""
-    slim = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
-    return with_copies(slim, seed).withColumn("taken", F.col("size") * F.col("copies"))
+    """One slim row per document."""
+    slim = sizes_of(docs)
+    return with_copies(slim, seed).withColumn("taken", F.col("size") * F.col("copies")).drop(MARK)

@@ -93,6 +93,20 @@ def test_mix_of_nothing_and_of_empty_texts(spark):
     assert [(r[1], r[3]) for r in got] == [(0, 0.0), (0, 0.0)]
 
 
+def test_rows_of_one_id_or_none_draw_apart_and_meet_the_target(spark):
+    docs = [(None, f"w{i} " * 10, "a") for i in range(400)] + [(7, f"v{i} " * 10, "b") for i in range(200)]
+    docs += [(None, f"w{i} " * 10, None) for i in range(400)] + [(None, "w0 " * 10, "a")] * 3
+    df = spark.createDataFrame([(*d, "s", "z") for d in docs], DOCS)
+    draws = lambda x: sorted(map(tuple, mixing.mix(x).select("doc_id", "text", "source", "copies").collect()), key=str)
+    rows = mixing.mix(df).collect()
+    assert draws(df) == draws(df.repartition(5))
+    for source in ("a", "b", None):
+        mine = [r for r in rows if r["source"] == source]
+        taken = sum(r["size"] * r["copies"] for r in mine)
+        assert mine and abs(taken - mine[0]["target"]) < 0.15 * mine[0]["target"]
+    assert len({r["copies"] for r in rows if r["text"] == "w0 " * 10 and r["source"] == "a"}) == 1
+
+
 def test_emit_repeats_rows(spark):
     df = spark.createDataFrame([(1, 0), (2, 1), (3, 3)], "doc_id long, copies int")
     assert sorted(r["doc_id"] for r in mixing.emit(df).collect()) == [2, 3, 3, 3]
