@@ -1,6 +1,8 @@
-"""Remove repeated passages: overlapping three-line windows, found over the whole corpus.
+"""Remove repeated passages, found over the whole corpus: overlapping three-line windows, or any stretch of words.
 
-Only DataFrame functions are used. A line here is a piece of text that ends at a newline, at
+Only DataFrame functions are used. ``dedup_lines`` compares lines, so it also finds short
+passages but only those cut alike; ``dedup_passages`` finds every repeated stretch of
+``PASSAGE_WORDS`` words, wherever it begins and whatever its lines are. A line here is a piece of text that ends at a newline, at
 the end of a sentence, or after ``MAX_LINE_WORDS`` words, with the white space behind it, so
 that a passage without newlines still spans several lines.
 """
@@ -14,10 +16,14 @@ from postlens.operators.materialize import cut
 
 MAX_LINE_WORDS = 16
 MIN_WINDOW_WORDS = 12
+PASSAGE_WORDS = 51
+GRAM_WORDS = 16  # of a fingerprint
+_GRAMS = PASSAGE_WORDS - GRAM_WORDS + 1  # in a passage; the smallest is its fingerprint
 _SPACE = r"\t\n\x0B\f\r\x20"
 _BLANK = r"\t\x0B\f\r\x20"  # white space within a line
 LINE = rf"(?:[^{_SPACE}]*[^{_SPACE}.!?][{_BLANK}]+){{0,{MAX_LINE_WORDS - 1}}}[^{_SPACE}]+[{_SPACE}]*|[{_SPACE}]+"
 WORD = rf"[^{_SPACE}]+"
+PIECE = rf"\A[{_SPACE}]*[^{_SPACE}]+[{_SPACE}]*|[^{_SPACE}]+[{_SPACE}]*|[{_SPACE}]+"
 _KEY = ["_ld_id", "_ld_hash"]
 
 
@@ -51,14 +57,14 @@ def _windows(docs: DataFrame) -> DataFrame:
     return cut_up.where(F.size("lines") >= 3).select(*_KEY, F.inline(windows)).drop("n")
 
 
-def _covered(starts: Column) -> Column:
-    """Flags, from line 0 on, of the lines that the windows at the sorted ``starts`` cover."""
-    before = F.concat(F.array(F.lit(-3)), F.slice(starts, 1, F.size(starts) - 1))
+def _covered(starts: Column, width: int = 3) -> Column:
+    """Flags, from piece 0 on, of the pieces that the windows of ``width`` at the sorted ``starts`` cover."""
+    before = F.concat(F.array(F.lit(-width)), F.slice(starts, 1, F.size(starts) - 1))
     runs = F.zip_with(
         starts, before,
         lambda at, last: F.concat(
-            F.array_repeat(F.lit(False), F.greatest(F.lit(0), at - last - 3)),
-            F.array_repeat(F.lit(True), F.least(F.lit(3), at - last)),
+            F.array_repeat(F.lit(False), F.greatest(F.lit(0), at - last - width)),
+            F.array_repeat(F.lit(True), F.least(F.lit(width), at - last)),
         ),
     )
     return F.flatten(runs)
@@ -97,3 +103,87 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         .withColumn("text", F.when(hit, kept).otherwise(F.col("text")))
         .drop("_ld_h", "_ld_id", "_ld_hash", "_ld_starts", "_ld_flags", "_ld_lines")
     )
+
+
+def pieces_of(text: Column) -> Column:
+    """Words with the white space behind them (the first also before it); joined together they give the text again."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), F.array().cast("array<string>"))
+
+
+def _hashes(text: Column) -> Column:
+    return F.transform(pieces_of(text), lambda x: F.xxhash64(F.trim(x, F.lit("\t\n\x0b\f\r "))))
+
+
+def _starts(array: str, width: int) -> Column:
+    """1-based places in ``array`` where ``width`` of its members begin."""
+    places = F.size(array) - (width - 1)
+    return F.when(places > 0, F.sequence(F.lit(1), places)).otherwise(F.array().cast("array<int>"))
+
+
+def _stretches(docs: DataFrame) -> DataFrame:
+    """``(mark, at, n, _ld_id, _ld_hash)``: runs of ``n`` passages, from word ``at`` on, with one fingerprint.
+
+    The fingerprint of a passage is the smallest hash of its grams, so equal passages have
+    equal ones wherever they are. Every array is used more than once in the next step, or
+    the planner would compute it anew for each member.
+    """
+    hashed = docs.select(F.col("doc_id").alias("_ld_id"), F.xxhash64("text").alias("_ld_hash"), _hashes(F.col("text")).alias("words"))
+    grams = F.transform(_starts("words", GRAM_WORDS), lambda i: F.xxhash64(F.slice("words", i, GRAM_WORDS)))
+    marks = F.transform(_starts("grams", _GRAMS), lambda i: F.array_min(F.slice("grams", i, _GRAMS)))
+    begins = F.filter(_starts("marks", 1), lambda i: (i == 1) | (F.get("marks", i - 1) != F.get("marks", i - 2)))
+
+    def run(begin: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("begins", i + 1), F.size("marks") + 1)
+        return F.struct(F.get("marks", begin - 1).alias("mark"), (begin - 1).alias("at"), (end - begin).alias("n"))
+
+    marked = hashed.select(*_KEY, grams.alias("grams")).select(*_KEY, marks.alias("marks")).select(*_KEY, "marks", begins.alias("begins"))
+    # Outer: else the planner asks for the arrays' sizes first, and computes all of them twice.
+    return marked.select(*_KEY, F.inline_outer(F.transform("begins", run))).where("mark IS NOT NULL")
+
+
+def _passages(docs: DataFrame) -> DataFrame:
+    """``(h1, h2, _ld_id, _ld_hash, pos)`` of the passages whose fingerprint occurs more than once."""
+    stretches = cut(_stretches(docs), "passage-stretches")
+    # One occurrence of a gram is the fingerprint of at most _GRAMS passages in a row.
+    times = F.sum(F.when(F.col("n") > _GRAMS, 2).otherwise(1))
+    many = stretches.groupBy("mark").agg(times.alias("times")).where("times > 1").select("mark")
+    spots = stretches.join(many, "mark").groupBy(*_KEY).agg(F.collect_set(F.struct("at", "n")).alias("spots"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_ld_h"))
+    found = texts.join(spots, texts["doc_id"].eqNullSafe(spots["_ld_id"]) & (texts["_ld_h"] == spots["_ld_hash"]))
+    places = F.flatten(F.transform("spots", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))
+    passage = lambda pos: F.slice("words", pos + 1, PASSAGE_WORDS)
+    window = lambda pos: F.struct(F.xxhash64(passage(pos)).alias("h1"), F.hash(passage(pos)).alias("h2"), pos.alias("pos"))
+    hashed = found.select(*_KEY, places.alias("places"), _hashes(F.col("text")).alias("words"))
+    return hashed.select(*_KEY, F.inline_outer(F.transform("places", window))).where("pos IS NOT NULL")
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` with later occurrences of every stretch of ``PASSAGE_WORDS`` words cut out of ``text``; every row stays.
+
+    Words are separated by white space and compared as they are; the white space may differ.
+    Of the occurrences of a stretch, also overlapping ones, the first is the one with the
+    smallest (doc_id, 64-bit hash of the text, word), null doc_id first. Words covered by any
+    later occurrence go, with the white space behind them. Passages longer than
+    ``PASSAGE_WORDS`` go whole, as each of their stretches repeats; shorter ones stay. Adds
+    ``n_words`` and ``n_removed``. Rows equal in doc_id and text count as one occurrence.
+    Only passages with a fingerprint that occurs again are indexed word by word; equal ones
+    always are. Identity is 96 bits of hash.
+    """
+    passages = cut(_passages(docs), "passage-windows")
+    firsts = (
+        passages.groupBy("h1", "h2").agg(F.min(F.struct(*_KEY, "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    )
+    later = passages.join(firsts, ["h1", "h2"]).where(~F.struct(*_KEY, "pos").eqNullSafe(F.col("first")))
+    starts = later.groupBy(*_KEY).agg(F.array_sort(F.collect_set("pos")).alias("_ld_starts"))
+    out = docs.withColumn("_ld_h", F.xxhash64("text"))
+    out = out.join(starts, out["doc_id"].eqNullSafe(starts["_ld_id"]) & (out["_ld_h"] == starts["_ld_hash"]), "left")
+    hit = F.col("_ld_starts").isNotNull()
+    pieces = F.arrays_zip(pieces_of(F.col("text")).alias("piece"), F.col("_ld_flags").alias("gone"))
+    kept = F.array_join(F.transform(F.filter(pieces, lambda x: ~F.coalesce(x["gone"], F.lit(False))), lambda x: x["piece"]), "")
+    return (
+        out.withColumn("_ld_flags", F.when(hit, _covered(F.col("_ld_starts"), PASSAGE_WORDS)).otherwise(F.array().cast("array<boolean>")))
+        .withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+        .withColumn("n_removed", F.size(F.filter("_ld_flags", lambda x: x)).cast("long"))
+        .withColumn("text", F.when(hit, kept).otherwise(F.col("text")))
+        .drop("_ld_h", "_ld_id", "_ld_hash", "_ld_starts", "_ld_flags")
+    )

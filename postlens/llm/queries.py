@@ -57,6 +57,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deduped = linededup.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return deduped.select("doc_id", "n_words", "n_removed", "text")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
 
@@ -74,6 +79,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_cover_tree_topk, op2_feistel_sharding, op3_chat_windows, op4_ngram_jaccard, op5_quality_classifier, op6_source_mixing, op7_language_id,
-        op8_benchmark_decontamination, op9_line_dedup, op10_deleted_interpolation,
+        op8_benchmark_decontamination, op9_line_dedup, op9_passage_dedup, op10_deleted_interpolation,
     )
 }

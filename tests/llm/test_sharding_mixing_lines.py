@@ -172,6 +172,37 @@ def test_line_dedup_of_nothing_and_of_repeated_rows(spark):
     assert got == [(-1, 0), (1, 4), (1, 4), (2, 0)]
 
 
+def expected_passages(docs):
+    """Passage dedup by the definition, in plain Python."""
+    n, seen, out = linededup.PASSAGE_WORDS, set(), {}
+    for d, text in sorted(docs):
+        w, gone = words(text), set()
+        for i in range(len(w) - n + 1):
+            if tuple(w[i : i + n]) in seen:
+                gone.update(range(i, i + n))
+            seen.add(tuple(w[i : i + n]))
+        out[d] = (len(w), len(gone), [x for i, x in enumerate(w) if i not in gone])
+    return out
+
+
+def test_passages_of_51_words_go_wherever_they_are(spark):
+    rng = random.Random(12)
+    filler = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    plain = [f"p{rng.randrange(10**9)}" for _ in range(51)]
+    lines = [f"q{rng.randrange(10**9)}" for _ in range(51)]  # of two words each
+    two = "".join(x + (" " if i % 2 else ".\n") for i, x in enumerate(lines, 1))
+    docs = [(0, " ".join(filler(20) + plain + filler(20))), (1, " ".join(filler(3)) + "\n" + two)]
+    docs += [(2 + i, " ".join(filler(i) + plain + filler(30 - i))) for i in range(20)]
+    docs += [(30 + i, " ".join(filler(i)) + " " + two + " ".join(filler(5))) for i in range(9)]
+    docs += [(50, " ".join(filler(4) + plain[:50] + filler(4))), (51, "  " + " ".join(["w", "v"] * 70) + "\n"), (52, ""), (53, " \n"), (54, None)]
+    docs += [(60, " ".join(filler(5) + docs[0][1].split()[7:80] * 2)), (61, docs[0][1])]
+    rows = linededup.dedup_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    want = expected_passages([(d, t or "") for d, t in docs])
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], words(r["text"])) for r in rows} == want
+    assert all(want[d][1] == 51 for d in range(2, 22)) and all(want[d][1] == 51 for d in range(30, 39)) and want[61][2] == []
+    assert all(r["text"] == dict(docs)[r["doc_id"]] for r in rows if not r["n_removed"])
+
+
 def test_op2_columns(spark):
     from postlens.llm.queries import op2_feistel_sharding
 
