@@ -51,7 +51,7 @@ def _windows(docs: DataFrame) -> DataFrame:
         )
 
     cut_up = docs.select(
-        F.col("doc_id").alias("_ld_id"), F.hash("text").alias("_ld_hash"), F.transform(lines_of(F.col("text")), facts).alias("lines")
+        F.col("doc_id").alias("_ld_id"), F.xxhash64("text").alias("_ld_hash"), F.transform(lines_of(F.col("text")), facts).alias("lines")
     )
     windows = F.filter(F.transform(F.sequence(F.lit(0), F.size("lines") - 3), window), lambda w: w["n"] >= MIN_WINDOW_WORDS)
     return cut_up.where(F.size("lines") >= 3).select(*_KEY, F.inline(windows)).drop("n")
@@ -73,7 +73,7 @@ def _covered(starts: Column, width: int = 3) -> Column:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with later occurrences of repeated windows cut out of ``text``; every row stays.
 
-    The first occurrence is the one with the smallest (doc_id, 32-bit hash of the text, position),
+    The first occurrence is the one with the smallest (doc_id, 64-bit hash of the text, position),
     null doc_id first. Lines covered by any later occurrence go; the rest is joined
     unchanged, so a document without repeats keeps its text byte for byte, and one that
     repeats others throughout is left with an empty text. Adds ``n_lines`` and
@@ -90,7 +90,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
     later = repeated.join(firsts, ["h1", "h2"]).where(~F.struct(*_KEY, "pos").eqNullSafe(F.col("first")))
     starts = later.groupBy(*_KEY).agg(F.array_sort(F.collect_set("pos")).alias("_ld_starts"))
-    out = docs.withColumn("_ld_h", F.hash("text"))
+    out = docs.withColumn("_ld_h", F.xxhash64("text"))
     out = out.join(starts, out["doc_id"].eqNullSafe(starts["_ld_id"]) & (out["_ld_h"] == starts["_ld_hash"]), "left")
     lines = F.arrays_zip(lines_of(F.col("text")).alias("line"), F.col("_ld_flags").alias("gone"))
     kept = F.array_join(F.transform(F.filter("_ld_lines", lambda x: ~F.coalesce(x["gone"], F.lit(False))), lambda x: x["line"]), "")

@@ -172,6 +172,14 @@ def test_line_dedup_of_nothing_and_of_repeated_rows(spark):
     assert got == [(-1, 0), (1, 4), (1, 4), (2, 0)]
 
 
+def test_texts_of_one_id_with_equal_32_bit_hashes_are_told_apart(spark):
+    shared = " ".join(f"w{j}" for j in range(48))
+    copy, clean = f"{shared} tail27638", " ".join(f"c10391x{j}" for j in range(48))
+    df = spark.createDataFrame([(0, shared), (5, copy), (5, clean)], "doc_id long, text string")
+    assert len({r["h"] for r in df.where("doc_id = 5").select(F.hash("text").alias("h")).collect()}) == 1
+    assert sorted(r["text"] for r in linededup.dedup_lines(df).collect()) == [clean, "tail27638", shared]
+
+
 def expected_passages(docs):
     """Passage dedup by the definition, in plain Python."""
     n, seen, out = linededup.PASSAGE_WORDS, set(), {}
