@@ -121,7 +121,7 @@ def _starts(array: str, width: int) -> Column:
 
 
 def _stretches(docs: DataFrame) -> DataFrame:
-    """``(mark, at, n, _ld_id, _ld_hash)``: runs of ``n`` passages, from word ``at`` on, with one fingerprint.
+    """``(mark, at, n, again, _ld_id, _ld_hash)``: runs of ``n`` passages, from word ``at`` on, with one fingerprint.
 
     The fingerprint of a passage is the smallest hash of its grams, so equal passages have
     equal ones wherever they are. Every array is used more than once in the next step, or
@@ -134,9 +134,11 @@ def _stretches(docs: DataFrame) -> DataFrame:
 
     def run(begin: Column, i: Column) -> Column:
         end = F.coalesce(F.get("begins", i + 1), F.size("marks") + 1)
-        return F.struct(F.get("marks", begin - 1).alias("mark"), (begin - 1).alias("at"), (end - begin).alias("n"))
+        here = F.slice("grams", begin, end - begin + (_GRAMS - 1))
+        again = F.size(F.filter(here, lambda x: x == F.get("marks", begin - 1))) > 1
+        return F.struct(F.get("marks", begin - 1).alias("mark"), (begin - 1).alias("at"), (end - begin).alias("n"), again.alias("again"))
 
-    marked = hashed.select(*_KEY, grams.alias("grams")).select(*_KEY, marks.alias("marks")).select(*_KEY, "marks", begins.alias("begins"))
+    marked = hashed.select(*_KEY, grams.alias("grams")).select(*_KEY, "grams", marks.alias("marks")).select(*_KEY, "grams", "marks", begins.alias("begins"))
     # Outer: else the planner asks for the arrays' sizes first, and computes all of them twice.
     return marked.select(*_KEY, F.inline_outer(F.transform("begins", run))).where("mark IS NOT NULL")
 
@@ -144,8 +146,8 @@ def _stretches(docs: DataFrame) -> DataFrame:
 def _passages(docs: DataFrame) -> DataFrame:
     """``(h1, h2, _ld_id, _ld_hash, pos)`` of the passages whose fingerprint occurs more than once."""
     stretches = cut(_stretches(docs), "passage-stretches")
-    # One occurrence of a gram is the fingerprint of at most _GRAMS passages in a row.
-    times = F.sum(F.when(F.col("n") > _GRAMS, 2).otherwise(1))
+    # Passages that overlap their own repeats have the gram more than once in one run.
+    times = F.sum(F.when(F.col("again"), 2).otherwise(1))
     many = stretches.groupBy("mark").agg(times.alias("times")).where("times > 1").select("mark")
     spots = stretches.join(many, "mark").groupBy(*_KEY).agg(F.collect_set(F.struct("at", "n")).alias("spots"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_ld_h"))

@@ -203,6 +203,7 @@ def test_passages_of_51_words_go_wherever_they_are(spark):
     docs += [(2 + i, " ".join(filler(i) + plain + filler(30 - i))) for i in range(20)]
     docs += [(30 + i, " ".join(filler(i)) + " " + two + " ".join(filler(5))) for i in range(9)]
     docs += [(50, " ".join(filler(4) + plain[:50] + filler(4))), (51, "  " + " ".join(["w", "v"] * 70) + "\n"), (52, ""), (53, " \n"), (54, None)]
+    docs += [(56, " ".join(filler(9) + (plain[:7][::-1] * 9)[:60] + filler(9)))]  # overlaps its own repeats
     docs += [(60, " ".join(filler(5) + docs[0][1].split()[7:80] * 2)), (61, docs[0][1])]
     rows = linededup.dedup_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
     want = expected_passages([(d, t or "") for d, t in docs])
