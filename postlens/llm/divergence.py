@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +23,9 @@ MIN_DOCS = 30  # documents of a language that must have a term
 PRIOR = 5  # added to every count
 DIGITS = 3  # a share is told in units of 1000 ** -DIGITS
 TOP_TERMS = 50
-HELD_ENTRIES = 300_000  # (lang, term, source) counts that a task holds before it writes its stripes out
+HELD_ENTRIES = 1_500_000  # counts by (term, lang, source) that a task holds before it writes its stripes out
+MERGE_ROWS = 50_000  # stripes merged at once
+BATCH_ROWS = 5000
 BUCKET_ENTRIES = 1 << 18  # counts compared at once
 TILE_SOURCES = 512  # sources of a language compared with all others at once
 
@@ -32,63 +35,75 @@ LETTERS = np.zeros(256, bool)  # after lower-casing: a-z and every byte of a cha
 LETTERS[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-def _terms(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct terms of a run of texts, and (text, term, occurrences) of each that a text has."""
-    words = wb.Words(texts, LETTERS)
-    offsets = np.concatenate(([0], np.cumsum(words.end - words.start))).astype(np.int64)
-    letters = np.ascontiguousarray(words.data[LETTERS[words.data]])
-    every = pa.LargeStringArray.from_buffers(len(words.start), pa.py_buffer(offsets), pa.py_buffer(letters))
-    coded = every.dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    cell, times = np.unique(words.row() * max(1, len(names)) + coded.indices.to_numpy(), return_counts=True)
-    return names, cell // max(1, len(names)), cell % max(1, len(names)), times
-
-
 class Stripes:
-    """``(lang, term) -> [documents, {source: occurrences}]``."""
+    """Stripes of the documents folded so far: ``(lang, term) -> documents, {source: occurrences}``.
+
+    Every run of texts adds its distinct terms and, for each (term, lang, source), documents and
+    occurrences; ``spill`` hashes the runs' terms together and adds up what is equal.
+    """
 
     def __init__(self):
-        self.held: dict[tuple[str, str], list] = {}
+        self.terms: list[pa.Array] = []
+        self.cells: list[tuple[np.ndarray, ...]] = []  # term, group, documents, occurrences
+        self.groups: dict[tuple[str, str], int] = {}
         self.entries = 0
 
     def fold(self, texts: pa.Array, langs: list[str], sources: list[str]) -> None:
-        names, row, term, times = _terms(texts)
-        groups = sorted({*zip(langs, sources, strict=True)})
-        code = {g: i for i, g in enumerate(groups)}
-        group = np.array([code[g] for g in zip(langs, sources, strict=True)], np.int64)[row]
-        cell, inverse = np.unique(group * max(1, len(names)) + term, return_inverse=True)
-        docs = np.bincount(inverse, minlength=len(cell)).tolist()
-        occurrences = np.bincount(inverse, times, minlength=len(cell)).astype(np.int64).tolist()
-        for at, n, count in zip(cell.tolist(), docs, occurrences, strict=True):
-            (lang, source), name = groups[at // len(names)], names[at % len(names)]
-            stripe = self.held.get((lang, name))
-            if stripe is None:
-                stripe = self.held[lang, name] = [0, {}]
-            stripe[0] += n
-            by_source = stripe[1]
-            if source not in by_source:
-                self.entries += 1
-                by_source[source] = count
-            else:
-                by_source[source] += count
+        words = wb.Words(texts, LETTERS)
+        group = np.array([self.groups.setdefault(g, len(self.groups)) for g in zip(langs, sources, strict=True)], np.int64)
+        if not len(words.start):
+            return
+        offsets = np.concatenate(([0], np.cumsum(words.end - words.start))).astype(np.int64)
+        letters = np.ascontiguousarray(words.data[LETTERS[words.data]])
+        every = pa.LargeStringArray.from_buffers(len(words.start), pa.py_buffer(offsets), pa.py_buffer(letters))
+        coded = every.dictionary_encode()
+        n = len(coded.dictionary)
+        cell, times = np.unique(words.row() * n + coded.indices.to_numpy(), return_counts=True)
+        cell, at = np.unique(group[cell // n] * n + cell % n, return_inverse=True)
+        docs, occurrences = np.bincount(at), np.bincount(at, times)
+        self.terms.append(coded.dictionary)
+        self.cells.append((cell % n, cell // n, docs.astype(np.int64), occurrences.astype(np.int64)))
+        self.entries += len(cell)
 
     def spill(self) -> Iterator[pa.RecordBatch]:
-        items = list(self.held.items())
-        self.held, self.entries = {}, 0
-        yield from _batches([(lang, term, docs, by_source) for (lang, term), (docs, by_source) in items])
-
-
-def _batches(stripes: list[tuple]) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(stripes), 5000):
-        langs, terms, docs, by_source = zip(*stripes[i : i + 5000], strict=True)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(langs, pa.string()), pa.array(terms, pa.string()), pa.array(docs, pa.int64()),
-                pa.array([list(x) for x in by_source], pa.list_(pa.string())),
-                pa.array([list(x.values()) for x in by_source], pa.list_(pa.int64())),
-            ],
-            ["lang", "term", "docs", "sources", "counts"],
+        if not self.entries:
+            return
+        coded = pa.concat_arrays(self.terms).dictionary_encode()
+        code = coded.indices.to_numpy()
+        begin = np.cumsum([0, *[len(t) for t in self.terms]])
+        names = sorted(self.groups)
+        lang_of = np.unique([g[0] for g in names], return_inverse=True)[1]
+        place = np.empty(len(names), np.int64)
+        for i, g in enumerate(names):
+            place[self.groups[g]] = i
+        term = np.concatenate([code[b + c[0]] for b, c in zip(begin, self.cells, strict=False)]).astype(np.int64)
+        group, docs, occurrences = (np.concatenate([c[k] for c in self.cells]) for k in (1, 2, 3))
+        cell, at = np.unique(term * len(names) + place[group], return_inverse=True)
+        docs, occurrences = (np.bincount(at, x).astype(np.int64) for x in (docs, occurrences))
+        term, group = cell // len(names), cell % len(names)
+        yield from _batches(
+            term * len(names) + lang_of[group], coded.dictionary.take(pa.array(term)),
+            pa.array([g[0] for g in names], pa.string()).take(pa.array(group)), docs,
+            pa.array([g[1] for g in names], pa.string()).take(pa.array(group)), occurrences,
         )
+        self.terms, self.cells, self.groups, self.entries = [], [], {}, 0
+
+
+def _batches(
+    key: np.ndarray, term: pa.Array, lang: pa.Array, docs: np.ndarray, source: pa.Array, count: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """A stripe for each run of equal keys, of rows that tell a source's documents and occurrences."""
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    ends = np.concatenate((edge, [len(key)])).astype(np.int32)
+    stripes = pa.RecordBatch.from_arrays(
+        [
+            lang.take(pa.array(edge)), term.take(pa.array(edge)).cast(pa.string()), pa.array(np.add.reduceat(docs, edge)),
+            pa.ListArray.from_arrays(ends, source), pa.ListArray.from_arrays(ends, pa.array(count)),
+        ],
+        ["lang", "term", "docs", "sources", "counts"],
+    )
+    for i in range(0, stripes.num_rows, BATCH_ROWS):
+        yield stripes.slice(i, BATCH_ROWS)
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,25 +116,56 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from stripes.spill()
 
 
+def _merged(held: list[pa.RecordBatch], min_docs: int, last: bool) -> tuple[list[pa.RecordBatch], list[pa.RecordBatch]]:
+    """Whole stripes with enough documents, and the last stripe (none of it at the end), as more of it may come."""
+    table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    lang, term = table.column("lang"), table.column("term")
+    n = table.num_rows
+    same = pc.and_(pc.equal(lang.slice(1), lang.slice(0, n - 1)), pc.equal(term.slice(1), term.slice(0, n - 1)))
+    stripe = np.concatenate(([0], np.cumsum(~same.to_numpy(zero_copy_only=False)))).astype(np.int64)
+    docs = np.bincount(stripe, table.column("docs").to_numpy()).astype(np.int64)
+    good = docs >= min_docs
+    if not last:
+        good[-1] = True
+    rows = table.filter(pa.array(good[stripe]))
+    stripe = stripe[good[stripe]]
+    if not rows.num_rows:
+        return [], []
+    sources, counts = rows.column("sources"), rows.column("counts")
+    size = pc.list_value_length(sources).to_numpy()
+    coded = sources.flatten().dictionary_encode()
+    k = len(coded.dictionary)
+    cell, at = np.unique(np.repeat(stripe, size) * k + coded.indices.to_numpy(), return_inverse=True)
+    # Counts of merged stripes may be large: sums stay integers.
+    count = np.zeros(len(cell), np.int64)
+    np.add.at(count, at, counts.flatten().to_numpy())
+    first = np.searchsorted(stripe, cell // k)
+    begins = np.concatenate(([True], cell[1:] // k != cell[:-1] // k))
+    found = list(
+        _batches(
+            cell // k, rows.column("term").take(pa.array(first)), rows.column("lang").take(pa.array(first)),
+            np.where(begins, docs[cell // k], 0), coded.dictionary.take(pa.array(cell % k)), count,
+        )
+    )
+    if last:
+        return found, []
+    tail = found[-1].slice(found[-1].num_rows - 1, 1)
+    return [*found[:-1], found[-1].slice(0, found[-1].num_rows - 1)], [tail]
+
+
 def _merge(min_docs: int):
     """One stripe per (lang, term), which arrive one after another, of terms with enough documents."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, by_source, done = None, 0, {}, []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            columns = (batch.column(n).to_pylist() for n in ("lang", "term", "docs", "sources", "counts"))
-            for lang, term, n, sources, counts in zip(*columns, strict=True):
-                if (lang, term) != key:
-                    if docs >= min_docs:
-                        done.append((*key, docs, by_source))
-                    key, docs, by_source = (lang, term), 0, {}
-                docs += n
-                for source, count in zip(sources, counts, strict=True):
-                    by_source[source] = by_source.get(source, 0) + count
-            yield from _batches(done)
-            done = []
-        if docs >= min_docs:
-            yield from _batches([(*key, docs, by_source)])
+            if batch.num_rows:
+                held.append(pa.RecordBatch.from_arrays(batch.columns, ["lang", "term", "docs", "sources", "counts"]))
+            if sum(b.num_rows for b in held) > MERGE_ROWS:
+                done, held = _merged(held, min_docs, last=False)
+                yield from done
+        if held:
+            yield from _merged(held, min_docs, last=True)[0]
 
     return merge
 
@@ -132,7 +178,7 @@ def stripes(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """
     blank = [F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")]
     folded = docs.select(*blank).mapInArrow(_fold, _STRIPE)
-    return folded.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_merge(min_docs), _STRIPE)
+    return folded.repartition("lang", "term").sortWithinPartitions("term", "lang").mapInArrow(_merge(min_docs), _STRIPE)
 
 
 def shares(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
