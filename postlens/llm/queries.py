@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import chat, decontam, divergence, jaccard, langid, linededup, lm, mixing, quality, sharding, simhash, topk
+from postlens.llm import chat, decontam, divergence, jaccard, langid, linededup, lm, mixing, quality, sharding, simhash, topk, whitening
 from postlens.llm.batches import small_batches
 
 
@@ -75,6 +75,10 @@ def op10_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
 def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -88,6 +92,6 @@ QUERIES = {
     for f in (
         op1_cover_tree_topk, op2_feistel_sharding, op3_chat_windows, op4_ngram_jaccard, op5_quality_classifier, op6_source_mixing, op7_language_id,
         op8_benchmark_decontamination, op9_line_dedup, op9_passage_dedup, op10_deleted_interpolation,
-        op12_simhash_near_dedup, op13_source_divergence,
+        op11_embedding_whitening, op12_simhash_near_dedup, op13_source_divergence,
     )
 }
