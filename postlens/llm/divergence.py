@@ -26,7 +26,7 @@ TOP_TERMS = 50
 HELD_ENTRIES = 1_500_000  # counts by (term, lang, source) that a task holds before it writes its stripes out
 MERGE_ROWS = 50_000  # stripes merged at once
 BATCH_ROWS = 5000
-BUCKET_ENTRIES = 1 << 18  # counts compared at once
+BUCKET_ENTRIES = 1 << 15  # counts compared at once
 TILE_SOURCES = 512  # sources of a language compared with all others at once
 
 _STRIPE = "lang string, term string, docs long, sources array<string>, counts array<long>"
