@@ -99,6 +99,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def postings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_of(documents: DataFrame) -> DataFrame:
+    """Documents seen as raw postings."""
     sql = POSTINGS_RAW_SQL.replace("FROM documents)", "FROM {documents})")
-    return spark.sql(sql, documents=spread(table(spark, sf_dir, "documents")))
+    return documents.sparkSession.sql(sql, documents=documents)
+
+
+def postings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_of(spread(table(spark, sf_dir, "documents")))

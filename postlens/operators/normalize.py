@@ -19,6 +19,7 @@ def normalize(raw: DataFrame, today: date, legacy_dayfirst: bool = False) -> Dat
     present = raw.where((F.coalesce("title", F.lit("")) != "") & (F.coalesce("apply_url", F.lit("")) != ""))
     company = F.trim(F.coalesce("company_name", F.lit("")))
     cleaned = F.when(F.coalesce("description", F.lit("")) != "", clean_text(F.col("description")))
+    extra = F.col("extra") if "extra" in raw.columns else F.lit(None).cast("map<string,string>")
     staged = present.select(
         "seq",
         "source",
@@ -33,6 +34,7 @@ def normalize(raw: DataFrame, today: date, legacy_dayfirst: bool = False) -> Dat
         cleaned.alias("description"),
         parse_salary(F.col("salary_raw")).alias("salary"),
         "salary_raw",
+        extra.alias("extra"),
     )
     return staged.select(
         "seq", "source", "source_job_id", "company_id", "company_name", "title", "normalized_title", "location",
@@ -42,6 +44,6 @@ def normalize(raw: DataFrame, today: date, legacy_dayfirst: bool = False) -> Dat
         F.col("salary.max").alias("salary_max"),
         F.col("salary.currency").alias("salary_currency"),
         F.col("salary.period").alias("salary_period"),
-        "salary_raw",
+        "salary_raw", "extra",
         F.lit("new").alias("status"),
     )

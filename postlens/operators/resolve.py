@@ -18,7 +18,7 @@ from postlens.functions.text import city_key, normalize_company, title_core
 from postlens.operators.classify import source_rank
 from postlens.operators.components import connected_components
 from postlens.operators.materialize import cut
-from postlens.operators.skew import key_hash, lookup
+from postlens.operators.skew import key_hash, lookup, number_copies
 
 WINDOW_DAYS = 21
 _NO_DATE = -1_000_000  # day number standing for an unknown date, so that keys are never NULL
@@ -57,8 +57,8 @@ def day_number(posted: Column) -> Column:
     return F.coalesce(F.unix_date(posted), F.lit(_NO_DATE))
 
 
-def slim(postings: DataFrame) -> DataFrame:
-    """The columns resolution needs: hashed keys instead of texts."""
+def slim(postings: DataFrame, *more: Column | str) -> DataFrame:
+    """The columns resolution needs: hashed keys instead of texts; and ``more``."""
     company, core = F.col("company_key"), F.col("title_core")
     keyed = postings.withColumn("company_key", normalize_company(F.col("company_name"))).withColumn(
         "title_core", title_core(F.col("normalized_title"))
@@ -72,6 +72,7 @@ def slim(postings: DataFrame) -> DataFrame:
         *[expr.alias(name) for name, expr in hashes.items()],
         city_words(F.col("location")).alias("city"),
         day_number(F.col("posted_date")).alias("day"),
+        *more,
     )
 
 
@@ -166,13 +167,11 @@ def match_links(node: DataFrame) -> DataFrame:
     return links.where("a <> b").distinct()
 
 
-def clusters(postings: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """``(seq, rep1, rep2, cluster)`` for every posting; a cluster is named by its smallest seq."""
-    rows = cut(slim(postings), "er-rows")
-    reps1 = cut(pass1(rows), "er-pass1")
+def key_clusters(reps1: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """``(*key, rep1, rep2, cluster, n)`` for the representatives of the natural keys."""
     reps2 = cut(pass2(reps1), "er-pass2")
     node = cut(nodes(reps2), "er-nodes")
-    roots = connected_components(match_links(node)).withColumnRenamed("v", "node")
+    roots = connected_components(match_links(node), hot_rows).withColumnRenamed("v", "node")
     placed = cut(
         node.join(roots, "node", "left").select(*_NODE, F.coalesce("root", "node").alias("cluster"), "n"), "er-placed"
     )
@@ -183,10 +182,17 @@ def clusters(postings: DataFrame, hot_rows: int | None = None) -> DataFrame:
     by_key = lookup(
         reps1.select(*_K1, *_K2, F.col("seq").alias("rep1"), F.col("n").alias("m")), by_content, _K2, "n", "rep1", hot_rows
     ).select(*_K1, "rep1", "rep2", "cluster", F.col("m").alias("n"))
-    by_key = cut(by_key, "er-keys")
-    return lookup(rows.select("seq", *_K1), by_key, _K1, "n", "seq", hot_rows).select(
-        "seq", "rep1", "rep2", "cluster"
-    )
+    return cut(by_key, "er-keys")
+
+
+def _clustered(rows: DataFrame, hot_rows: int | None, *more: str) -> DataFrame:
+    by_key = key_clusters(cut(pass1(rows), "er-pass1"), hot_rows)
+    return lookup(rows.select("seq", *_K1, *more), by_key, _K1, "n", "seq", hot_rows).select("seq", "rep1", "rep2", "cluster", *more)
+
+
+def clusters(postings: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """``(seq, rep1, rep2, cluster)`` for every posting; a cluster is named by its smallest seq."""
+    return _clustered(cut(slim(postings), "er-rows"), hot_rows)
 
 
 def preference() -> Column:
@@ -201,10 +207,12 @@ def preference() -> Column:
 
 def survivors(postings: DataFrame, membership: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """``(seq, cluster, canonical)``: the best member of each cluster by preference."""
-    ranked = cut(
-        postings.select("seq", preference().alias("pref")).join(membership.select("seq", "cluster"), "seq"),
-        "er-ranked",
-    )
+    ranked = postings.select("seq", preference().alias("pref")).join(membership.select("seq", "cluster"), "seq")
+    return best_of(cut(ranked, "er-ranked"), hot_rows)
+
+
+def best_of(ranked: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """``(seq, cluster, canonical)`` of rows with their cluster and ``pref``."""
     best = cut(
         ranked.groupBy("cluster")
         .agg(F.min("pref").alias("pref"), F.count("*").alias("n"))
@@ -214,9 +222,27 @@ def survivors(postings: DataFrame, membership: DataFrame, hot_rows: int | None =
     return lookup(ranked.select("seq", "cluster"), best, ["cluster"], "n", "seq", hot_rows)
 
 
+def own_seq(postings: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """``postings`` with a ``seq`` for each row: of rows that share one, all but the first get another.
+
+    Everything here is joined back by ``seq``, so rows that share one would multiply.
+    """
+    order = [F.col(c) for c in ("apply_url", "title", "source_job_id")]
+    told = number_copies(postings, ["seq"], "_copy", hot_rows, order)
+    other = F.xxhash64("seq", "_copy").bitwiseAND(F.lit((1 << 63) - 1))
+    return told.withColumn("seq", F.when(F.col("_copy") == 0, F.col("seq")).otherwise(other)).drop("_copy")
+
+
 def deduplicate(postings: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """All postings with cluster, canonical seq and status; losers become 'duplicate'."""
-    links = cut(survivors(postings, clusters(postings, hot_rows), hot_rows), "er-links")
+    """All postings with cluster, canonical seq and status; losers become 'duplicate'.
+
+    Rows that share a ``seq`` get numbers of their own. The postings are read twice: once for
+    the hashed keys and the order of preference, once to be joined with the outcome.
+    """
+    postings = own_seq(postings, hot_rows)
+    rows = cut(slim(postings, preference().alias("pref")), "er-rows")
+    ranked = cut(_clustered(rows, hot_rows, "pref"), "er-ranked")
+    links = cut(best_of(ranked, hot_rows), "er-links")
     return postings.join(links, "seq").withColumn(
         "status", F.when(F.col("seq") == F.col("canonical"), F.lit("new")).otherwise(F.lit("duplicate"))
     )

@@ -38,13 +38,12 @@ def with_id(df: DataFrame) -> DataFrame:
 def last_per_key(batch: DataFrame) -> DataFrame:
     """A batch may hold a key more than once: the last row counts, the first names the id.
 
-    ``row_number() = 1`` drops earlier wide rows before the shuffle; the first row's job id
-    comes from two slim columns.
+    One aggregation finds both, so a key's rows are reduced to one per task before the shuffle.
     """
-    rank = F.row_number().over(W.partitionBy("id").orderBy(F.col("seq").desc_nulls_last()))
-    last = batch.withColumn("_rn", rank).where("_rn = 1").drop("_rn", "source_job_id")
-    first = batch.groupBy("id").agg(F.min_by("source_job_id", "seq").alias("source_job_id"))
-    return last.join(first, "id").select("id", "source_job_id", *[c for c in last.columns if c != "id"])
+    values = [c for c in batch.columns if c not in ("id", "source_job_id")]
+    last = F.max_by(F.struct(*values), F.struct(F.col("seq").isNotNull(), "seq"))
+    kept = batch.groupBy("id").agg(last.alias("_last"), F.min_by("source_job_id", "seq").alias("source_job_id"))
+    return kept.select("id", "source_job_id", "_last.*")
 
 
 def upsert(stored: DataFrame, batch: DataFrame, now: Column, legacy_status_overwrite: bool = False) -> DataFrame:
@@ -173,18 +172,28 @@ def maintain_table(spark, path: str, schema) -> DataFrame:
         .where(~same)
         .select(
             "id", F.col("status").alias("_status"), F.col("duplicate_of").alias("_duplicate_of"),
-            month_of(F.col("posted_date")).alias("month"), F.lit(True).alias("_changed"),
+            month_of(F.col("posted_date")).alias("month"),
         ),
         "maintain-changes",
     )
+    set_status(spark, path, schema, changes)
+    return read_table(spark, path, schema)
+
+
+def set_status(spark, path: str, schema, changes: DataFrame, clear: list[str] = ()) -> None:
+    """Give the stored rows of ``changes(id, month, _status, _duplicate_of)`` these values, and no value to ``clear``.
+
+    Only the months of the changes are read and replaced.
+    """
     months = [r.month for r in changes.select("month").distinct().collect()]  # calendar-bounded
     if months:
         stored = read_table(spark, path, schema).where(F.col("month").isin(months))
-        joined = stored.join(changes.drop("month"), "id", "left")
+        joined = stored.join(changes.drop("month").withColumn("_changed", F.lit(True)), "id", "left")
         for name in ("status", "duplicate_of"):
             joined = joined.withColumn(name, F.when(F.col("_changed"), F.col(f"_{name}")).otherwise(F.col(name)))
-        _replace_months(cut(joined.drop("_status", "_duplicate_of", "_changed"), "maintain-staged"), path)
-    return read_table(spark, path, schema)
+        for name in clear:
+            joined = joined.withColumn(name, F.when(F.col("_changed"), F.lit(None)).otherwise(F.col(name)))
+        _replace_months(cut(joined.drop("_status", "_duplicate_of", "_changed"), "status-staged"), path)
 
 
 def _replace_months(staged: DataFrame, path: str) -> None:

@@ -430,6 +430,45 @@ named AS (SELECT page_id, pos, href, {squash(_decoded("regexp_replace(inner_html
 _SITE = "https://{}.example.com"
 _HIDDEN = "CASE WHEN seq % 9 = 0 THEN '' ELSE company_name END"
 
+# What the landed bodies hold, feed by feed, and the bodies that go wrong.
+_PLACE = "CASE WHEN location <> '' THEN location END"
+_API_URL = "CASE WHEN seq % 6 = 0 THEN apply_url ELSE 'https://ph.example.com/job/slug-' || CAST(seq AS VARCHAR) END"
+_API_PLACE = (
+    f"CASE WHEN seq % 2 = 0 AND coalesce(location, '') <> '' THEN location ELSE CASE WHEN coalesce({_FIRST_WORD}, '') <> '' THEN {_FIRST_WORD} || ', ' ELSE '' END "
+    "|| CASE WHEN seq % 3 = 0 THEN 'NSW, ' ELSE '' END || 'Australia' END"
+)
+_WIDGET_PLACE = (
+    "CASE WHEN seq % 2 = 0 AND coalesce(location, '') <> '' THEN location ELSE 'Sydney, ' || "
+    "CASE seq % 3 WHEN 0 THEN 'Australia' WHEN 1 THEN 'AU' ELSE 'Vietnam' END END"
+)
+_SMART_PLACE = f"CASE WHEN coalesce({_FIRST_WORD}, '') <> '' THEN {_FIRST_WORD} || ', ' ELSE '' END || CASE WHEN seq % 2 = 0 THEN 'NSW, ' ELSE '' END || 'au'"
+_WD_URL = "'https://wd.example.com/en-US/Careers/job/' || CAST(seq AS VARCHAR)"
+_LINKED = _LINKS.replace("FROM pages)", "FROM (SELECT page_id, url, replace(html, 'href=\"/', 'href=\"/job/') AS html FROM pages) h)")
+_LANDED = f"""{RAW}, p AS (SELECT *, CAST(floor(seq / 20) AS BIGINT) AS page_no, seq % 20 AS pos FROM raw), {_LINKED},
+found AS (SELECT page_id, pos, title, apply_url FROM (SELECT *, row_number() OVER (PARTITION BY page_id, apply_url ORDER BY pos) AS rn FROM named
+  WHERE regexp_matches(lower(href), '/job/|jobdetail|/jobs/') AND NOT regexp_matches(lower(href), '^(#|javascript:|mailto:)') AND length(title) >= 3) WHERE rn = 1),
+landed AS (
+  SELECT 'list' AS kind, page_no, pos, title, {_WD_URL} AS url, location FROM p WHERE {_OK}
+  UNION ALL SELECT 'list', page_no, pos, title, {_WD_URL}, location FROM p WHERE {_OK} AND page_no % 3 = 0
+  UNION ALL SELECT 'board_jobs', page_no, pos, title, apply_url, {_PLACE} FROM p WHERE {_OK} OR pos = 0
+  UNION ALL SELECT 'board_jobs', page_no, pos, title, replace(apply_url, '/job/', '/term/'), {_PLACE} FROM p WHERE ({_OK} OR pos = 0) AND page_no % 2 = 0
+  UNION ALL SELECT 'postings_array', page_no, pos, title, apply_url, {_PLACE} FROM p WHERE {_OK}
+  UNION ALL SELECT 'api_jobs', page_no, pos, title, {_API_URL}, {_API_PLACE} FROM p
+  UNION ALL SELECT 'widgets', page_no, pos, title, CASE WHEN seq % 2 = 0 THEN apply_url ELSE apply_url || '/view' END, {_WIDGET_PLACE} FROM p WHERE {_OK}
+  UNION ALL SELECT 'content', page_no, pos, title, 'https://sr.example.com/board/S' || CAST(seq AS VARCHAR), {_SMART_PLACE} FROM p WHERE {_OK}
+  UNION ALL SELECT 'rss', page_no, pos, title || ' - Sydney', apply_url, CASE WHEN seq % 2 = 0 AND coalesce(location, '') <> '' THEN location ELSE 'Sydney' END FROM p WHERE page_no % 10 <> 9
+  UNION ALL SELECT 'embedded_json', page_no, pos, title, 'https://seek.example.com/job/' || CAST(seq AS VARCHAR), {_PLACE} FROM p WHERE {_OK}
+  UNION ALL SELECT 'cards', page_no, pos, title, 'https://seek.example.com/job/' || CAST(seq AS VARCHAR), {_PLACE} FROM p
+  UNION ALL SELECT 'html', page_id, pos, title, apply_url, CASE WHEN contains(title, ' - ') AND length(trim(list_extract(string_split(title, ' - '), -1))) BETWEEN 1 AND 40
+    THEN trim(list_extract(string_split(title, ' - '), -1)) END FROM found
+), pn AS (SELECT DISTINCT page_no FROM p),
+errors AS (
+  SELECT 'rss' AS kind, page_no, 'no_rows' AS reason FROM pn WHERE page_no % 10 = 9
+  UNION ALL SELECT 'postings_array', page_no, 'malformed' FROM pn WHERE page_no % 4 = 0 UNION ALL SELECT 'list', page_no, 'no_rows' FROM pn WHERE page_no % 5 = 0
+  UNION ALL SELECT 'empty', page_no, 'empty' FROM pn WHERE page_no % 7 = 0 UNION ALL SELECT 'unknown_json', page_no, 'unknown_shape' FROM pn WHERE page_no % 8 = 0
+  UNION ALL SELECT 'html', page_id, 'no_rows' FROM pages WHERE page_id NOT IN (SELECT page_id FROM found)
+)"""
+
 SQL = {
     "normalize_title": with_(RAW, f"SELECT seq, {normalize_title('title')} AS normalized_title FROM raw"),
     "description_hash": f"SELECT doc_id, sha256({squash('lower(text)')}) AS description_hash FROM documents",
@@ -628,6 +667,30 @@ c AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS company_id, s_name AS name, n_
         "SELECT k AS kind, n FROM p, (SELECT unnest(['list', 'board_jobs', 'postings_array', 'api_jobs', 'widgets', 'content', 'rss', 'embedded_json']) AS k) "
         "UNION ALL SELECT 'html', n + (SELECT count(*) FROM pages) FROM p",
     ),
+    "ingest_all": with_(
+        _LANDED,
+        "SELECT CASE kind WHEN 'html' THEN 'site' WHEN 'cards' THEN 'seek' WHEN 'embedded_json' THEN 'seek' ELSE 'official_ats' END AS source, "
+        "CASE WHEN kind <> 'html' THEN 'bega' END AS company_id, page_no, CAST(pos AS BIGINT) AS pos, title, url AS apply_url, location, 1 AS rows_of_seq FROM landed",
+    ),
+    "ingest_errors": with_(
+        _LANDED,
+        "SELECT CASE kind WHEN 'html' THEN 'site' ELSE 'official_ats' END AS source, CASE WHEN kind <> 'html' THEN 'bega' END AS company_id, page_no, kind, reason FROM errors",
+    ),
+    "body_states": with_(
+        f"{_LANDED}, bodies AS (SELECT k AS kind, 1 AS every FROM (SELECT unnest(['list', 'board_jobs', 'postings_array', 'api_jobs', 'widgets', 'content', 'rss', 'embedded_json', 'html']) AS k) "
+        "UNION ALL SELECT * FROM (VALUES ('list', 3), ('board_jobs', 2), ('postings_array', 4), ('list', 5), ('list', 6), ('empty', 7), ('unknown_json', 8)) t(k, n)), "
+        "counted AS (SELECT kind, count(*) AS n FROM bodies, pn WHERE page_no % every = 0 GROUP BY kind), "
+        "every AS (SELECT kind, n + CASE WHEN kind = 'html' THEN (SELECT count(*) FROM pages) ELSE 0 END AS n FROM counted), "
+        "bad AS (SELECT kind, 'error' AS state, count(*) AS n FROM errors GROUP BY kind UNION ALL SELECT 'list', 'empty_list', count(*) FROM pn WHERE page_no % 6 = 0)",
+        "SELECT kind, state, n FROM bad UNION ALL SELECT * FROM (SELECT e.kind, 'rows' AS state, CAST(e.n - coalesce((SELECT sum(n) FROM bad WHERE bad.kind = e.kind), 0) AS BIGINT) AS n FROM every e) WHERE n > 0",
+    ),
+    "loose_fields": with_(
+        RAW,
+        f"SELECT {_WD_URL} AS apply_url, '/job/' || CAST(seq AS VARCHAR) AS external_path, NULL AS slug, NULL AS job_id, NULL AS ref FROM raw WHERE {_OK} "
+        f"UNION ALL SELECT {_API_URL}, NULL, 'slug-' || CAST(seq AS VARCHAR), NULL, NULL FROM raw "
+        f"UNION ALL SELECT CASE WHEN seq % 2 = 0 THEN apply_url ELSE apply_url || '/view' END, NULL, NULL, CASE WHEN seq % 4 <> 0 THEN 'W' || CAST(seq AS VARCHAR) END, NULL FROM raw WHERE {_OK} "
+        f"UNION ALL SELECT 'https://sr.example.com/board/S' || CAST(seq AS VARCHAR), NULL, NULL, NULL, 'r' FROM raw WHERE {_OK}",
+    ),
     "source_union": with_(
         f"{RAW}, {COMPANIES}",
         "SELECT seq, source, title, company_id, CASE WHEN source = 'official_ats' THEN location END AS location, CASE WHEN source <> 'official_ats' THEN salary_raw END AS salary_raw "
@@ -676,6 +739,15 @@ c AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS company_id, s_name AS name, n_
         f"{NORM}, ids AS MATERIALIZED (SELECT *, {_ID} AS id FROM norm)",
         "SELECT id, max(seq) AS seq, arg_max(title, seq) AS title, 'new' AS status, true AS seen_now FROM ids GROUP BY id",
     ),
+    "stream_run": with_(
+        f"{SCORED}, {ER.replace(NORM + ',', '', 1)}, ids AS MATERIALIZED (SELECT seq, {_ID} AS id FROM norm), "
+        "rows AS MATERIALIZED (SELECT i.seq, i.id, b.canonical FROM ids i JOIN best b ON b.seq = i.seq), "
+        "linked AS (SELECT a.id, arg_max(c.id, a.seq) AS canonical, arg_max(c.seq, a.seq) AS best FROM rows a JOIN rows c ON c.seq = a.canonical GROUP BY a.id)",
+        "SELECT l.id, CASE WHEN l.id = l.canonical THEN s.status ELSE 'duplicate' END AS status, CASE WHEN l.id <> l.canonical THEN l.canonical END AS duplicate_of, "
+        "CASE WHEN l.id = l.canonical THEN s.priority_tier END AS priority_tier, CASE WHEN l.id = l.canonical THEN round(s.final_score, 6) END AS final_score "
+        "FROM linked l JOIN scored s ON s.seq = l.best",
+        recursive=True,
+    ),
     "pipeline_run": with_(
         f"{SCORED}, {ER.replace(NORM + ',', '', 1)}",
         "SELECT s.seq, s.status, s.priority_tier, round(s.final_score, 6) AS final_score FROM scored s JOIN best b ON b.seq = s.seq WHERE b.seq = b.canonical",

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from postlens.operators import enrich, resolve, score, store, views
+from postlens.operators import enrich, incremental, resolve, score, store, views
 from postlens.operators.materialize import cut
 from postlens.operators.normalize import normalize
 from postlens.operators.skew import lookup
 from postlens.schema import POSTING, conform
+from postlens.sources import landing
 
 
 @dataclass
@@ -70,6 +73,83 @@ def run(
     if table_path:
         stored = store.read_table(raw.sparkSession, table_path, POSTING)
         digest = cut(store.new_postings(top, stored), "run-digest").orderBy(*views.by_score())
-        store.merge_table(table_path, postings, POSTING, now)
+        # A copy under the canonical's own key is the same stored row: the canonical's values stay.
+        own = (F.col("status") == "duplicate") & (F.col("duplicate_of") == F.col("id"))
+        store.merge_table(table_path, postings.where(~F.coalesce(own, F.lit(False))), POSTING, now)
         table = store.maintain_table(raw.sparkSession, table_path, POSTING)
     return Run(postings, top, digest, table, resolve.dedup_stats(resolved))
+
+
+@dataclass
+class Batch:
+    links: DataFrame  # (id, month, canonical) of the postings the batch could change
+    postings: DataFrame  # the batch's rows as stored, one per id
+    digest: DataFrame  # report-worthy rows not stored before
+    relinked: DataFrame  # stored rows that another posting replaced as canonical
+
+
+SCORES = [
+    "similarity", "semantic_score", "seniority_score", "industry_score", "company_score", "location_score", "final_score",
+    "priority_tier", "strong_alert", "match_reasons", "resume_tips",
+]
+
+
+def run_batch(
+    raw: DataFrame,
+    batch_id: int,
+    companies: DataFrame,
+    ratings: DataFrame,
+    with_similarity: Callable[[DataFrame], DataFrame] | None,
+    today: date,
+    now: Column,
+    table_path: str,
+    index_path: str,
+    min_tier: str = "C",
+    home_only: bool = True,
+    hot_rows: int | None = None,
+) -> Batch:
+    """One batch of the run that goes on: the stored table is as if all batches had come at once.
+
+    Postings are resolved against the index, so copies link across batches. An id that is
+    canonical is scored from the batch's best row of it; another is a duplicate. A stored
+    canonical that a better posting replaces becomes a duplicate without scores, and its
+    duplicates point to the new one; statuses set by a person stay. Re-gating and orphan repair
+    look at the whole table and are left to their own schedule. Repeating a batch changes nothing.
+    """
+    spark = raw.sparkSession
+    own = resolve.own_seq(raw, hot_rows)
+    normal = cut(store.with_id(normalize(own, today)), "batch-normal")
+    links = incremental.resolve_batch(index_path, normal, batch_id, hot_rows)
+    pref = resolve.preference()
+    rank = F.row_number().over(W.partitionBy("id").orderBy(*[pref[n] for n in ("rank", "len", "url", "seq")]))
+    one = normal.withColumn("_rn", rank).where("_rn = 1").drop("_rn").join(links.select("id", "canonical"), "id")
+    kept = one.where("id = canonical").drop("canonical")
+    kept = kept.withColumn("similarity", F.lit(0.0)) if with_similarity is None else with_similarity(kept)
+    scored = score_all(kept.withColumn("similarity", F.coalesce("similarity", F.lit(0.0))), companies, ratings, today)
+    losers = one.where("id <> canonical").withColumn("status", F.lit("duplicate")).withColumn("duplicate_of", F.col("canonical"))
+    postings = cut(
+        conform(scored, POSTING).unionByName(conform(losers, POSTING)).drop("first_seen", "last_seen"), "batch-postings"
+    )
+    stored = store.read_table(spark, table_path, POSTING)
+    top = views.select_for_digest(postings.where("status <> 'duplicate'"), min_tier, home_only)
+    digest = cut(store.new_postings(top, stored), "batch-digest").orderBy(*views.by_score())
+    relinked = _relinked(links, postings, stored)
+    store.set_status(spark, table_path, POSTING, relinked, clear=SCORES)
+    store.merge_table(table_path, postings, POSTING, now)
+    return Batch(links, postings, digest, relinked)
+
+
+def _relinked(links: DataFrame, postings: DataFrame, stored: DataFrame) -> DataFrame:
+    """``(id, month, _status, _duplicate_of)`` of stored rows outside the batch whose canonical is another by now."""
+    moved = cut(links.where("id <> canonical").join(postings.select("id"), "id", "left_anti"), "batch-moved")
+    months = [r.month for r in moved.select("month").distinct().collect()]  # calendar-bounded
+    here = stored.where(F.col("month").isin(months)).select("id", "status", "duplicate_of")
+    other = ~((F.col("status") == "duplicate") & F.col("duplicate_of").eqNullSafe(F.col("canonical")))
+    changed = moved.join(here, "id").where(other & ~F.col("status").isin(store.HUMAN_STATUSES))
+    return cut(changed.select("id", "month", F.lit("duplicate").alias("_status"), F.col("canonical").alias("_duplicate_of")), "batch-relinked")
+
+
+def land(payloads: DataFrame, companies: DataFrame, hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Raw postings of active companies, and the state of every landed body, from one reading of the bodies."""
+    accounted = cut(landing.account(payloads, hot_rows), "run-landed")
+    return landing.active_only(landing.rows_of(accounted), companies), landing.states_of(accounted)

@@ -7,15 +7,16 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postlens.bindings import TODAY, postings_raw, table
+from postlens.bindings import TODAY, postings_raw, raw_of, table
 from postlens.functions import dates, display, encode, rules, salary, text, urls, vectors
 from postlens.operators import classify, enrich, health, normalize, resolve, score, store, views
 from postlens.operators.materialize import cut
 from postlens.plans.pipeline import run as run_plan
 from postlens.plans.pipeline import score_all
+from postlens.schema import POSTING
 from postlens.session import SETTINGS, scratch_dir, spread
 from postlens.sources import html, json_feeds, landing, xml_feeds
 from postlens.streaming import ingest
@@ -803,26 +804,67 @@ def payload_router(spark, sf_dir):
 
 
 def _landed(spark, sf_dir) -> DataFrame:
-    """Bodies of every shape, and the raw pages as unknown sites."""
+    """Bodies of every shape, pages of unknown sites, and what goes wrong: see :func:`_trouble`."""
+    linked = F.replace("html", F.lit('href="/'), F.lit('href="/job/'))
     raw = table(spark, sf_dir, "pages").select(
         F.lit("site").alias("source"), F.lit(None).cast("string").alias("company_id"), F.lit(None).cast("string").alias("company_name"),
-        C("url").alias("base_url"), F.lit("").alias("site"), C("page_id").alias("page_no"), C("html").alias("payload"),
+        C("url").alias("base_url"), F.lit("").alias("site"), C("page_id").alias("page_no"), linked.alias("payload"),
     )
-    return cut(all_pages(spark, sf_dir).unionByName(raw), "landed")
+    board = F.when(C("source") == "seek", F.lit("https://seek.example.com/")).otherwise(C("base_url"))
+    return cut(all_pages(spark, sf_dir).withColumn("base_url", board).unionByName(raw).unionByName(_trouble(spark, sf_dir)), "landed")
+
+
+def _trouble(spark, sf_dir) -> DataFrame:
+    """Bodies under page numbers that good ones have: landed twice, of another search term,
+    cut off, without links, empty, and of no known shape."""
+    def some(pages: DataFrame, every: int, payload: Column) -> DataFrame:
+        return pages.where(C("page_no") % every == 0).withColumn("payload", payload)
+
+    listed, board, lever = (make(spark, sf_dir) for make in (workday_pages, greenhouse_pages, lever_pages))
+    parts = [
+        some(listed, 3, C("payload")), some(board, 2, F.replace("payload", F.lit("ex.com/job/"), F.lit("ex.com/term/"))),
+        some(lever, 4, F.expr("substring(payload, 1, length(payload) div 2)")),
+        some(listed, 5, F.replace("payload", F.lit("externalPath"), F.lit("path"))),
+        some(listed, 6, F.lit('{"jobPostings":[]}')), some(listed, 7, F.lit("")), some(listed, 8, F.lit('{"x":1}')),
+    ]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return union
 
 
 @query
 def ingest_all(spark, sf_dir):
-    """Raw postings of all landed bodies."""
-    return landing.parse_all(_landed(spark, sf_dir)).select("seq", "source", "company_id", "page_no", "pos", "title", "apply_url", "location")
+    """Raw postings of all landed bodies; a number belongs to one row."""
+    rows = landing.parse_all(_landed(spark, sf_dir))
+    same = F.count("*").over(Window.partitionBy("seq")).alias("rows_of_seq")
+    return rows.select("source", "company_id", "page_no", big(C("pos"), "pos"), "title", "apply_url", "location", same)
 
 
 @query
 def ingest_errors(spark, sf_dir):
-    """Landed bodies without a row, by reason."""
+    """Landed bodies without a usable posting, by reason."""
     return landing.ingest_errors(_landed(spark, sf_dir)).select("source", "company_id", "page_no", "kind", "reason")
 
 
+@query
+def body_states(spark, sf_dir):
+    """Every landed body is rows, an empty list or an error."""
+    states = landing.states_of(landing.account(_landed(spark, sf_dir)))
+    return states.groupBy("kind", "state").agg(F.count("*").alias("n"))
+
+
+@query
+def loose_fields(spark, sf_dir):
+    """Fields that one feed has, from landed bodies through the run's steps to the stored table."""
+    pages = workday_pages(spark, sf_dir)
+    for make in (phenom_pages, widget_pages, smart_pages):
+        pages = pages.unionByName(make(spark, sf_dir))
+    rows = store.with_id(normalize.normalize(landing.parse_all(pages), TODAY))
+    stored = store.merge_table(scratch_dir(spark, "loose"), rows, POSTING, F.lit(datetime(2026, 9, 1)))
+    return stored.select("apply_url", *[C("extra")[k].alias(k) for k in ("external_path", "slug", "job_id", "ref")])
+
+
 @query
 def source_union(spark, sf_dir):
     """Feeds of different shape side by side; rows of inactive companies drop out."""
@@ -931,17 +973,11 @@ def stream_dedup(spark, sf_dir):
 
 
 def _stream_postings(docs: DataFrame) -> DataFrame:
-    from postlens.bindings import POSTINGS_RAW_SQL
-
-    sql = POSTINGS_RAW_SQL.replace("FROM documents)", "FROM {documents})")
-    rows = normalize.normalize(docs.sparkSession.sql(sql, documents=docs), TODAY)
-    return store.with_id(rows.drop("description"))
+    return store.with_id(normalize.normalize(raw_of(docs), TODAY).drop("description"))
 
 
 @query
 def stream_ingest(spark, sf_dir):
-    from postlens.schema import POSTING
-
     schema = table(spark, sf_dir, "documents").schema
     landed = ingest.file_stream(spark, f"{sf_dir}/documents.parquet", schema)
     out, state = scratch_dir(spark, "table"), scratch_dir(spark, "table-state")
@@ -952,6 +988,24 @@ def stream_ingest(spark, sf_dir):
     return stored.select("id", "seq", "title", "status", recent.alias("seen_now"))
 
 
+@query
+def stream_run(spark, sf_dir):
+    """The whole run over three files, one after the other: the table as one run over all would leave it."""
+    docs = table(spark, sf_dir, "documents")
+    landing_zone = scratch_dir(spark, "landing")
+    third = -(-docs.count() // 9) * 3  # documents come in groups of three
+    for k in range(3):
+        part = docs.where((C("doc_id") >= k * third) & ((C("doc_id") < (k + 1) * third) | F.lit(k == 2)))
+        part.coalesce(1).write.mode("append").parquet(landing_zone)
+    out, index, state = (scratch_dir(spark, n) for n in ("run-table", "run-index", "run-state"))
+    landed = ingest.file_stream(spark, landing_zone, docs.schema, files_per_batch=1)
+    ingest.run_stream(
+        landed, raw_of, enrich.companies(spark), enrich.ratings(spark), lambda df: with_similarity(df, spark, sf_dir), TODAY, out, index, state
+    ).awaitTermination()
+    stored = store.read_table(spark, out, POSTING)
+    return stored.select("id", "status", "duplicate_of", "priority_tier", *rounded("final_score"))
+
+
 # -- whole run -------------------------------------------------------------------------
 def full_run(spark, sf_dir, table_path=None):
     raw = postings_raw(spark, sf_dir)

@@ -13,6 +13,7 @@ from postlens.functions import urls
 from postlens.functions.text import blank_to_null, clean_text, decode_entities, title_tail_location
 from postlens.packs import food_au as pack
 from postlens.sources import html_tree
+from postlens.sources.json_feeds import finished
 
 # What marks a link as a posting, and the boards' card markup.
 JOB_HREF_MARKERS = ["/job/", "jobdetail", "/jobs/"]
@@ -70,17 +71,19 @@ def _href(anchor: Column) -> Column:
     return F.trim(decode_entities(F.coalesce(value, F.lit(""))))
 
 
-def anchor_postings(pages: DataFrame, html: str, base: str, any_link: bool = False) -> DataFrame:
+def anchor_postings(pages: DataFrame, html: str, base: str, any_link: bool = False, outer: bool = False) -> DataFrame:
     """Posting links of a page, one row per (page, URL), first occurrence kept.
 
-    ``any_link`` lifts the posting-path test for sites with their own link scheme.
+    ``any_link`` lifts the posting-path test for sites with their own link scheme. With
+    ``outer`` a page's other links are one more row that is not ``usable``, as is a page
+    without any.
     """
     # Tags other than anchors and raw-text blocks cannot contribute; one regex pass finds
     # every anchor, and the short matches are then taken apart.
     body = F.regexp_replace(F.col(html), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
     found_at = F.regexp_extract_all(body, F.lit(rf"(?is)<a(?=\s){_IN_TAG}>.*?</a\s*>"), F.lit(0))
     parts = F.transform(found_at, lambda a: F.struct(_href(a).alias("href"), F.regexp_extract(a, rf"(?is)^<a{_IN_TAG}>(.*)</a\s*>$", 1).alias("inner")))
-    links = pages.select("*", F.posexplode(parts).alias("pos", "a")).drop(html)
+    links = pages.select("*", F.posexplode_outer(parts).alias("pos", "a")).drop(html)
     href = F.lower("a.href")
     ignored = F.lit(False)
     for prefix in IGNORED_HREFS:
@@ -88,26 +91,26 @@ def anchor_postings(pages: DataFrame, html: str, base: str, any_link: bool = Fal
     marked = F.lit(any_link)
     for marker in JOB_HREF_MARKERS:
         marked = marked | href.contains(marker)
-    found = (
-        links.where((href != "") & ~ignored & marked)
-        .withColumn("title", clean_text(F.col("a.inner")))
-        .where(F.length("title") >= MIN_TITLE_LEN)
-        .withColumn("apply_url", urls.join(F.col(base), F.col("a.href")))
-        .drop("a")
-    )
+    linked = F.coalesce((href != "") & ~ignored & marked, F.lit(False))
+    titled = (links if outer else links.where(linked)).withColumn("title", F.when(linked, clean_text(F.col("a.inner"))))
+    good = F.coalesce(F.length("title") >= MIN_TITLE_LEN, F.lit(False))
+    found = (titled if outer else titled.where(good)).withColumns(
+        {"apply_url": F.when(good, urls.join(F.col(base), F.col("a.href"))), "usable": good}
+    ).drop("a")
     # A page has a bounded number of links, and grouping by page and URL keeps groups tiny.
     keys = [c for c in found.columns if c not in ("pos", "title")]
     kept = found.groupBy(*keys).agg(F.min(F.struct("pos", "title")).alias("first"))
-    return kept.select(*keys, "first.pos", "first.title").withColumn(
+    rows = kept.select(*keys, "first.pos", "first.title").withColumn(
         "location", blank_to_null(title_tail_location(F.col("title")))
     )
+    return rows if outer else rows.drop("usable")
 
 
-def cards(pages: DataFrame, html: str, config: dict[str, list[str]], keep: list[str]) -> DataFrame:
+def cards(pages: DataFrame, html: str, config: dict[str, list[str]], keep: list[str], outer: bool = False) -> DataFrame:
     """One row per item with the configured fields; items without title or link are skipped.
 
     Pages are parsed in Arrow batches next to their partition; the config travels with the
-    task.
+    task. With ``outer`` a page without any such item is a row of its own, without ``pos``.
     """
     kept_schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{kept_schema}, pos int, " + ", ".join(f"{f} string" for f in CARD_FIELDS)
@@ -116,10 +119,10 @@ def cards(pages: DataFrame, html: str, config: dict[str, list[str]], keep: list[
         for batch in batches:
             out = []
             for page, *key in zip(batch[html], *[batch[c] for c in keep]):
-                for pos, row in enumerate(html_tree.extract(page or "", config)):
-                    if row.get("title") and row.get("link"):
-                        out.append([*key, pos, *[row.get(f) for f in CARD_FIELDS]])
-            yield pd.DataFrame(out, columns=[*keep, "pos", *CARD_FIELDS])
+                found = [(pos, row) for pos, row in enumerate(html_tree.extract(page or "", config)) if row.get("title") and row.get("link")]
+                out += [[*key, pos, *[row.get(f) for f in CARD_FIELDS]] for pos, row in found or ([(None, {})] if outer else [])]
+            rows = pd.DataFrame(out, columns=[*keep, "pos", *CARD_FIELDS])
+            yield rows.astype({"pos": "Int32"})
 
     return pages.select(*keep, html).mapInPandas(parse, schema)
 
@@ -134,14 +137,17 @@ def _site(base: str | Column) -> Column:
     return F.lit(base) if isinstance(base, str) else base
 
 
-def board_postings(found: DataFrame, source: str, base: str | Column) -> DataFrame:
-    """Card rows of a board to raw postings: canonical link, id from link, hidden names."""
+def board_postings(found: DataFrame, source: str, base: str | Column, outer: bool = False) -> DataFrame:
+    """Card rows of a board to raw postings: canonical link, id from link, hidden names.
+
+    With ``outer`` cards without a title or link stay, told by ``usable``.
+    """
     link, site = F.col("link"), _site(base)
     job_id = urls.job_id(urls.canonical(link, site), source, F.col("urn"))
     url = urls.canonical(link, site)
     if source == "seek":
         url = F.when(job_id.isNotNull(), F.concat(site, F.lit("/job/"), job_id)).otherwise(url)
-    return found.select(
+    rows = found.select(
         *[c for c in found.columns if c not in CARD_FIELDS],
         F.lit(source).alias("source"),
         clean_text(F.col("title")).alias("title"),
@@ -152,7 +158,8 @@ def board_postings(found: DataFrame, source: str, base: str | Column) -> DataFra
         blank_to_null(clean_text(F.col("snippet"))).alias("description"),
         F.col("date").alias("posted_date_raw"),
         F.col("salary").alias("salary_raw"),
-    ).where((F.col("title") != "") & (F.col("apply_url") != ""))
+    )
+    return finished(rows, (F.col("title") != "") & (F.col("apply_url") != ""), outer)
 
 
 @F.pandas_udf(T.StringType())
@@ -168,8 +175,11 @@ _RECORD = (
 )
 
 
-def embedded_json(pages: DataFrame, html: str, base: str | Column) -> DataFrame:
-    """Postings of the state object a results page assigns to a script variable."""
+def embedded_json(pages: DataFrame, html: str, base: str | Column, outer: bool = False) -> DataFrame:
+    """Postings of the state object a results page assigns to a script variable.
+
+    With ``outer`` every page gives a row, and records that are no posting stay, told by ``usable``.
+    """
     marker = F.regexp_extract(F.col(html), f"(?s){REDUX_MARKER}", 0)
     start = F.when(marker != "", F.position(marker, F.col(html)) + F.length(marker)).otherwise(F.lit(0))
     blob = pages.withColumn("_blob", _object_at(F.col(html), start)).drop(html)
@@ -179,10 +189,10 @@ def embedded_json(pages: DataFrame, html: str, base: str | Column) -> DataFrame:
     records = F.when(F.substring(jobs, 1, 1) == "[", F.from_json(jobs, f"array<{_RECORD}>")).otherwise(
         F.map_values(F.from_json(jobs, f"map<string,{_RECORD}>"))
     )
-    rows = blob.select(*[c for c in blob.columns if c != "_blob"], F.posexplode(records).alias("pos", "r"))
+    rows = blob.select(*[c for c in blob.columns if c != "_blob"], F.posexplode_outer(records).alias("pos", "r"))
     labels = F.filter(F.transform("r.locations", lambda p: clean_text(p["label"])), lambda t: t != "")
     text = {k: blank_to_null(clean_text(F.col(f"r.{k}"))) for k in ("salaryLabel", "listingDateDisplay", "teaser")}
-    return rows.select(
+    named = rows.select(
         *[c for c in rows.columns if c != "r"],
         F.lit("seek").alias("source"),
         clean_text(F.col("r.title")).alias("title"),
@@ -193,4 +203,5 @@ def embedded_json(pages: DataFrame, html: str, base: str | Column) -> DataFrame:
         text["teaser"].alias("description"),
         text["listingDateDisplay"].alias("posted_date_raw"),
         text["salaryLabel"].alias("salary_raw"),
-    ).where((F.col("title") != "") & F.col("apply_url").isNotNull())
+    )
+    return finished(named, (F.col("title") != "") & F.col("apply_url").isNotNull(), outer)

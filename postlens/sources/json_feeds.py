@@ -1,7 +1,10 @@
 """JSON feeds: landed response bodies to raw postings, one parser per shape.
 
 Every parser maps ``PAYLOAD`` rows to raw-posting columns plus ``page_no`` and ``pos``.
-Schemas are explicit; a malformed body parses to NULL and contributes no rows.
+Schemas are explicit; a malformed body parses to NULL and contributes no rows. With ``outer``
+every body gives at least one row: entries that are no posting stay and are told by
+``usable``, and a body without entries is one such row with its ``fault`` (NULL for a list
+that is empty). Fields that only one feed has are in ``extra``.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from postlens.functions.dates import epoch_millis_date
 from postlens.functions.text import blank_to_null, clean_text, decode_entities
 
 _KEYS = ["source", "company_id", "company_name", "base_url", "site", "page_no"]
+BODY = "body"  # number of the landed body, where the input has one
 
 
 def _text(path: str) -> Column:
@@ -23,24 +27,48 @@ def _join(*paths: str) -> Column:
     return blank_to_null(F.concat_ws(", ", *[_text(p) for p in paths]))
 
 
+def carried(payloads: DataFrame, *names: str) -> list[str]:
+    """The named columns, and the body's number where there is one."""
+    return [*names, *([BODY] if BODY in payloads.columns else [])]
+
+
 def _records(payloads: DataFrame, schema: str, array: str | None = None) -> DataFrame:
-    parsed = F.from_json("payload", schema)
-    items = parsed[array] if array and "." not in array else parsed
-    if array and "." in array:
-        for part in array.split("."):
-            items = items[part]
-    return payloads.select(*_KEYS, F.posexplode(items).alias("pos", "r")).where("r is not null")
+    items = F.from_json("payload", schema)
+    for part in (array or "").split("."):
+        items = items[part] if part else items
+    keys = carried(payloads, *_KEYS)
+    # The fault is told before the entries are, or every entry would carry the whole body.
+    listed = payloads.select(*keys, "payload", items.alias("items"))
+    unread = F.when(F.try_parse_json("payload").isNull(), F.lit("malformed")).otherwise(F.lit("no_rows"))
+    told = listed.select(*keys, F.when(F.col("items").isNull(), unread).alias("fault"), "items")
+    return told.select(*keys, "fault", F.posexplode_outer("items").alias("pos", "r"))
+
+
+def finished(rows: DataFrame, usable: Column, outer: bool) -> DataFrame:
+    """All rows with ``usable`` and ``fault``, or the usable ones alone."""
+    told = F.coalesce(usable, F.lit(False))
+    return rows.withColumn("usable", told) if outer else rows.where(told).drop("fault")
 
 
-def _rows(records: DataFrame, **fields: Column) -> DataFrame:
+def _extra(**fields: Column) -> Column:
+    pairs = F.map_from_arrays(F.array(*[F.lit(k) for k in fields]), F.array(*[v.cast("string") for v in fields.values()]))
+    return F.map_filter(pairs, lambda _, v: v.isNotNull())
+
+
+def _rows(records: DataFrame, outer: bool, asked: Column | None = None, **fields: Column) -> DataFrame:
+    """Raw postings of the entries; ``asked`` further limits the usable ones."""
     columns = {
         "title": F.lit(""), "company_name": F.coalesce("company_name", F.lit("")), "apply_url": F.lit(None),
         "source_job_id": F.lit(None), "location": F.lit(None), "description": F.lit(None),
         "posted_date_raw": F.lit(None), "salary_raw": F.lit(None),
     } | fields
-    return records.select(
-        "source", "company_id", "page_no", "pos", *[c.cast("string").alias(n) for n, c in columns.items()]
-    ).where(F.coalesce("apply_url", F.lit("")) != "")
+    extra = columns.pop("extra", F.lit(None).cast("map<string,string>"))
+    named = records.select(
+        *carried(records, "source", "company_id", "page_no", "pos", "fault"),
+        *[c.cast("string").alias(n) for n, c in columns.items()], extra.alias("extra"),
+        (F.lit(True) if asked is None else asked).alias("asked"),
+    )
+    return finished(named, (F.coalesce("apply_url", F.lit("")) != "") & F.col("asked"), outer).drop("asked")
 
 
 # The feeds' response shapes.
@@ -71,22 +99,25 @@ LEVER = (
 )
 
 
-def workday(payloads: DataFrame) -> DataFrame:
+def workday(payloads: DataFrame, outer: bool = False) -> DataFrame:
     path = blank_to_null(F.col("r.externalPath"))
     return _rows(
         _records(payloads, WORKDAY_LIST, "jobPostings"),
+        outer,
         title=F.coalesce("r.title", F.lit("")),
         apply_url=F.concat(F.regexp_replace("base_url", "/+$", ""), F.lit("/en-US/"), F.col("site"), path),
         source_job_id=F.coalesce(F.get("r.bulletFields", F.lit(0)), path),
         location=F.col("r.locationsText"),
         posted_date_raw=F.col("r.postedOn"),
+        extra=_extra(external_path=path),
     )
 
 
-def phenom_jobs(payloads: DataFrame) -> DataFrame:
+def phenom_jobs(payloads: DataFrame, outer: bool = False) -> DataFrame:
     slug = _text("r.data.slug")
     return _rows(
         _records(payloads, PHENOM_JOBS, "jobs"),
+        outer,
         title=F.coalesce("r.data.title", F.lit("")),
         apply_url=F.coalesce(
             _text("r.data.apply_url"), F.concat(F.regexp_replace("base_url", "/+$", ""), F.lit("/job/"), slug)
@@ -94,13 +125,14 @@ def phenom_jobs(payloads: DataFrame) -> DataFrame:
         source_job_id=F.coalesce(_text("r.data.req_id"), slug),
         location=F.coalesce(_text("r.data.full_location"), _join("r.data.city", "r.data.state", "r.data.country")),
         posted_date_raw=_text("r.data.posted_date"),
+        extra=_extra(slug=slug),
     )
 
 
-def phenom_widgets(payloads: DataFrame, country_words: tuple[str, str] | None = None) -> DataFrame:
+def phenom_widgets(payloads: DataFrame, country_words: tuple[str, str] | None = None, outer: bool = False) -> DataFrame:
     """``country_words`` (name, code) keeps only rows placed in that country."""
     location = F.coalesce(_text("r.cityState"), _join("r.city", "r.state", "r.country"))
-    records = _records(payloads, PHENOM_WIDGETS, "refineSearch.data.jobs")
+    asked = None
     if country_words:
         name, code = country_words
 
@@ -108,36 +140,42 @@ def phenom_widgets(payloads: DataFrame, country_words: tuple[str, str] | None =
             lowered = F.lower(F.coalesce(value, F.lit("")))
             return lowered.contains(name) | (F.trim(lowered) == code)
 
-        records = records.where(placed(F.col("r.country")) | placed(F.col("r.cityStateCountry")) | placed(location))
+        asked = placed(F.col("r.country")) | placed(F.col("r.cityStateCountry")) | placed(location)
     return _rows(
-        records,
+        _records(payloads, PHENOM_WIDGETS, "refineSearch.data.jobs"),
+        outer,
+        asked,
         title=F.coalesce("r.title", F.lit("")),
         apply_url=F.coalesce(_text("r.applyUrl"), _text("r.jobUrl"), _text("r.reqId")),
         source_job_id=F.coalesce(_text("r.jobId"), _text("r.jobSeqNo")),
         location=location,
         description=blank_to_null(clean_text(F.col("r.descriptionTeaser"))),
         posted_date_raw=_text("r.postedDate"),
+        extra=_extra(job_id=_text("r.jobId")),
     )
 
 
-def smartrecruiters(payloads: DataFrame) -> DataFrame:
+def smartrecruiters(payloads: DataFrame, outer: bool = False) -> DataFrame:
     """The site column carries the board's slug."""
     job = blank_to_null(F.col("r.id"))
     return _rows(
         _records(payloads, SMARTRECRUITERS_LIST, "content"),
+        outer,
         title=F.coalesce("r.name", F.lit("")),
         company_name=F.coalesce(blank_to_null(F.col("r.company.name")), "company_name", F.lit("")),
         apply_url=F.concat(F.regexp_replace("base_url", "/+$", ""), F.lit("/"), F.col("site"), F.lit("/"), job),
         source_job_id=job,
         location=_join("r.location.city", "r.location.region", "r.location.country"),
         posted_date_raw=F.col("r.releasedDate"),
+        extra=_extra(ref=F.col("r.ref")),
     )
 
 
-def greenhouse(payloads: DataFrame) -> DataFrame:
+def greenhouse(payloads: DataFrame, outer: bool = False) -> DataFrame:
     """Descriptions arrive as escaped HTML, so they are decoded before cleaning."""
     return _rows(
         _records(payloads, GREENHOUSE, "jobs"),
+        outer,
         title=F.coalesce("r.title", F.lit("")),
         apply_url=F.col("r.absolute_url"),
         source_job_id=F.col("r.id"),
@@ -147,9 +185,10 @@ def greenhouse(payloads: DataFrame) -> DataFrame:
     )
 
 
-def lever(payloads: DataFrame) -> DataFrame:
+def lever(payloads: DataFrame, outer: bool = False) -> DataFrame:
     return _rows(
         _records(payloads, LEVER),
+        outer,
         title=F.coalesce("r.text", F.lit("")),
         apply_url=F.col("r.hostedUrl"),
         source_job_id=F.col("r.id"),
@@ -195,8 +234,8 @@ def with_details(rows: DataFrame, key: Column, details: DataFrame) -> DataFrame:
 def payload_kind(payload: Column) -> Column:
     """Shape of a landed body, from the marks that tell the shapes apart."""
     text = F.trim(F.coalesce(payload, F.lit("")))
-    page = text.rlike(r"(?i)^(<!--.*?-->\s*)*<(!doctype\s+html|html)\b")
-    rss = text.startswith("<?xml") | text.rlike(r"(?i)<rss\b") | (~page & text.rlike(r"(?i)<item\b"))
+    page = text.rlike(r"(?is)^(<\?xml.*?\?>\s*)?(<!--.*?-->\s*)*<(!doctype\s+html|html)\b")
+    rss = ~page & (text.startswith("<?xml") | text.rlike(r"(?i)<rss\b|<item\b"))
     return (
         F.when(text == "", F.lit("empty"))
         .when(F.substring(text, 1, 1) == "[", F.lit("postings_array"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from postlens.operators.skew import number_copies
+from postlens.session import scratch_dir
 from postlens.sources import html, json_feeds, xml_feeds
 
 PARSERS = {
@@ -40,73 +42,127 @@ def keep_first(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 LANDED_KEY = ["source", "company_id", "page_no"]
+IDENTITY = ["source", "company_id", "company_name", "base_url", "site", "page_no", "payload"]
 ROW = [
     "source", "company_id", "page_no", "pos", "title", "company_name", "apply_url", "source_job_id", "location",
     "description", "posted_date_raw", "salary_raw",
 ]
+_POSITIVE = (1 << 63) - 1
+
+
+def numbered_bodies(payloads: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """``payloads`` with ``body``: a number of their own for all landed bodies, also for equal ones.
+
+    It is a hash of what landed, so a body has the same number in every run; of n equal bodies
+    one has that number and the others hashes of it and 1 to n - 1. Only bodies that repeat
+    are shuffled.
+    """
+    hashed = payloads.withColumn("_hash", F.xxhash64(*IDENTITY))
+    told = number_copies(hashed, ["_hash"], "_copy", hot_rows)
+    number = F.when(F.col("_copy") == 0, F.col("_hash")).otherwise(F.xxhash64("_hash", "_copy"))
+    return told.withColumn("body", number).drop("_hash", "_copy")
 
 
 def _anchors(pages: DataFrame) -> DataFrame:
-    slim = pages.select(*LANDED_KEY, F.coalesce("company_name", F.lit("")).alias("company_name"), "base_url", "payload")
-    return html.anchor_postings(slim, "payload", "base_url")
+    slim = pages.select("body", *LANDED_KEY, F.coalesce("company_name", F.lit("")).alias("company_name"), "base_url", "payload")
+    return html.anchor_postings(slim, "payload", "base_url", outer=True)
 
 
-def _boards(pages: DataFrame) -> list[DataFrame]:
-    site = F.regexp_replace("base_url", "/+$", "")
-    out = []
-    for board, config in html.BOARD_CARDS.items():
-        found = html.cards(pages.where(F.col("source") == board), "payload", config, ["company_id", "base_url", "page_no"])
-        out.append(html.board_postings(found, board, site))
-    return out
+def _board(pages: DataFrame, board: str) -> DataFrame:
+    found = html.cards(pages, "payload", html.BOARD_CARDS[board], ["body", "company_id", "base_url", "page_no"], outer=True)
+    return html.board_postings(found, board, F.regexp_replace("base_url", "/+$", ""), outer=True)
 
 
-def _state(pages: DataFrame) -> DataFrame:
-    slim = pages.select("company_id", "base_url", "page_no", "payload")
-    return html.embedded_json(slim, "payload", F.regexp_replace("base_url", "/+$", ""))
+def _routed(bodies: DataFrame) -> DataFrame:
+    """The bodies in a folder per ``route``: the shape, or the board whose cards the page should hold.
+
+    A body is looked at once to tell its shape, and each parser then reads its own bodies only.
+    """
+    kind = json_feeds.payload_kind(F.col("payload"))
+    path = scratch_dir(bodies.sparkSession, "routed")
+    board = (F.col("kind") == "html") & F.coalesce(F.col("source").isin(*html.BOARD_CARDS), F.lit(False))
+    told = bodies.withColumn("kind", kind).withColumn("route", F.when(board, F.col("source")).otherwise(F.col("kind"))).drop("kind")
+    told.write.partitionBy("route").parquet(path)
+    return bodies.sparkSession.read.schema(told.schema).parquet(path)
 
 
-def _complete(rows: DataFrame) -> DataFrame:
-    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ROW])
+def _state(pages: DataFrame) -> DataFrame:
+    """The source is the landed one: pages of other boards may carry the same state object."""
+    slim = pages.select("body", F.col("source").alias("landed"), "company_id", "base_url", "page_no", "payload")
+    found = html.embedded_json(slim, "payload", F.regexp_replace("base_url", "/+$", ""), outer=True)
+    return found.withColumn("source", F.coalesce("landed", "source"))
+
+
+def _complete(rows: DataFrame, kind: str) -> DataFrame:
+    """The columns of every parser's rows; markup that holds no posting has the fault ``no_rows``."""
+    fault = F.col("fault") if "fault" in rows.columns else F.lit("no_rows")
+    extra = F.col("extra") if "extra" in rows.columns else F.lit(None).cast("map<string,string>")
+    return rows.select(
+        "body", *[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ROW],
+        extra.alias("extra"), F.lit(kind).alias("kind"), "usable", F.when(~F.col("usable"), fault).alias("fault"),
+    )
 
 
-def parse_all(payloads: DataFrame) -> DataFrame:
-    """Route each payload to the parser of its shape and union the rows, with a stable ``seq``.
+def account(payloads: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """Every landed body and what it holds: one row per entry, at least one per body.
 
-    ``seq`` is a hash of (source, company, page, position), so a payload parsed again gives
-    its rows the same numbers. A page of a board goes to the board's cards, any other page
-    to its posting links.
+    ``usable`` rows are raw postings. The others say why they are none: ``empty``,
+    ``unknown_shape``, ``malformed`` (JSON that does not parse), ``no_rows`` (nothing that
+    could be read as entries), or NULL for an entry that lacks what its feed requires and for
+    a list without entries. A page of a board goes to the board's cards, any other page to its
+    posting links.
     """
-    routed = payloads.withColumn("kind", json_feeds.payload_kind(F.col("payload")))
-    pages = routed.where("kind = 'html'")
-    board = F.coalesce(F.col("source").isin(*html.BOARD_CARDS), F.lit(False))
-    feeds = [parser(routed.where(F.col("kind") == kind)) for kind, parser in PARSERS.items()]
-    feeds += [_anchors(pages.where(~board)), *_boards(pages), _state(routed.where("kind = 'embedded_json'"))]
-    union = _complete(feeds[0])
+    routed = _routed(numbered_bodies(payloads, hot_rows))
+
+    def of(route: str) -> DataFrame:
+        return routed.where(F.col("route") == route)
+
+    feeds = [_complete(parser(of(kind), outer=True), kind) for kind, parser in PARSERS.items()]
+    feeds += [_complete(_board(of(board), board), "html") for board in html.BOARD_CARDS]
+    feeds += [_complete(_anchors(of("html")), "html"), _complete(_state(of("embedded_json")), "embedded_json")]
+    bad = F.when(F.col("route") == "empty", "empty").when(F.try_parse_json("payload").isNull(), "malformed").otherwise("unknown_shape")
+    for kind in ("empty", "unknown_json"):
+        nothing = of(kind).select("body", *LANDED_KEY, bad.alias("fault"), F.lit(False).alias("usable"))
+        feeds.append(_complete(nothing, kind))
+    union = feeds[0]
     for feed in feeds[1:]:
-        union = union.unionByName(_complete(feed))
-    return union.withColumn("seq", F.xxhash64(*LANDED_KEY, "pos").bitwiseAND(F.lit((1 << 63) - 1)))
+        union = union.unionByName(feed)
+    return union
+
+
+def rows_of(accounted: DataFrame) -> DataFrame:
+    """Raw postings with a stable ``seq``, a hash of the body's number and the position in it."""
+    seq = F.xxhash64("body", "pos").bitwiseAND(F.lit(_POSITIVE))
+    return accounted.where("usable").select(*ROW, "extra", "body", seq.alias("seq"))
 
 
-def ingest_errors(payloads: DataFrame) -> DataFrame:
-    """Bodies that gave no row, with their kind and a reason, instead of failing the run.
+def states_of(accounted: DataFrame) -> DataFrame:
+    """One row per body: ``state`` is ``rows``, ``empty_list`` or ``error``, the last with its reason.
 
-    Reasons: ``empty``, ``unknown_shape``, ``malformed`` (JSON that does not parse) and
-    ``no_rows``. A well-formed JSON list without entries is no error.
+    A body with entries of which none is usable is an error, ``no_rows``. The entries of a
+    body are next to each other, so they are counted before anything is shuffled.
     """
-    parsed = parse_all(payloads).select(*[F.col(k).alias(f"_k_{k}") for k in LANDED_KEY]).distinct()
-    same = F.lit(True)
-    for k in LANDED_KEY:
-        same = same & payloads[k].eqNullSafe(parsed[f"_k_{k}"])
-    kind = json_feeds.payload_kind(F.col("payload"))
-    silent = payloads.join(parsed, same, "left_anti").withColumn("kind", kind)
-    markup = F.col("kind").isin("rss", "html", "embedded_json")
-    reason = (
-        F.when(F.col("kind") == "empty", "empty")
-        .when(~markup & F.try_parse_json("payload").isNull(), "malformed")
-        .when(F.col("kind") == "unknown_json", "unknown_shape")
-        .when(markup, "no_rows")
+    told = accounted.groupBy("body").agg(
+        *[F.any_value(c).alias(c) for c in (*LANDED_KEY, "kind")], F.count("pos").alias("entries"),
+        F.count_if("usable").alias("postings"), F.max("fault").alias("fault"),
     )
-    return silent.withColumn("reason", reason).where("reason is not null")
+    reason = F.when(F.col("postings") == 0, F.coalesce("fault", F.when(F.col("entries") > 0, F.lit("no_rows"))))
+    state = F.when(F.col("postings") > 0, "rows").when(reason.isNull(), "empty_list").otherwise("error")
+    return told.select("body", *LANDED_KEY, "kind", "entries", "postings", state.alias("state"), reason.alias("reason"))
+
+
+def parse_all(payloads: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """Raw postings of all landed bodies, in one pass over them."""
+    return rows_of(account(payloads, hot_rows))
+
+
+def ingest_errors(payloads: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """Bodies without a usable posting, with their kind and a reason, instead of failing the run.
+
+    A well-formed list without entries is no error. To have the postings and the errors from
+    one reading of the bodies, write :func:`account` out and take ``rows_of`` and ``states_of``.
+    """
+    return states_of(account(payloads, hot_rows)).where("state = 'error'")
 
 
 def active_only(rows: DataFrame, companies: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.text import blank_to_null, clean_text, title_tail_location
+from postlens.sources.json_feeds import carried, finished
 
 # The feed's element names, with and without the location prefix.
 RSS = (
@@ -14,10 +15,20 @@ RSS = (
 )
 
 
-def rss(payloads: DataFrame) -> DataFrame:
-    """One row per item with a title or link; malformed documents contribute nothing."""
+def rss(payloads: DataFrame, outer: bool = False) -> DataFrame:
+    """One row per item with a title or link; malformed documents contribute nothing.
+
+    With ``outer`` as in the JSON feeds; a document without items is a fault.
+    """
     items = F.from_xml("payload", RSS)["channel"]["item"]
-    rows = payloads.select("source", "company_id", "company_name", "page_no", F.posexplode(items).alias("pos", "r"))
+    keys = carried(payloads, "source", "company_id", "company_name", "page_no")
+    listed = payloads.select(*keys, items.alias("items"))
+    told = listed.select(*keys, F.when(F.col("items").isNull(), F.lit("no_rows")).alias("fault"), "items")
+    return rss_items(told.select(*keys, "fault", F.posexplode_outer("items").alias("pos", "r")), outer)
+
+
+def rss_items(rows: DataFrame, outer: bool = False) -> DataFrame:
+    """Raw postings of feed items ``r``, whatever brought them."""
 
     def text(name: str) -> Column:
         return F.trim(F.coalesce(F.col(f"r.`{name}`"), F.lit("")))
@@ -25,8 +36,8 @@ def rss(payloads: DataFrame) -> DataFrame:
     place = F.coalesce(
         blank_to_null(text("g:location")), blank_to_null(text("location")), title_tail_location(text("title"))
     )
-    return rows.where((text("title") != "") | (text("link") != "")).select(
-        "source", "company_id", "page_no", "pos",
+    named = rows.select(
+        *carried(rows, "source", "company_id", "page_no", "pos", "fault"),
         text("title").alias("title"),
         F.coalesce("company_name", F.lit("")).alias("company_name"),
         text("link").alias("apply_url"),
@@ -35,3 +46,4 @@ def rss(payloads: DataFrame) -> DataFrame:
         blank_to_null(clean_text(text("description"))).alias("description"),
         blank_to_null(text("pubDate")).alias("posted_date_raw"),
     )
+    return finished(named, (F.col("title") != "") | (F.col("apply_url") != ""), outer)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from postlens.operators import views
 from postlens.operators.store import merge_table
+from postlens.plans.pipeline import run_batch
 
 
 def file_stream(spark: SparkSession, table: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -59,6 +61,38 @@ def ingest(
     )
 
 
+def run_stream(
+    landed: DataFrame,
+    to_raw: Callable[[DataFrame], DataFrame],
+    companies: DataFrame,
+    ratings: DataFrame,
+    with_similarity: Callable[[DataFrame], DataFrame] | None,
+    today: date,
+    table: str,
+    index: str,
+    checkpoint: str,
+    alerts: str | None = None,
+    hot_rows: int | None = None,
+) -> StreamingQuery:
+    """The whole run over newly landed files, batch by batch, then stop.
+
+    Every batch resolves, scores and stores its postings against what is there (see
+    :func:`postlens.plans.pipeline.run_batch`) and logs its digest to ``alerts``. A replayed
+    batch has its first time and number, so table, index and log stay as they were.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        taken = batch_clock(spark, f"{checkpoint.rstrip('/')}-clock", batch_id)
+        done = run_batch(
+            to_raw(batch), batch_id, companies, ratings, with_similarity, today, F.lit(taken), table, index, hot_rows=hot_rows
+        )
+        if alerts:
+            views.log_alerts(views.alerts(done.digest, f"batch-{batch_id}", "email", F.lit(taken)), alerts)
+
+    return landed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def keep_first(stream: DataFrame, key: list[str], ts: str, days: int = 21) -> DataFrame:
     """First row per key within the window; rows later than the watermark are dropped."""
     return stream.withWatermark(ts, f"{days} days").dropDuplicatesWithinWatermark(key)

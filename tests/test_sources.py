@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
-from postlens.schema import PAYLOAD
+from postlens.operators import resolve
+from postlens.operators.normalize import normalize
+from postlens.schema import PAYLOAD, RAW_POSTING, conform
 from postlens.sources import html, html_tree, json_feeds, landing, xml_feeds
 
 
@@ -125,3 +129,42 @@ def test_keep_first_is_by_order(spark):
     got = landing.keep_first(df, ["source", "u"], ["page_no", "pos"])
     assert sorted(map(tuple, got.collect())) == [("s", "u", 1, 5), ("s", "v", 3, 1)]
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bodies_of_one_page_number_are_told_apart(spark):
+    """Two search terms, a body landed twice, and a broken one beside them: nothing multiplies or vanishes."""
+    one = '{"jobPostings": [{"title": "Quality Manager", "externalPath": "/job/1"}]}'
+    two = '{"jobPostings": [{"title": "Site Quality Lead", "externalPath": "/job/2"}]}'
+    rows = [("official_ats", "bega", "Bega", "https://h", "S", 1, b) for b in (one, two, one, "{broken")] + [("official_ats", None, None, None, None, None, one)]
+    df = spark.createDataFrame(rows, PAYLOAD)
+    parsed = landing.parse_all(df).collect()
+    assert len(parsed) == 3 and len({r.seq for r in parsed}) == 3  # without a base there is no link
+    again = landing.parse_all(df.repartition(3), hot_rows=1)
+    assert {(r.apply_url, r.seq) for r in again.collect()} == {(r.apply_url, r.seq) for r in parsed}
+    done = resolve.deduplicate(normalize(landing.parse_all(df), date(2026, 6, 21))).collect()
+    assert sorted(r.status for r in done) == ["duplicate", "new", "new"]
+    states = landing.states_of(landing.account(df)).collect()
+    assert sorted((r.state, r.reason or "") for r in states) == [("error", "malformed"), ("error", "no_rows"), ("rows", ""), ("rows", ""), ("rows", "")]
+
+
+def test_bodies_with_entries_but_no_posting_are_errors(spark):
+    bodies = [
+        '{"jobPostings": [{"title": "x"}]}', '{"content": [{"name": "x"}]}', '[{"text": "x"}]', '{"jobs": [{"title": "x"}]}', "[1, 2]", "[]",
+        '{"refineSearch": {"data": {"jobs": []}}}', '{"content": 3}', '<?xml version="1.0"?><!DOCTYPE html><html><a href="/job/1">Quality Lead</a></html>',
+        '<?xml version="1.0"?><rss><channel></channel></rss>',
+    ]
+    states = {r.page_no: (r.kind, r.state, r.reason, r.entries) for r in landing.states_of(landing.account(landed(spark, *bodies))).collect()}
+    assert states == {
+        0: ("list", "error", "no_rows", 1), 1: ("content", "error", "no_rows", 1), 2: ("postings_array", "error", "no_rows", 1),
+        3: ("api_jobs", "error", "no_rows", 1), 4: ("postings_array", "error", states[4][2], states[4][3]), 5: ("postings_array", "empty_list", None, 0),
+        6: ("widgets", "empty_list", None, 0), 7: ("content", "error", "no_rows", 0), 8: ("html", "rows", None, 1), 9: ("rss", "error", "no_rows", 0),
+    }
+
+
+def test_rows_that_share_a_number_do_not_multiply(spark):
+    rows = [(7, "Quality Manager", f"https://h/{i}") for i in range(3)] + [(8, "Quality Lead", "https://h/9")]
+    raw = spark.createDataFrame([(s, "seek", t, "Bega", u) for s, t, u in rows], "seq long, source string, title string, company_name string, apply_url string")
+    raw = conform(raw, RAW_POSTING)
+    done = resolve.deduplicate(normalize(raw, date(2026, 6, 21)), hot_rows=1).collect()
+    assert sorted(r.apply_url for r in done) == sorted(u for _, _, u in rows) and len({r.seq for r in done}) == 4
+    assert sorted(r.status for r in done) == ["duplicate", "duplicate", "new", "new"]
