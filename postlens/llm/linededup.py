@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from postlens.operators.materialize import cut
 
 MAX_LINE_WORDS = 16
-MIN_WINDOW_WORDS = 12
 PASSAGE_WORDS = 51
 GRAM_WORDS = 16  # of a fingerprint
 _GRAMS = PASSAGE_WORDS - GRAM_WORDS + 1  # in a passage; the smallest is its fingerprint
@@ -33,28 +32,20 @@ def lines_of(text: Column) -> Column:
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """``(h1, h2, _ld_id, _ld_hash, pos)`` per window of three lines with ``MIN_WINDOW_WORDS`` words or more.
+    """``(h1, h2, _ld_id, _ld_hash, pos)`` per window of three lines.
 
     Every line is hashed once, and a window's hashes are made of those of its lines.
     """
-
-    def facts(line: Column) -> Column:
-        bare = F.rtrim(line, F.lit("\t\n\x0b\f\r "))
-        words = F.when(bare == "", 0).otherwise(F.size(F.split(bare, f"[{_BLANK}]+")))
-        return F.struct(F.xxhash64(bare).alias("a"), F.hash(bare).alias("b"), words.alias("n"))
+    bare = lambda line: F.xxhash64(F.rtrim(line, F.lit("\t\n\x0b\f\r ")))
+    hashed = docs.select(F.col("doc_id").alias("_ld_id"), F.xxhash64("text").alias("_ld_hash"), F.transform(lines_of(F.col("text")), bare).alias("lines"))
 
     def window(i: Column) -> Column:
         three = [F.get("lines", i + k) for k in range(3)]
-        return F.struct(
-            F.xxhash64(*[x["a"] for x in three]).alias("h1"), F.hash(*[x["b"] for x in three]).alias("h2"),
-            i.alias("pos"), sum((x["n"] for x in three[1:]), three[0]["n"]).alias("n"),
-        )
+        return F.struct(F.xxhash64(*three).alias("h1"), F.hash(*three).alias("h2"), i.alias("pos"))
 
-    cut_up = docs.select(
-        F.col("doc_id").alias("_ld_id"), F.xxhash64("text").alias("_ld_hash"), F.transform(lines_of(F.col("text")), facts).alias("lines")
-    )
-    windows = F.filter(F.transform(F.sequence(F.lit(0), F.size("lines") - 3), window), lambda w: w["n"] >= MIN_WINDOW_WORDS)
-    return cut_up.where(F.size("lines") >= 3).select(*_KEY, F.inline(windows)).drop("n")
+    starts = F.when(F.size("lines") >= 3, F.sequence(F.lit(0), F.size("lines") - 3)).otherwise(F.array().cast("array<int>"))
+    # Outer: else the planner asks for the windows' number first, and cuts and hashes all lines twice.
+    return hashed.select(*_KEY, F.inline_outer(F.transform(starts, window))).where("pos IS NOT NULL")
 
 
 def _covered(starts: Column, width: int = 3) -> Column:
@@ -77,7 +68,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     null doc_id first. Lines covered by any later occurrence go; the rest is joined
     unchanged, so a document without repeats keeps its text byte for byte, and one that
     repeats others throughout is left with an empty text. Adds ``n_lines`` and
-    ``n_removed``. Texts of fewer than three lines, null and empty texts stay as they are.
+    ``n_removed``. Windows count whatever the length of their lines, so three short lines that
+    repeat go as well. Texts of fewer than three lines, null and empty texts stay as they are.
     Rows equal in doc_id and text count as one occurrence. Window identity is 96 bits of
     hash. A window that very many documents share meets its single first occurrence in a
     join whose large partitions Spark can split.

@@ -40,10 +40,8 @@ WITH docs AS (
 ), windows AS (
   SELECT doc_id, i AS pos, lines[i] || chr(10) || lines[i + 1] || chr(10) || lines[i + 2] AS passage
   FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS i FROM bare)
-), wide AS (
-  SELECT * FROM windows WHERE len(regexp_extract_all(passage, '[^\t\n\x0B\f\r\x20]+')) >= 12
 ), later AS (
-  SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY passage ORDER BY doc_id, pos) AS k FROM wide) WHERE k > 1
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY passage ORDER BY doc_id, pos) AS k FROM windows) WHERE k > 1
 ), gone AS (SELECT DISTINCT doc_id, pos + o AS pos FROM later, (SELECT unnest([0, 1, 2]) AS o)),
 kept AS (
   SELECT p.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,

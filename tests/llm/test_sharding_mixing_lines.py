@@ -127,8 +127,6 @@ def expected_lines(docs):
         bare = [p.rstrip("\t\n\x0b\f\r ") for p in lines[d]]
         for i in range(len(bare) - 2):
             passage = tuple(bare[i : i + 3])
-            if sum(len(words(x)) for x in passage) < linededup.MIN_WINDOW_WORDS:
-                continue
             if passage in seen:
                 gone[d].update((i, i + 1, i + 2))
             seen.setdefault(passage, (d, i))
@@ -162,6 +160,15 @@ def test_repeated_passages_go_and_first_occurrences_stay(spark):
     assert rows[61]["text"] is None and set(rows[0].asDict()) >= {"n_lines", "source", "shard"}
 
 
+def test_three_short_lines_that_repeat_go(spark):
+    """Lines of one, two and three words, and a passage of two-word lines in the middle of other text."""
+    short = "Yes.\nNot now.\nTry it later.\n"
+    pairs = "".join(f"a{i} b{i}.\n" for i in range(30))
+    docs = [(1, short), (2, "x y z.\n" + short + "end"), (3, "Yes.\nNot now.\n"), (4, pairs), (5, "One more line.\n" + pairs + "tail")]
+    rows = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows == {1: short, 2: "x y z.\nend", 3: "Yes.\nNot now.\n", 4: pairs, 5: "One more line.\ntail"} == expected_lines(docs)
+
+
 def test_line_dedup_of_nothing_and_of_repeated_rows(spark):
     df = spark.createDataFrame([], DOCS)
     assert linededup.dedup_lines(df).count() == 0
