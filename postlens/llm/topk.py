@@ -122,9 +122,16 @@ def bound(q_center: np.ndarray, q_radius: float, c_center: np.ndarray, c_radius:
     return top + 1e-9 * (a + q_radius) * (b + c_radius) + 1.0
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> Best:
-    """Dual-tree search: node pairs in order of their bounds, pruned by the worst kth score in the query node."""
+def search(
+    queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, ties: np.ndarray | None = None
+) -> Best:
+    """Dual-tree search: node pairs in order of their bounds, pruned by the worst kth score in the query node.
+
+    No query meets the point that has its own id. Of equal scores the smaller of ``ties`` is
+    better (the ids, by default), and this is how the best are named.
+    """
     best = Best(query_ids, floor, k)
+    ties = ids if ties is None else ties
     left, right = Tree(queries), Tree(points)
     if not left.nodes or not right.nodes:
         return best
@@ -142,7 +149,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, points
             good = (score >= best.worst[rows][:, None]) & (query_ids[rows][:, None] != ids[which][None, :])
             i, j = np.nonzero(good)
             if len(i):
-                best.add(rows[i], score[i, j], ids[which[j]])
+                best.add(rows[i], score[i, j], ties[which[j]])
             continue
         if qk and (not ck or qr >= cr):
             pairs = [(x, b) for x in qk]
@@ -171,7 +178,7 @@ def _assign(pivots: dict[int, np.ndarray], sample: dict[int, tuple[np.ndarray, n
             for dim, rows in _by_dim(batch):
                 part = batch.take(pa.array(rows))
                 x = _matrix(part.column("v"), dim)
-                ids = part.column("vec_id").to_numpy()
+                ids = part.column("row").to_numpy()
                 p = pivots.get(dim)
                 if p is None:
                     cell, far = np.full(len(x), -1), np.sqrt((x**2).sum(1))
@@ -197,15 +204,17 @@ def _assign(pivots: dict[int, np.ndarray], sample: dict[int, tuple[np.ndarray, n
 
 def _search_block(k: int):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
+        names = ["query", "query_id", "vec_id", "row", "score"]
         if not left.num_rows or not right.num_rows:
             return pa.table({n: pa.array([], pa.int64()) for n in names})
         dim = left.column("q_dim")[0].as_py()
+        right = right.sort_by([("vec_id", "ascending"), ("row", "ascending")])
         queries, points = (_matrix(t.column(c).combine_chunks(), dim) for t, c in ((left, "q_v"), (right, "v")))
-        ids = left.column("q_vec_id").to_numpy()
-        best = search(queries, ids, left.column("q_floor").to_numpy(), points, right.column("vec_id").to_numpy(), k)
+        asks, rows = left.column("q_row").to_numpy(), right.column("row").to_numpy()
+        best = search(queries, asks, left.column("q_floor").to_numpy(), points, rows, k, np.arange(len(rows)))
         q, s, i = best.top
-        return pa.table({"query_id": ids[q], "vec_id": i, "score": s})
+        columns = [asks[q], left.column("q_vec_id").to_numpy()[q], right.column("vec_id").to_numpy()[i], rows[i], s]
+        return pa.table(dict(zip(names, columns, strict=True)))
 
     return run
 
@@ -215,26 +224,28 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: float = 1024
 
     Components become floor(scale * x) and the score is the integer inner product, ties to
     the smaller vec_id. Vectors that are null or hold a null or non-finite component take no
-    part, nor do rows without a vec_id; a vec_id that repeats counts once, with its smallest
-    vector. Vectors are compared with those of the same length only; queries without any
-    candidate return no row.
+    part, nor do rows without a vec_id. Rows that repeat a vec_id are queries and candidates of
+    their own: only the query's own row is no candidate. Vectors are compared with those of
+    the same length only; queries without any candidate return no row.
     """
     x = F.col("embedding")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
     usable = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~F.coalesce(bad, F.lit(True)))
     scaled = F.transform(x, lambda v: _floor(v.cast("double") * scale))
     rows = cut(
-        usable.select(F.col("vec_id").cast("long"), scaled.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
-        .select("vec_id", "v", F.size("v").alias("dim"), (F.pmod("vec_id", F.lit(every)) == 0).alias("is_query")),
+        usable.select(F.col("vec_id").cast("long"), scaled.alias("v")).select(
+            "vec_id", "v", F.size("v").alias("dim"), (F.pmod("vec_id", F.lit(every)) == 0).alias("is_query"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
         "topk-rows",
     )
-    drawn = rows.orderBy(F.xxhash64(F.lit(1), "vec_id")).limit(SAMPLE).toArrow()
+    drawn = rows.orderBy(F.xxhash64(F.lit(1), "vec_id"), "row").limit(SAMPLE).toArrow()
     sample, pivots = {}, {}
     for batch in drawn.combine_chunks().to_batches():
         for dim, which in _by_dim(batch):
             part = batch.take(pa.array(which))
             points = _matrix(part.column("v"), dim)
-            sample[dim] = (points, part.column("vec_id").to_numpy())
+            sample[dim] = (points, part.column("row").to_numpy())
             chosen, far = [0], ((points - points[0]) ** 2).sum(1)
             while len(chosen) < PIVOTS and far.max() > 0:
                 chosen.append(int(far.argmax()))
@@ -259,7 +270,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: float = 1024
     pair = F.broadcast(spark.createDataFrame(pairs, names))  # at most (PIVOTS + 1) ** 2 per length
 
     def spot(of: str, seed: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.col(of)).cast("int")
+        return F.pmod(F.xxhash64(F.lit(seed), "row"), F.col(of)).cast("int")
 
     key = ["dim", "c_cell", "c_block", "q_block"]
     asks = placed.where("is_query").withColumnRenamed("cell", "q_cell").join(pair, ["dim", "q_cell"])
@@ -268,8 +279,8 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: float = 1024
     most = pair.groupBy("dim", "c_cell", "c_blocks").agg(F.max("q_blocks").alias("q_most"))
     points = placed.withColumnRenamed("cell", "c_cell").join(F.broadcast(most), ["dim", "c_cell"])
     points = points.withColumn("c_block", spot("c_blocks", 2)).withColumn("q_block", F.explode(F.sequence(F.lit(0), (F.col("q_most") - 1).cast("int"))))
-    left = asks.select(*[F.col(c).alias(f"q_{c}") for c in [*key, "vec_id", "v", "floor"]]).groupBy(*[f"q_{c}" for c in key])
-    right = points.select(*key, "vec_id", "v").groupBy(*key)
-    found = left.cogroup(right).applyInArrow(_search_block(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    left = asks.select(*[F.col(c).alias(f"q_{c}") for c in [*key, "vec_id", "row", "v", "floor"]]).groupBy(*[f"q_{c}" for c in key])
+    right = points.select(*key, "vec_id", "row", "v").groupBy(*key)
+    found = left.cogroup(right).applyInArrow(_search_block(k), "query long, query_id long, vec_id long, row long, score long")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

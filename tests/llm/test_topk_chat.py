@@ -13,22 +13,21 @@ VECTORS = "vec_id long, embedding array<float>, label int, score string"
 
 
 def expected_top(vectors, k=10):
-    by_id = {}
+    rows = []
     for i, v in vectors:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        w = [math.floor(1024 * float(np.float32(x))) for x in v]
-        by_id[i] = min(by_id.get(i, w), w)
+        rows.append((i, [math.floor(1024 * float(np.float32(x))) for x in v]))
     out = []
-    for q in sorted(by_id):
+    for n, (q, mine) in enumerate(rows):
         if q % 100:
             continue
         scored = sorted(
-            (-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(by_id[q], by_id[c], strict=True)))), c)
-            for c in by_id if c != q and len(by_id[c]) == len(by_id[q])
+            (-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(mine, v, strict=True)))), c)
+            for m, (c, v) in enumerate(rows) if m != n and len(v) == len(mine)
         )
         out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:k])]
-    return out
+    return sorted(out)
 
 
 def top(spark, vectors):
@@ -46,10 +45,18 @@ def test_top_k_agrees_with_brute_force(spark, monkeypatch, block, pivots):
     vectors = [(i, (centers[i % 6] + 0.1 * rng.normal(size=8)).tolist()) for i in range(700)]
     vectors += [(700 + i, vectors[0][1]) for i in range(150)]  # many equal vectors, so ties
     vectors += [(-100, [0.0] * 8), (-200, [1.0, 2.0]), (-201, [2.0, 1.0]), (-300, []), (5, vectors[5][1]), (5, vectors[6][1])]
+    vectors += [(200, vectors[200][1]), (200, [9.0] * 8), (300, vectors[7][1]), (1, vectors[0][1])]  # repeated ids
     vectors += [(1000, None), (1001, [float("nan")] * 8), (1002, [None] + [1.0] * 7), (1100, [float("inf")] * 8), (None, [1.0] * 8)]
     assert top(spark, vectors) == expected_top(vectors)
 
 
+def test_rows_that_repeat_an_id_are_all_candidates(spark):
+    assert top(spark, [(1, [5.0]), (1, [9.0]), (2, [3.0]), (100, [1.0])]) == [
+        (100, 1, 1, 9 << 20), (100, 2, 1, 5 << 20), (100, 3, 2, 3 << 20),
+    ]
+    assert top(spark, [(100, [1.0]), (100, [2.0])]) == [(100, 1, 100, 2 << 20), (100, 1, 100, 2 << 20)]
+
+
 def test_top_k_of_huge_components_and_of_nothing(spark):
     huge = [(0, [1e30, 1.0]), (1, [1e30, 1.0]), (2, [-1e30, 1.0]), (3, [0.5, 0.25])]
     assert top(spark, huge) == expected_top(huge)
