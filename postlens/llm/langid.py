@@ -12,17 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlens.llm import wordbytes as wb
-from postlens.llm.sample import bounded, fold
+from postlens.llm.sample import bounded, fold, lowest
 from postlens.operators.materialize import cut
 
-TRAIN_DOCS = 6000  # training documents, at most; chosen by a hash of the id
-KNOWN_WORDS = 100_000  # most frequent words kept
-KNOWN_GRAMS = 50_000  # most frequent n-grams kept, per length
+TRAIN_DOCS = 1500  # training documents of each language, at most; chosen by a hash of the id
 LONGEST = 5
 SMOOTH = 0.5
 UNDETERMINED = "und"
@@ -49,32 +47,43 @@ def _words(texts: pa.Array) -> wb.Words:
     return wb.Words(pc.utf8_lower(pc.fill_null(texts, "")), LETTERS)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, feature, lang, n): words have kind 0; every distinct word of a text run gives its n-grams once."""
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, lang, n) of each run of texts."""
     for part in wb.chunks(batches, "text"):
         words, langs = _words(part.column("text")), part.column("lang").to_pylist()
-        hashes, row = words.hashes(), words.row()
+        if not len(words.start):
+            continue
+        offsets = np.concatenate(([0], np.cumsum(words.end - words.start))).astype(np.int64)
+        letters = np.ascontiguousarray(words.data[LETTERS[words.data]])
+        coded = pa.LargeStringArray.from_buffers(len(words.start), pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
         names = sorted(set(langs))
-        code = np.array([names.index(x) for x in langs], np.int64)[row]
-        kinds, features, codes, counts = [], [], [], []
-        for c, _ in enumerate(names):
-            mine = np.flatnonzero(code == c)
-            word, first, n = np.unique(hashes[mine], return_index=True, return_counts=True)
-            found = [(0, word, n)]
-            for k in range(1, LONGEST + 1):
-                found.append((k, *np.unique(_grams(words, mine[first], k)[0], return_counts=True)))
-            for k, feature, n in found:
-                kinds.append(np.full(len(feature), k, np.int32))
-                features.append(feature.view(np.int64))
-                codes.append(np.full(len(feature), c))
-                counts.append(n.astype(np.int64))
-        lang = pa.array(names, pa.string()).take(pa.array(np.concatenate(codes)))
+        code = np.array([names.index(x) for x in langs], np.int64)[words.row()]
+        cell, n = np.unique(code * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(kinds)), pa.array(np.concatenate(features)), lang, pa.array(np.concatenate(counts))],
-            ["kind", "feature", "lang", "n"],
+            [
+                coded.dictionary.take(pa.array(cell % len(coded.dictionary))).cast(pa.string()),
+                pa.array(names, pa.string()).take(pa.array(cell // len(coded.dictionary))), pa.array(n.astype(np.int64)),
+            ],
+            ["word", "lang", "n"],
         )
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, feature, lang, n) of distinct (word, lang) rows: the word has kind 0 and its own count, its n-grams count once."""
+    for part in wb.chunks(batches, "word"):
+        words = wb.Words(part.column("word"), LETTERS, lower=False)
+        every = np.arange(len(words.start))
+        found = [(0, words.hashes(), every, part.column("n").to_numpy())]
+        for k in range(1, LONGEST + 1):
+            feature, word = _grams(words, every, k)
+            found.append((k, feature, word, np.ones(len(feature), np.int64)))
+        for k, feature, word, n in found:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(feature), k, np.int32)), pa.array(feature.view(np.int64)), part.column("lang").take(pa.array(word)), pa.array(n)],
+                ["kind", "feature", "lang", "n"],
+            )
+
+
 class Model:
     """Log frequencies by language of the known features of each kind."""
 
@@ -134,15 +143,19 @@ def has_letter(texts: pa.Array, words: wb.Words) -> np.ndarray:
 
 
 def train(docs: DataFrame) -> Model:
-    """A model from a bounded sample of the documents with a language outside the held-out fold."""
-    keys = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), 4) != 2)).select("doc_id", "lang")
-    sample = bounded(docs.select("doc_id", "text"), keys, TRAIN_DOCS, 7)
-    counted = sample.select("text", "lang").mapInArrow(_count, "kind int, feature long, lang string, n long")
+    """A model from a bounded sample of the documents with a language outside the held-out fold.
+
+    The sample has up to ``TRAIN_DOCS`` documents of each language, so that a rare one is
+    learned too, and all words and n-grams of the sample are kept. N-grams are counted once
+    for each distinct word of a language, wherever its documents lie.
+    """
+    keys = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 4) != 2)).select("doc_id", "lang")
+    sample = bounded(docs, lowest(keys, TRAIN_DOCS, 7, "lang"), ["doc_id", "lang"])
+    words = sample.select("text", "lang").mapInArrow(_count_words, "word string, lang string, n long")
+    words = words.groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    counted = words.mapInArrow(_features, "kind int, feature long, lang string, n long")
     counted = cut(counted.groupBy("kind", "feature", "lang").agg(F.sum("n").alias("n")), "language-counts")
-    totals = counted.groupBy("kind", "feature").agg(F.sum("n").alias("total"))
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("total"), "feature"))
-    top = totals.withColumn("k", rank).where(F.col("k") <= F.when(F.col("kind") == 0, KNOWN_WORDS).otherwise(KNOWN_GRAMS))
-    rows = counted.join(top.select("kind", "feature"), ["kind", "feature"]).toPandas()
+    rows = counted.toPandas()  # of the bounded sample
     sums = counted.groupBy("kind", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas()
     langs = sorted(sums["lang"].unique().tolist())
     code = {x: i for i, x in enumerate(langs)}

@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from postlens.llm import langid, lm, quality
+from postlens.llm import langid, lm, quality, sample
+from postlens.llm import wordbytes as wb
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, score string, held_out string"
@@ -32,6 +33,65 @@ def test_language_of_held_out_documents(spark, documents):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def plain_language(model, text):
+    """The language of a text from the learned tables, word by word in plain Python."""
+    low = (text or "").lower()
+    found = re.findall(rb"[a-z\x80-\xff]+", low.encode())
+    tables = [{int(k): row for k, row in zip(keys, scores, strict=True)} for keys, scores in model.tables]
+
+    def hashes(word, k):
+        words = wb.Words(pa.array([word.decode()]), langid.LETTERS, lower=False)
+        return words.hashes() if k == 0 else langid._grams(words, np.array([0]), k)[0]
+
+    total = np.array(model.prior, float)
+    for word in found:
+        for k in (0, *range(langid.LONGEST, 0, -1)):
+            seen = [tables[k][int(h)] for h in hashes(word, k) if int(h) in tables[k]]
+            if seen:
+                total += sum(seen) / len(seen)
+                break
+    calm = np.exp((total - total.max()) / math.sqrt(max(1, len(found))))
+    if not any(c.isalpha() for c in low):
+        return "und", 0.0
+    return model.langs[int(total.argmax())], float(calm.max() / calm.sum())
+
+
+def test_language_agrees_with_plain_scoring_on_any_partitioning(spark, documents):
+    some = documents.select("doc_id", "text", "lang").where("doc_id < 160")
+    odd = spark.createDataFrame([(-1, "Ünseen wörds zzqx", None), (-2, None, "en"), (-3, "42", None)], "doc_id long, text string, lang string")
+    docs = some.union(odd)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    model = langid.train(docs)
+    runs = []
+    for parts in (1, 16):
+        rows = langid.identify(docs.repartition(parts)).collect()
+        runs.append(sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in rows))
+    assert runs[0] == runs[1]
+    for doc_id, lang, score in runs[0]:
+        want = plain_language(model, texts[doc_id])
+        assert lang == want[0] and abs(score - want[1]) < 1e-9
+
+
+def test_a_rare_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_DOCS", 40)
+    rows = [(i, "the house and the garden of words", "en") for i in range(3000)]
+    rows += [(5000 + i, f"talo ja puutarha sekä sanoja {i}", "fi") for i in range(12)] + [(9000, "talo ja sanoja", None), (9001, "the garden", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[9000] == "fi" and got[9001] == "en" and all(got[5000 + i] == "fi" for i in range(12))
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    ids = [i for i in range(400) if not held(i, 4)]
+    docs = spark.createDataFrame([(ids[0], f"text {i % 7}") for i in range(3000)] + [(i, "other") for i in ids[1:]], "doc_id long, text string")
+    chosen = docs.select("doc_id").distinct().withColumn("label", F.lit(1))
+    assert sample.bounded(docs, chosen, ["doc_id"]).count() == len(ids)
+    keys = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b")).select("doc_id", "lang")
+    drawn = sample.lowest(keys, 20, 7, "lang").collect()
+    assert len(drawn) == len(set(drawn)) and max(collections.Counter(r["lang"] for r in drawn).values()) <= 20
+    again = sample.lowest(keys.repartition(9), 20, 7, "lang").collect()
+    assert sorted(map(tuple, drawn)) == sorted(map(tuple, again))
+
+
 def test_language_of_odd_texts(spark, documents):
     learned = documents.select("doc_id", "text", "lang").limit(200)
     odd = [(-1, None, None), (-2, "", "en"), (-3, "12 34 !!", "de"), (-4, "— ·", "fr"), (-5, "Ж", None), (None, "the and of", None), (-7, "x" * 300_000, None)]
@@ -72,6 +132,17 @@ def test_quality_of_held_out_documents(spark, documents):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
 
 
+def test_quality_agrees_with_plain_scoring(spark, documents):
+    docs = documents.select("doc_id", "text").where("doc_id < 120")
+    vectors, weights = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    for r in quality.score(docs, vectors, weights, ["doc_id", "text"]).collect():
+        found = [b for bucket, _ in quality.features(pa.array([r["text"]])) for b in bucket.tolist()]
+        hidden = np.mean([vectors[b] for b in found], 0) if found else np.zeros(quality.DIM)
+        logit = weights[:, :-1].astype(float) @ hidden + weights[:, -1]
+        want = math.exp(logit[1] - logit.max()) / sum(math.exp(x - logit.max()) for x in logit)
+        assert abs(r["score"] - want) < 1e-5
+
+
 def test_quality_of_odd_texts_and_labels(spark, documents):
     odd = [(-1, None), (-2, ""), (-3, " \n"), (None, "a"), (-5, "y" * 200_000)]
     docs = documents.select("doc_id", "text").limit(150).union(spark.createDataFrame(odd, "doc_id long, text string"))
