@@ -10,6 +10,7 @@ from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postlens.functions.text import padded_tokens
 
@@ -32,7 +33,5 @@ def hashing_encoder(df: DataFrame, text: Column, dim: int = 384) -> DataFrame:
 
 def model_encoder(make_predict: Callable, text: Column, dim: int, batch_size: int = 256):
     """Encoder over a user's model: ``make_predict`` loads it once per Python worker."""
-    encode = predict_batch_udf(
-        make_predict, return_type="array<float>", batch_size=batch_size
-    )
+    encode = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
     return lambda df: df.withColumn("embedding", encode(text))

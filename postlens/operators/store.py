@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window as W
@@ -111,11 +113,32 @@ def repair_orphans(stored: DataFrame, hot_rows: int | None = None) -> DataFrame:
     )
 
 
-def embedding_reuse(batch: DataFrame, vectors: DataFrame) -> DataFrame:
+TEXT_KEY = ["normalized_title", "company_name", "description_hash"]
+
+
+def embedding_reuse(batch: DataFrame, vectors: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Attach a stored vector of the identical posting text, NULL where it must be computed."""
-    key = ["normalized_title", "company_name", "description_hash"]
-    known = vectors.where("embedding is not null").groupBy(*key).agg(F.min_by("embedding", F.struct("id", "seq")).alias("embedding"))
-    return batch.join(known, key, "left")
+    best = F.min_by("embedding", F.struct("id", "seq"))
+    known = vectors.where("embedding is not null").groupBy(*TEXT_KEY).agg(best.alias("embedding"))
+    asked = batch.groupBy(*TEXT_KEY).agg(F.count("*").alias("_n"))
+    return lookup(batch, known.join(asked, TEXT_KEY), TEXT_KEY, "_n", "seq", hot_rows)
+
+
+def encode_new(
+    batch: DataFrame, vectors: DataFrame, encoder: Callable[[DataFrame], DataFrame], hot_rows: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The batch with an ``embedding`` for every row, and the vectors that had to be computed.
+
+    Only texts without a stored vector go to the encoder, each once however many rows have it;
+    the second table is what to add to the stored vectors.
+    """
+    found = cut(embedding_reuse(batch.drop("embedding"), vectors, hot_rows), "encode-found")
+    missing = found.where("embedding IS NULL").drop("embedding")
+    least = F.min(F.struct("id", "seq")).alias("first")
+    texts = missing.groupBy(*TEXT_KEY).agg(least, F.count("*").alias("_n")).select(*TEXT_KEY, "first.*", "_n")
+    computed = cut(encoder(texts), "encode-computed")
+    told = lookup(missing, computed.select(*TEXT_KEY, "embedding", "_n"), TEXT_KEY, "_n", "seq", hot_rows)
+    return found.where("embedding IS NOT NULL").unionByName(told), computed.select("id", "seq", *TEXT_KEY, "embedding")
 
 
 def month_of(posted: Column) -> Column:
@@ -158,25 +181,38 @@ _MAINTAINED = [
 ]
 
 
-def maintain_table(spark, path: str, schema) -> DataFrame:
+def maintain(spark, path: str, schema) -> dict[str, int]:
     """Re-gate and repair the stored table, replacing only the months in which rows change.
 
     The check reads the few columns it needs; descriptions and scores are read again only for
-    the months to rewrite. A second call changes nothing.
+    the months to rewrite. Returns how many rows were ``regated``, ``relinked`` and
+    ``promoted``, counted as the changes are written. A second call re-gates those of the
+    promoted rows that fail the gates, and a third changes nothing.
     """
     slim = read_table(spark, path, schema).select(*_MAINTAINED)
     before = slim.withColumns({"_status": F.col("status"), "_duplicate_of": F.col("duplicate_of")})
     same = F.col("status").eqNullSafe(F.col("_status")) & F.col("duplicate_of").eqNullSafe(F.col("_duplicate_of"))
+    counts = Observation("maintenance")
+    moved = F.col("status") != F.col("_status")
+    changed = repair_orphans(regate(before)).where(~same).observe(
+        counts, F.count_if(moved & (F.col("status") == "irrelevant")).alias("regated"),
+        F.count_if(~F.col("duplicate_of").eqNullSafe(F.col("_duplicate_of"))).alias("relinked"),
+        F.count_if(moved & (F.col("_status") == "duplicate")).alias("promoted"),
+    )
     changes = cut(
-        repair_orphans(regate(before))
-        .where(~same)
-        .select(
+        changed.select(
             "id", F.col("status").alias("_status"), F.col("duplicate_of").alias("_duplicate_of"),
             month_of(F.col("posted_date")).alias("month"),
         ),
         "maintain-changes",
     )
     set_status(spark, path, schema, changes)
+    return {name: int(counts.get[name]) for name in ("regated", "relinked", "promoted")}
+
+
+def maintain_table(spark, path: str, schema) -> DataFrame:
+    """The stored table after :func:`maintain`."""
+    maintain(spark, path, schema)
     return read_table(spark, path, schema)
 
 

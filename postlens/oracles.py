@@ -557,6 +557,36 @@ j AS (SELECT o.*, s.id AS survivor, b.id AS best FROM o LEFT JOIN s USING (norma
         "SELECT id, CASE WHEN orphan AND survivor IS NULL AND id = best THEN 'new' ELSE status END AS status, "
         "CASE WHEN orphan AND NOT (survivor IS NULL AND id = best) THEN coalesce(survivor, best) ELSE duplicate_of END AS duplicate_of FROM j",
     ),
+    "maintenance_counts": with_(
+        f"""{NORM}, g AS (SELECT *, 'p' || CAST(seq AS VARCHAR) AS id, ' ' || trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) || ' ' AS tok, lower(title) AS title_lc FROM norm),
+u AS (SELECT *, {SENIORITY} AS category, {LOCATION_CLASS} AS location_key FROM g),
+w AS (SELECT seq, source, normalized_title, company_name, id, location_key = 'overseas' OR NOT {RELEVANT} AS fails,
+  CASE WHEN seq % 3 = 0 THEN 'duplicate' WHEN seq % 7 = 1 THEN 'irrelevant' WHEN seq % 5 = 2 THEN 'duplicate' ELSE 'new' END AS was,
+  CASE WHEN seq % 9 = 0 THEN 'kept' END AS duplicate_of, CASE WHEN seq % 4 <> 0 THEN CAST((seq * 37) % 100 AS DOUBLE) END AS final_score FROM u),
+t AS (SELECT *, CASE WHEN was = 'new' AND fails THEN 'irrelevant' ELSE was END AS status FROM w),
+o AS (SELECT *, status = 'duplicate' AND duplicate_of IS NULL AS orphan FROM t),
+s AS (SELECT DISTINCT normalized_title, company_name FROM o WHERE status NOT IN ('duplicate', 'irrelevant')),
+b AS (SELECT DISTINCT ON (normalized_title, company_name) normalized_title, company_name, id AS best FROM o WHERE orphan ORDER BY normalized_title, company_name, {_RANK}, seq),
+j AS (SELECT o.*, s.company_name IS NULL AND o.id = b.best AS promoted FROM o LEFT JOIN b ON o.normalized_title = b.normalized_title AND o.company_name = b.company_name
+  LEFT JOIN s ON o.normalized_title = s.normalized_title AND o.company_name = s.company_name)""",
+        "SELECT count(*) FILTER (was <> status) AS regated, count(*) FILTER (orphan AND NOT promoted) AS relinked, count(*) FILTER (orphan AND promoted) AS promoted, count(*) FILTER (orphan AND promoted AND fails) AS again FROM j",
+    ),
+    "encode_new": with_(
+        f"""{NORM}, ids AS MATERIALIZED (SELECT *, {_ID} AS id FROM norm), nv AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+known AS (SELECT DISTINCT ON (normalized_title, company_name, description_hash) normalized_title, company_name, description_hash, embedding
+  FROM ids i JOIN embeddings e ON e.vec_id = i.seq % (SELECT n FROM nv) WHERE i.seq % 4 <> 3
+  ORDER BY normalized_title, company_name, description_hash, i.id, i.seq),
+counted AS (SELECT seq, embedding, [len(normalized_title), len(normalized_title) - len(replace(normalized_title, 'a', '')), len(normalized_title) - len(replace(normalized_title, 'e', '')),
+  len(normalized_title) - len(replace(normalized_title, ' ', ''))] AS c FROM ids LEFT JOIN known USING (normalized_title, company_name, description_hash) WHERE seq % 2 = 1),
+v AS (SELECT seq, embedding IS NOT NULL AS reused, CASE WHEN embedding IS NOT NULL THEN CAST(embedding AS DOUBLE[]) ELSE list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) END AS v FROM counted)""",
+        "SELECT seq, reused, round(v[1], 5) AS v0, round(v[2], 5) AS v1, round(v[3], 5) AS v2, round(v[4], 5) AS v3 FROM v",
+    ),
+    "feed_files": with_(
+        RAW,
+        "SELECT apply_url, title || ' - Sydney' AS title, CASE WHEN seq % 2 = 0 AND coalesce(location, '') <> '' THEN location ELSE 'Sydney' END AS location, CAST(NULL AS VARCHAR) AS reason "
+        "FROM raw WHERE CAST(floor(seq / 20) AS BIGINT) % 10 <> 9 "
+        "UNION ALL SELECT NULL, NULL, NULL, 'malformed' FROM (SELECT DISTINCT CAST(floor(seq / 20) AS BIGINT) AS page_no FROM raw) WHERE page_no % 10 = 9",
+    ),
     "embedding_reuse": with_(
         f"""{NORM}, ids AS MATERIALIZED (SELECT *, {_ID} AS id FROM norm), nv AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
 known AS (SELECT DISTINCT ON (normalized_title, company_name, description_hash) normalized_title, company_name, description_hash, embedding[1] AS first

@@ -45,9 +45,15 @@ def run(
     min_tier: str = "C",
     home_only: bool = True,
     hot_rows: int | None = None,
+    run_id: str | None = None,
+    alerts_path: str | None = None,
+    report_path: str | None = None,
 ) -> Run:
     """``similarity(seq, similarity)`` gives the match to the profile, 0 where it has no row.
 
+    With ``alerts_path`` the digest is logged there under ``run_id``, which a repeated run
+    replaces; with ``report_path`` the sections of the report-worthy rows are written there.
+
     Only canonical rows are scored, so losers carry NULL scores. Newness is taken from the
     table before it is merged.
     """
@@ -77,6 +83,10 @@ def run(
         own = (F.col("status") == "duplicate") & (F.col("duplicate_of") == F.col("id"))
         store.merge_table(table_path, postings.where(~F.coalesce(own, F.lit(False))), POSTING, now)
         table = store.maintain_table(raw.sparkSession, table_path, POSTING)
+    if alerts_path:
+        views.log_alerts(views.alerts(digest, run_id or today.isoformat(), "email", now), alerts_path)
+    if report_path:
+        views.write_report(views.report_sections(cut(top, "run-top")), report_path)
     return Run(postings, top, digest, table, resolve.dedup_stats(resolved))
 
 

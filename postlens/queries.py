@@ -16,7 +16,7 @@ from postlens.operators import classify, enrich, health, normalize, resolve, sco
 from postlens.operators.materialize import cut
 from postlens.plans.pipeline import run as run_plan
 from postlens.plans.pipeline import score_all
-from postlens.schema import POSTING
+from postlens.schema import POSTING, conform
 from postlens.session import SETTINGS, scratch_dir, spread
 from postlens.sources import html, json_feeds, landing, xml_feeds
 from postlens.streaming import ingest
@@ -370,6 +370,56 @@ def repair_orphans(spark, sf_dir):
     return store.repair_orphans(rows).select("id", "status", "duplicate_of")
 
 
+def _orphaned(spark, sf_dir) -> DataFrame:
+    """Postings with statuses that maintenance has to mend."""
+    status = (
+        F.when(C("seq") % 3 == 0, F.lit("duplicate")).when(C("seq") % 7 == 1, F.lit("irrelevant"))
+        .when(C("seq") % 5 == 2, F.lit("duplicate")).otherwise(F.lit("new"))
+    )
+    points = F.when(C("seq") % 4 != 0, ((C("seq") * 37) % 100).cast("double"))
+    return norm(spark, sf_dir).withColumns({
+        "status": status, "duplicate_of": F.when(C("seq") % 9 == 0, F.lit("kept")), "final_score": points,
+        "id": F.concat(F.lit("p"), C("seq").cast("string")),
+    })
+
+
+@query
+def maintenance_counts(spark, sf_dir):
+    """Rows re-gated, relinked and promoted in the stored table, and what a second call changes."""
+    path = scratch_dir(spark, "maintained")
+    rows = conform(_orphaned(spark, sf_dir), POSTING).drop("first_seen", "last_seen")
+    store.merge_table(path, rows, POSTING, F.lit(datetime(2026, 9, 1)))
+    first, second = (store.maintain(spark, path, POSTING) for _ in range(2))
+    counts = [(first["regated"], first["relinked"], first["promoted"], sum(second.values()))]
+    return spark.createDataFrame(counts, "regated long, relinked long, promoted long, again long")
+
+
+def letters_model():
+    """A small model: a text's length and how often it has some letters, as a unit vector."""
+    import numpy as np
+
+    def predict(texts):
+        counts = np.array([[len(t), t.count("a"), t.count("e"), t.count(" ")] for t in texts], np.float32)
+        return counts / np.maximum(np.sqrt((counts**2).sum(1, keepdims=True)), 1e-9)
+
+    return predict
+
+
+@query
+def encode_new(spark, sf_dir):
+    """Vectors of a batch: stored ones where the text is known, a model's for the rest."""
+    base = store.with_id(norm(spark, sf_dir))
+    vecs = table(spark, sf_dir, "embeddings")
+    n = vecs.agg((F.max("vec_id") + 1).alias("n")).scalar()
+    stored = base.where("seq % 4 <> 3").withColumn("vec_id", F.pmod(C("seq"), n)).join(vecs, "vec_id")
+    encoder = encode.model_encoder(letters_model, C("normalized_title"), dim=4)
+    whole, computed = store.encode_new(base.where("seq % 2 = 1").drop("description"), stored, encoder)
+    ours = computed.select(*store.TEXT_KEY, F.lit(True).alias("computed"))
+    told = whole.join(ours, store.TEXT_KEY, "left")
+    values = [F.round(F.get("embedding", F.lit(i)).cast("double"), 5).alias(f"v{i}") for i in range(4)]
+    return told.select("seq", C("computed").isNull().alias("reused"), *values)
+
+
 @query
 def embedding_reuse(spark, sf_dir):
     base = store.with_id(norm(spark, sf_dir))
@@ -770,6 +820,18 @@ def ingest_xml_items(spark, sf_dir):
     return feed_rows(xml_feeds.rss(rss_pages(spark, sf_dir)), "rss")
 
 
+@query
+def feed_files(spark, sf_dir):
+    """A folder of feed files: the rows of each, and the broken files by reason."""
+    folder = scratch_dir(spark, "feeds")
+    rss_pages(spark, sf_dir).select("payload").write.option("maxRecordsPerFile", 1).text(folder)
+    rows, errors = xml_feeds.rss_files(spark, f"{folder}/*.txt", "official_ats", "bega", "Bega Group")
+    found = rows.select("apply_url", "title", "location", F.lit(None).cast("string").alias("reason"))
+    # A file's name is Spark's own, so broken files are counted.
+    bad = errors.select(F.lit(None).cast("string").alias("apply_url"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("location"), "reason")
+    return found.unionByName(bad)
+
+
 @query
 def ingest_detail_join(spark, sf_dir):
     body = F.to_json(struct(jobPostingInfo=struct(jobDescription=F.concat(F.lit("<div><p>"), escaped(C("description")), F.lit("</p></div>")))))
@@ -955,8 +1017,9 @@ def _events_stream(spark, sf_dir) -> DataFrame:
 @query
 def stream_source_counts(spark, sf_dir):
     out, state = scratch_dir(spark, "counts"), scratch_dir(spark, "counts-state")
-    ingest.replace_at(ingest.daily_counts(_events_stream(spark, sf_dir), "ts", "event_type"), out, state).awaitTermination()
-    return spark.read.parquet(out)
+    counts = ingest.daily_counts(_events_stream(spark, sf_dir), "ts", "event_type", late_days=60)
+    ingest.keep_days(counts, out, state).awaitTermination()
+    return spark.read.schema("source string, n long, day string").parquet(out)
 
 
 @query

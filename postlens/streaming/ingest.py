@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from postlens.operators import views
+from postlens.operators.materialize import cut
 from postlens.operators.store import merge_table
 from postlens.plans.pipeline import run_batch
 
@@ -94,12 +95,22 @@ def run_stream(
 
 
 def keep_first(stream: DataFrame, key: list[str], ts: str, days: int = 21) -> DataFrame:
-    """First row per key within the window; rows later than the watermark are dropped."""
+    """The first row of a key to arrive within the window; rows later than the watermark are dropped.
+
+    Of rows that arrive together any may be the first; where the earliest by time is wanted,
+    see :func:`postlens.sources.landing.keep_first`.
+    """
     return stream.withWatermark(ts, f"{days} days").dropDuplicatesWithinWatermark(key)
 
 
-def daily_counts(events: DataFrame, ts: str, source: str) -> DataFrame:
-    """Rows per source and day; works on a stream and on a table alike."""
+def daily_counts(events: DataFrame, ts: str, source: str, late_days: int | None = None) -> DataFrame:
+    """Rows per source and day; works on a stream and on a table alike.
+
+    On a stream ``late_days`` bounds the state: a day is closed, and its rows no longer
+    counted, that many days after the latest row seen.
+    """
+    if late_days is not None:
+        events = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, f"{late_days} days")
     day = F.window(ts, "1 day")
     return (
         events.groupBy(day.alias("w"), F.col(source).alias("source"))
@@ -118,11 +129,31 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def replace_at(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the complete aggregate at ``path``, rewritten by every batch."""
+def merge_days(changed: DataFrame, path: str) -> None:
+    """Put new counts into the table of days at ``path``; only the days they are of are read and replaced.
+
+    Counts are whole, not increments, so merging the same ones again changes nothing.
+    """
+    spark = changed.sparkSession
+    changed = cut(changed.select("day", "source", "n"), "days-changed")
+    days = [r.day for r in changed.select("day").distinct().collect()]  # those not closed yet
+    if not days:
+        return
+    try:
+        stored = spark.read.schema("source string, n long, day string").parquet(path).where(F.col("day").isin(days))
+        same = (stored["day"] == changed["day"]) & stored["source"].eqNullSafe(changed["source"])
+        changed = cut(stored.join(changed, same, "left_anti").unionByName(changed), "days-staged")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    changed.repartition("day").write.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def keep_days(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep daily counts at ``path``: every batch brings the counts it changed and its days are replaced."""
     return (
-        stream.writeStream.outputMode("complete")
-        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
+        counts.writeStream.outputMode("update")
+        .foreachBatch(lambda df, _: merge_days(df, path))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -108,7 +108,11 @@ def test_whole_run_and_second_run_is_not_new(spark, tmp_path):
     sims = spark.createDataFrame([(1, 0.7), (3, 0.7)], "seq long, similarity double")
     dims = enrich.companies(spark), enrich.ratings(spark)
     path = str(tmp_path / "store")
-    first = run(raw, *dims, sims, TODAY, at(21), path)
+    logs = {"run_id": "r1", "alerts_path": str(tmp_path / "alerts"), "report_path": str(tmp_path / "report")}
+    first = run(raw, *dims, sims, TODAY, at(21), path, **logs)
+    assert [r.job_id for r in spark.read.parquet(logs["alerts_path"]).collect()] == [r.id for r in first.digest.collect()]
+    report = spark.read.parquet(logs["report_path"])
+    assert [(r.section, r.seq) for r in report.select("section", "seq").collect()] == [(1, 1)]
     assert first.stats.first().asDict() == {"canonical": 2, "duplicates": 1, "persisted": 3}
     status = {r.seq: r.status for r in first.postings.collect()}
     assert status == {1: "new", 2: "duplicate", 3: "irrelevant"}

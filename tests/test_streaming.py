@@ -35,3 +35,26 @@ def test_alerts_of_a_repeated_run_are_logged_once(spark, tmp_path):
     for run_id in ("r1", "r2", "r1"):
         views.log_alerts(views.alerts(rows, run_id, "email", F.current_timestamp()), path)
     assert spark.read.parquet(path).count() == 4
+
+
+def test_daily_counts_touch_their_own_days(spark, tmp_path):
+    """Files that bring rows of older and newer days, one a batch; replaying counts changes nothing."""
+    from pyspark.sql import functions as F
+
+    zone, out = str(tmp_path / "events"), str(tmp_path / "days")
+    parts = [[("2026-01-01", "a"), ("2026-01-01", "b"), ("2026-01-02", "a")], [("2026-01-02", "a"), ("2026-01-03", None)], [("2026-01-02", "b"), ("2026-01-03", None)]]
+    for part in parts:
+        rows = spark.createDataFrame([(f"{d} 10:00:00", s) for d, s in part], "ts string, source string").withColumn("ts", F.to_timestamp("ts"))
+        rows.coalesce(1).write.mode("append").parquet(zone)
+    events = spark.read.parquet(zone)
+    stream = ingest.file_stream(spark, zone, events.schema, files_per_batch=1)
+    ingest.keep_days(ingest.daily_counts(stream, "ts", "source", late_days=30), out, str(tmp_path / "state")).awaitTermination()
+
+    def kept():
+        return sorted(((r.day, r.source, r.n) for r in spark.read.schema("source string, n long, day string").parquet(out).collect()), key=str)
+
+    want = sorted(((r.day, r.source, r.n) for r in ingest.daily_counts(events, "ts", "source").collect()), key=str)
+    assert kept() == want and len(want) == 5
+    first = sorted(p.name for p in (tmp_path / "days" / "day=2026-01-01").iterdir())
+    ingest.merge_days(spark.createDataFrame([("2026-01-03", None, 2)], "day string, source string, n long"), out)
+    assert kept() == want and sorted(p.name for p in (tmp_path / "days" / "day=2026-01-01").iterdir()) == first
