@@ -150,26 +150,28 @@ def train(docs: DataFrame) -> Model:
     for each distinct word of a language, wherever its documents lie.
     """
     keys = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 4) != 2)).select("doc_id", "lang")
-    sample = bounded(docs, lowest(keys, TRAIN_DOCS, 7, "lang"), ["doc_id", "lang"])
+    # Written out, so that its real size decides whether it is broadcast.
+    chosen = cut(lowest(keys, TRAIN_DOCS, 7, "lang"), "language-sample")
+    sample = bounded(docs, chosen, ["doc_id", "lang"])
     words = sample.select("text", "lang").mapInArrow(_count_words, "word string, lang string, n long")
     words = words.groupBy("word", "lang").agg(F.sum("n").alias("n"))
     counted = words.mapInArrow(_features, "kind int, feature long, lang string, n long")
     counted = cut(counted.groupBy("kind", "feature", "lang").agg(F.sum("n").alias("n")), "language-counts")
-    rows = counted.toPandas()  # of the bounded sample
-    sums = counted.groupBy("kind", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas()
-    langs = sorted(sums["lang"].unique().tolist())
+    sums = counted.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()
+    langs = sorted({r["lang"] for r in sums})
     code = {x: i for i, x in enumerate(langs)}
+    whole = np.zeros((LONGEST + 1, max(1, len(langs))))
+    for r in sums:
+        whole[r["kind"], code[r["lang"]]] = r["n"]
+    coded = F.array_position(F.lit(langs), F.col("lang")).cast("int") - 1 if langs else F.lit(0)
     tables = []
     for kind in range(LONGEST + 1):
-        mine = rows[rows["kind"] == kind]
-        keys_k, at = np.unique(mine["feature"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+        mine = counted.where(F.col("kind") == kind).select("feature", coded.alias("lang"), "n").toArrow()  # of the bounded sample
+        keys_k, at = np.unique(mine.column("feature").to_numpy().view(np.uint64), return_inverse=True)
         count = np.full((len(keys_k), len(langs)), SMOOTH)
-        np.add.at(count, (at, mine["lang"].map(code).to_numpy(np.int64)), mine["n"].to_numpy(float))
-        whole = np.zeros(len(langs))
-        for r in sums[sums["kind"] == kind].itertuples():
-            whole[code[r.lang]] += r.n
-        tables.append((keys_k, np.log(count / (whole + SMOOTH * (len(keys_k) + 1)))))
-    words = sums[sums["kind"] == 0].set_index("lang")["n"].reindex(langs).fillna(0).to_numpy(float)
+        np.add.at(count, (at, mine.column("lang").to_numpy()), mine.column("n").to_numpy().astype(float))
+        tables.append((keys_k, np.log(count / (whole[kind, : len(langs)] + SMOOTH * (len(keys_k) + 1)))))
+    words = whole[0, : len(langs)]
     return Model(langs, np.log((words + 1) / (words.sum() + max(1, len(langs)))), tables)
 
 
