@@ -765,6 +765,14 @@ c AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS company_id, s_name AS name, n_
     "stream_source_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS source, count(*) AS n FROM events GROUP BY 1, 2",
     "source_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS source, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_first": with_(
+        "e AS MATERIALIZED (SELECT user_id, event_type, ts, epoch_us(ts) AS t, (day(ts) - 1) // 10 + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS wave FROM events), "
+        "marks AS (SELECT w.wave, max(e.t) // 1000 - 3 * 86400000 AS mark FROM (SELECT unnest(range(6)) AS wave) w LEFT JOIN e ON e.wave < w.wave GROUP BY w.wave), "
+        "seen AS MATERIALIZED (SELECT e.*, coalesce(e.t // 1000 <= m.mark, false) AS late FROM e JOIN marks m ON m.wave = e.wave), "
+        "gaps AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id, event_type ORDER BY t) AS gap FROM seen WHERE NOT late)",
+        "SELECT user_id, event_type, ts, 'late' AS kind FROM seen WHERE late UNION ALL "
+        "SELECT user_id, event_type, ts, 'first' AS kind FROM gaps WHERE (gap IS NULL OR gap > 86400000000) AND t // 1000 <= (SELECT mark FROM marks WHERE wave = 5)",
+    ),
     "stream_ingest": with_(
         f"{NORM}, ids AS MATERIALIZED (SELECT *, {_ID} AS id FROM norm)",
         "SELECT id, max(seq) AS seq, arg_max(title, seq) AS title, 'new' AS status, true AS seen_now FROM ids GROUP BY id",

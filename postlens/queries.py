@@ -19,7 +19,7 @@ from postlens.plans.pipeline import score_all
 from postlens.schema import POSTING, conform
 from postlens.session import SETTINGS, scratch_dir, spread
 from postlens.sources import html, json_feeds, landing, xml_feeds
-from postlens.streaming import ingest
+from postlens.streaming import firsts, ingest
 
 QUERIES = {}
 
@@ -1035,6 +1035,20 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(out).select("user_id", "event_type")
 
 
+@query
+def stream_first(spark, sf_dir):
+    """Events land in waves, one in ten of them a wave late; the stream is started again after each."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", C("ts").cast("timestamp").alias("ts"))
+    wave = F.floor((F.dayofmonth("ts") - 1) / 10) + (C("event_id") % 10 == 0).cast("int")
+    zone, out, state = (scratch_dir(spark, n) for n in ("waves", "earliest", "earliest-state"))
+    for k in range(5):
+        events.where(wave == k).write.mode("append").parquet(zone)
+        landed = ingest.file_stream(spark, zone, events.schema, files_per_batch=1_000_000)
+        told = firsts.keep_earliest(landed, ["user_id", "event_type"], "ts", gap_days=1, late_days=3)
+        firsts.start(told, out, state, spark.sparkContext.defaultParallelism).awaitTermination()
+    return spark.read.schema("user_id long, event_type string, ts timestamp, kind string").parquet(out)
+
+
 def _stream_postings(docs: DataFrame) -> DataFrame:
     return store.with_id(normalize.normalize(raw_of(docs), TODAY).drop("description"))
 

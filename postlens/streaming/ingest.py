@@ -97,8 +97,8 @@ def run_stream(
 def keep_first(stream: DataFrame, key: list[str], ts: str, days: int = 21) -> DataFrame:
     """The first row of a key to arrive within the window; rows later than the watermark are dropped.
 
-    Of rows that arrive together any may be the first; where the earliest by time is wanted,
-    see :func:`postlens.sources.landing.keep_first`.
+    Of rows that arrive together any may be the first; for the earliest by time, and the late rows, see
+    :func:`postlens.streaming.firsts.keep_earliest`, on tables :func:`postlens.sources.landing.keep_first`.
     """
     return stream.withWatermark(ts, f"{days} days").dropDuplicatesWithinWatermark(key)
 
