@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from postlens.operators import classify
@@ -17,6 +17,9 @@ from postlens.operators.skew import lookup
 # Statuses a person sets; a re-fetched posting must not undo them.
 HUMAN_STATUSES = ["reviewed", "apply", "applied", "rejected"]
 
+# Parts of each month, by a hash of the id. Part of the layout: a table keeps the number it was written with.
+BUCKETS = 16
+
 
 def table_key() -> list[Column]:
     return [
@@ -145,33 +148,48 @@ def month_of(posted: Column) -> Column:
     return F.coalesce(F.date_format(posted, "yyyy-MM"), F.lit("none"))
 
 
+def bucket_of(row_id: str) -> Column:
+    return F.pmod(F.xxhash64(row_id), F.lit(BUCKETS)).cast("int")
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows with the ``month`` and ``bucket`` they are stored in; both follow from the key."""
+    return rows.withColumns({"month": month_of(F.col("posted_date")), "bucket": bucket_of("id")})
+
+
+def touched(rows: DataFrame) -> Column:
+    """Condition on the stored table: the parts in which ``rows(id, month)`` lie.
+
+    It names partition columns only, so the other parts are not even listed for reading. Months
+    times ``BUCKETS`` bounds what the driver gets.
+    """
+    parts = rows.select("month", bucket_of("id").alias("bucket")).distinct().collect()
+    return F.concat_ws("/", "month", "bucket").isin([f"{p.month}/{p.bucket}" for p in parts])
+
+
 def read_table(spark, path: str, schema) -> DataFrame:
     """The stored table, empty when nothing was written yet."""
     # The month is declared as text: left to inference, '2026-05' could come back as a date.
-    with_month = StructType([*schema.fields, StructField("month", StringType())])
+    with_parts = StructType([*schema.fields, StructField("month", StringType()), StructField("bucket", IntegerType())])
     try:
-        return spark.read.schema(with_month).parquet(path)
+        return spark.read.schema(with_parts).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], with_month)
+        return spark.createDataFrame([], with_parts)
 
 
 def merge_table(path: str, batch: DataFrame, schema, now: Column) -> DataFrame:
-    """Upsert a batch into the table at ``path``, partitioned by posting month.
+    """Upsert a batch into the table at ``path``, partitioned by posting month and bucket of the id.
 
-    The month derives from the key, so only months present in the batch can change: just
-    those partitions are read, merged, staged and replaced. The staged copy is complete
+    Both derive from the key, so only parts present in the batch can change: just those are
+    read, merged, staged and replaced, of undated postings too. The staged copy is complete
     before the table is touched, and replaying it gives the same result.
     """
     spark = batch.sparkSession
     batch = cut(batch.withColumn("month", month_of(F.col("posted_date"))), "merge-batch")
-    months = [r.month for r in batch.select("month").distinct().collect()]  # calendar-bounded
-    stored = read_table(spark, path, schema)
-    stored = stored.where(F.col("month").isin(months)).drop("month")
-    merged = upsert(stored, batch.drop("month"), now)
-    staged = cut(merged.withColumn("month", month_of(F.col("posted_date"))), "merge-staged")
-    _replace_months(staged, path)
+    stored = read_table(spark, path, schema).where(touched(batch)).drop("month", "bucket")
+    _replace_parts(placed(upsert(stored, batch.drop("month"), now)), path, "merge-staged")
     return read_table(spark, path, schema)
 
 
@@ -182,10 +200,10 @@ _MAINTAINED = [
 
 
 def maintain(spark, path: str, schema) -> dict[str, int]:
-    """Re-gate and repair the stored table, replacing only the months in which rows change.
+    """Re-gate and repair the stored table, replacing only the parts in which rows change.
 
     The check reads the few columns it needs; descriptions and scores are read again only for
-    the months to rewrite. Returns how many rows were ``regated``, ``relinked`` and
+    the parts to rewrite. Returns how many rows were ``regated``, ``relinked`` and
     ``promoted``, counted as the changes are written. A second call re-gates those of the
     promoted rows that fail the gates, and a third changes nothing.
     """
@@ -219,19 +237,25 @@ def maintain_table(spark, path: str, schema) -> DataFrame:
 def set_status(spark, path: str, schema, changes: DataFrame, clear: list[str] = ()) -> None:
     """Give the stored rows of ``changes(id, month, _status, _duplicate_of)`` these values, and no value to ``clear``.
 
-    Only the months of the changes are read and replaced.
+    Only the parts the changes lie in are read and replaced.
+    """
+    if changes.isEmpty():
+        return
+    stored = read_table(spark, path, schema).where(touched(changes))
+    joined = stored.join(changes.drop("month").withColumn("_changed", F.lit(True)), "id", "left")
+    for name in ("status", "duplicate_of"):
+        joined = joined.withColumn(name, F.when(F.col("_changed"), F.col(f"_{name}")).otherwise(F.col(name)))
+    for name in clear:
+        joined = joined.withColumn(name, F.when(F.col("_changed"), F.lit(None)).otherwise(F.col(name)))
+    _replace_parts(joined.drop("_status", "_duplicate_of", "_changed"), path, "status-staged")
+
+
+def _replace_parts(rows: DataFrame, path: str, name: str) -> None:
+    """Stage the rows, then put them in place of the parts they are of.
+
+    Staging brings a part's rows together, split again where they are many, so that parts get
+    few files of a good size instead of one from every task.
     """
-    months = [r.month for r in changes.select("month").distinct().collect()]  # calendar-bounded
-    if months:
-        stored = read_table(spark, path, schema).where(F.col("month").isin(months))
-        joined = stored.join(changes.drop("month").withColumn("_changed", F.lit(True)), "id", "left")
-        for name in ("status", "duplicate_of"):
-            joined = joined.withColumn(name, F.when(F.col("_changed"), F.col(f"_{name}")).otherwise(F.col(name)))
-        for name in clear:
-            joined = joined.withColumn(name, F.when(F.col("_changed"), F.lit(None)).otherwise(F.col(name)))
-        _replace_months(cut(joined.drop("_status", "_duplicate_of", "_changed"), "status-staged"), path)
-
-
-def _replace_months(staged: DataFrame, path: str) -> None:
-    writer = staged.write.partitionBy("month").mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    staged = cut(rows.hint("rebalance", F.col("month"), F.col("bucket")), name)
+    writer = staged.write.partitionBy("month", "bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)

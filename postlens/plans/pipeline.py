@@ -52,7 +52,8 @@ def run(
     """``similarity(seq, similarity)`` gives the match to the profile, 0 where it has no row.
 
     With ``alerts_path`` the digest is logged there under ``run_id``, which a repeated run
-    replaces; with ``report_path`` the sections of the report-worthy rows are written there.
+    replaces; it is logged before the table is merged, so that a run taken up again after a failure
+    still finds it new. With ``report_path`` the sections of the report-worthy rows are written there.
 
     Only canonical rows are scored, so losers carry NULL scores. Newness is taken from the
     table before it is merged.
@@ -79,12 +80,13 @@ def run(
     if table_path:
         stored = store.read_table(raw.sparkSession, table_path, POSTING)
         digest = cut(store.new_postings(top, stored), "run-digest").orderBy(*views.by_score())
+    if alerts_path:
+        views.log_alerts(views.alerts(digest, run_id or today.isoformat(), "email", now), alerts_path)
+    if table_path:
         # A copy under the canonical's own key is the same stored row: the canonical's values stay.
         own = (F.col("status") == "duplicate") & (F.col("duplicate_of") == F.col("id"))
         store.merge_table(table_path, postings.where(~F.coalesce(own, F.lit(False))), POSTING, now)
         table = store.maintain_table(raw.sparkSession, table_path, POSTING)
-    if alerts_path:
-        views.log_alerts(views.alerts(digest, run_id or today.isoformat(), "email", now), alerts_path)
     if report_path:
         views.write_report(views.report_sections(cut(top, "run-top")), report_path)
     return Run(postings, top, digest, table, resolve.dedup_stats(resolved))
@@ -117,6 +119,7 @@ def run_batch(
     min_tier: str = "C",
     home_only: bool = True,
     hot_rows: int | None = None,
+    alerts_path: str | None = None,
 ) -> Batch:
     """One batch of the run that goes on: the stored table is as if all batches had come at once.
 
@@ -125,6 +128,8 @@ def run_batch(
     canonical that a better posting replaces becomes a duplicate without scores, and its
     duplicates point to the new one; statuses set by a person stay. Re-gating and orphan repair
     look at the whole table and are left to their own schedule. Repeating a batch changes nothing.
+    The digest is logged to ``alerts_path`` before the table is touched: a batch that failed after it
+    is new again when it is repeated, one that failed later is logged already.
     """
     spark = raw.sparkSession
     own = resolve.own_seq(raw, hot_rows)
@@ -143,6 +148,8 @@ def run_batch(
     stored = store.read_table(spark, table_path, POSTING)
     top = views.select_for_digest(postings.where("status <> 'duplicate'"), min_tier, home_only)
     digest = cut(store.new_postings(top, stored), "batch-digest").orderBy(*views.by_score())
+    if alerts_path:
+        views.log_alerts(views.alerts(digest, f"batch-{batch_id}", "email", now), alerts_path)
     relinked = _relinked(links, postings, stored)
     store.set_status(spark, table_path, POSTING, relinked, clear=SCORES)
     store.merge_table(table_path, postings, POSTING, now)
@@ -152,8 +159,7 @@ def run_batch(
 def _relinked(links: DataFrame, postings: DataFrame, stored: DataFrame) -> DataFrame:
     """``(id, month, _status, _duplicate_of)`` of stored rows outside the batch whose canonical is another by now."""
     moved = cut(links.where("id <> canonical").join(postings.select("id"), "id", "left_anti"), "batch-moved")
-    months = [r.month for r in moved.select("month").distinct().collect()]  # calendar-bounded
-    here = stored.where(F.col("month").isin(months)).select("id", "status", "duplicate_of")
+    here = stored.where(store.touched(moved)).select("id", "status", "duplicate_of")
     other = ~((F.col("status") == "duplicate") & F.col("duplicate_of").eqNullSafe(F.col("canonical")))
     changed = moved.join(here, "id").where(other & ~F.col("status").isin(store.HUMAN_STATUSES))
     return cut(changed.select("id", "month", F.lit("duplicate").alias("_status"), F.col("canonical").alias("_duplicate_of")), "batch-relinked")

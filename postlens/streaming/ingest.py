@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from postlens.operators import views
 from postlens.operators.materialize import cut
 from postlens.operators.store import merge_table
 from postlens.plans.pipeline import run_batch
@@ -85,11 +84,10 @@ def run_stream(
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         taken = batch_clock(spark, f"{checkpoint.rstrip('/')}-clock", batch_id)
-        done = run_batch(
-            to_raw(batch), batch_id, companies, ratings, with_similarity, today, F.lit(taken), table, index, hot_rows=hot_rows
+        run_batch(
+            to_raw(batch), batch_id, companies, ratings, with_similarity, today, F.lit(taken), table, index,
+            hot_rows=hot_rows, alerts_path=alerts,
         )
-        if alerts:
-            views.log_alerts(views.alerts(done.digest, f"batch-{batch_id}", "email", F.lit(taken)), alerts)
 
     return landed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

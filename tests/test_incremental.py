@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from postlens.operators import enrich, incremental, resolve, store
@@ -109,3 +110,27 @@ def test_a_run_from_landed_bodies(spark, tmp_path):
     # The body landed twice is one stored posting, and no row is its own duplicate.
     assert len(table) == 2 and sorted(r.status for r in table.values()) == ["duplicate", "new"]
     assert table["R1"].extra == {"external_path": "/job/1"}
+
+
+def test_alerts_of_a_batch_that_failed_are_logged_when_it_is_repeated(spark, tmp_path, monkeypatch):
+    text = "Lead the site quality team. HACCP, GMP, audit readiness, site leadership."
+    rows = [(1, "official_ats", "Site Quality Manager", "Bega Group", "https://e/1", "JR-1", "Western Sydney NSW", text, "2026-06-18", "$140,000 - $160,000", "bega", None)]
+    raw, dims = spark.createDataFrame(rows, RAW_POSTING), (enrich.companies(spark), enrich.ratings(spark))
+    paths, log = (str(tmp_path / "table"), str(tmp_path / "index")), str(tmp_path / "alerts")
+    similar = lambda df: df.withColumn("similarity", F.lit(0.7))
+    take = lambda: run_batch(raw, 0, *dims, similar, TODAY, F.lit(datetime(2026, 6, 21)), *paths, alerts_path=log)
+    merge = store.merge_table
+    for fails_after in (False, True):  # before anything is stored, and with all of it stored
+
+        def broken(*args, fails_after=fails_after):
+            if fails_after:
+                merge(*args)
+            raise RuntimeError("lost")
+
+        monkeypatch.setattr(store, "merge_table", broken)
+        with pytest.raises(RuntimeError):
+            take()
+        monkeypatch.undo()
+        if fails_after:
+            assert take().digest.count() == 0
+        assert [r.run_id for r in spark.read.parquet(log).collect()] == ["batch-0"]

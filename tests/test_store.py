@@ -56,6 +56,23 @@ def test_merge_table_rewrites_only_touched_months(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "table" / "month=2026-05").iterdir()) == untouched
 
 
+def test_merge_and_maintenance_rewrite_only_touched_buckets(spark, tmp_path):
+    path = str(tmp_path / "table")
+    files = lambda: {p.parent.relative_to(path): p.name for p in (tmp_path / "table").rglob("part-*.parquet")}
+    undated = [posting(i, f"QA Lead {i}", posted_date=None) for i in range(60)]
+    store.merge_table(path, table(spark, [*undated, posting(99, "Quality Manager", "Franklin, WI")]), POSTING, at(1))
+    first = files()
+    assert len(first) == len({(r.month, r.bucket) for r in store.read_table(spark, path, POSTING).collect()}) > 10
+    merged = store.merge_table(path, table(spark, [posting(200, "QA Lead 7", posted_date=None, final_score=9.0)]), POSTING, at(2))
+    second = files()
+    moved = merged.where("final_score = 9").first()
+    assert merged.count() == 61 and moved.seq == 200
+    assert {str(p) for p in first if first[p] != second[p]} == {f"month=none/bucket={moved.bucket}"}
+    assert store.maintain(spark, path, POSTING) == {"regated": 1, "relinked": 0, "promoted": 0}
+    gated = store.read_table(spark, path, POSTING).where("status = 'irrelevant'").first()
+    assert {str(p) for p in files() if files()[p] != second[p]} == {f"month=2026-06/bucket={gated.bucket}"}
+
+
 def test_maintain_table(spark, tmp_path):
     path = str(tmp_path / "table")
     store.merge_table(path, table(spark, [
