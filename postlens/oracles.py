@@ -538,6 +538,20 @@ SQL = {
         "CASE WHEN o.id IS NOT NULL THEN '2026-08-01' ELSE '2026-09-01' END AS first_seen, CASE WHEN n.id IS NOT NULL THEN '2026-09-01' ELSE '2026-08-01' END AS last_seen "
         "FROM v0n o FULL OUTER JOIN batch n ON o.id = n.id",
     ),
+    "store_run": with_(
+        _STORE
+        + """, last AS (SELECT id, title, location FROM b1 WHERE rn = 1), merged AS (SELECT coalesce(o.id, n.id) AS id, coalesce(n.seq, o.seq) AS seq,
+  CASE WHEN o.id IS NOT NULL THEN o.source_job_id ELSE n.source_job_id END AS source_job_id,
+  CASE WHEN o.status IN ('reviewed', 'apply', 'applied', 'rejected') THEN o.status ELSE coalesce(n.status, o.status) END AS status,
+  CASE WHEN n.id IS NOT NULL THEN n.salary_raw ELSE o.salary_raw END AS salary_raw,
+  CASE WHEN n.id IS NOT NULL THEN l.title ELSE o.title END AS title, CASE WHEN n.id IS NOT NULL THEN l.location ELSE o.location END AS location,
+  CASE WHEN o.id IS NOT NULL THEN '2026-08-01' ELSE '2026-09-01' END AS first_seen, CASE WHEN n.id IS NOT NULL THEN '2026-09-01' ELSE '2026-08-01' END AS last_seen
+  FROM v0n o FULL OUTER JOIN batch n ON o.id = n.id LEFT JOIN last l ON l.id = n.id), """
+        f"t AS (SELECT *, ' ' || trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) || ' ' AS tok, lower(title) AS title_lc FROM merged), "
+        f"u AS (SELECT *, {SENIORITY} AS category, {LOCATION_CLASS} AS location_key FROM t)",
+        f"SELECT id, seq, source_job_id, CASE WHEN status = 'new' AND (location_key = 'overseas' OR NOT {RELEVANT}) THEN 'irrelevant' ELSE status END AS status, "
+        "salary_raw, first_seen, last_seen FROM u",
+    ),
     "regate": with_(
         _STORE
         + f", t AS (SELECT *, ' ' || trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) || ' ' AS tok, lower(title) AS title_lc FROM v0n), "

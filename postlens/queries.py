@@ -348,6 +348,16 @@ def upsert_merge(spark, sf_dir):
     return merged.select("id", "seq", "source_job_id", "status", "salary_raw", day("first_seen"), day("last_seen"))
 
 
+@query
+def store_run(spark, sf_dir):
+    """The stored table after an earlier batch, a later one and maintenance."""
+    path = scratch_dir(spark, "store-run")
+    for rows, when in ((stored_v0(spark, sf_dir), datetime(2026, 8, 1)), (batch_v1(spark, sf_dir), datetime(2026, 9, 1))):
+        store.merge_table(path, conform(rows, POSTING).drop("first_seen", "last_seen"), POSTING, F.lit(when))
+    merged = store.maintain_table(spark, path, POSTING)
+    return merged.select("id", "seq", "source_job_id", "status", "salary_raw", day("first_seen"), day("last_seen"))
+
+
 @query
 def regate(spark, sf_dir):
     return store.regate(stored_v0(spark, sf_dir)).select("id", "status")
