@@ -148,7 +148,7 @@ def month_of(posted: Column) -> Column:
     return F.coalesce(F.date_format(posted, "yyyy-MM"), F.lit("none"))
 
 
-def bucket_of(row_id: str) -> Column:
+def bucket_of(row_id: str | Column) -> Column:
     return F.pmod(F.xxhash64(row_id), F.lit(BUCKETS)).cast("int")
 
 
@@ -179,6 +179,13 @@ def read_table(spark, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], with_parts)
 
 
+def find(stored: DataFrame, ids: list[str]) -> DataFrame:
+    """Stored rows with one of a few ids; only the buckets these can lie in are read. Unknown ids give no row."""
+    if not ids:
+        return stored.where(F.lit(False))
+    return stored.where(F.col("bucket").isin([bucket_of(F.lit(i)) for i in ids]) & F.col("id").isin(ids))
+
+
 def merge_table(path: str, batch: DataFrame, schema, now: Column) -> DataFrame:
     """Upsert a batch into the table at ``path``, partitioned by posting month and bucket of the id.
 

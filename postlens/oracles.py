@@ -552,6 +552,10 @@ SQL = {
         f"SELECT id, seq, source_job_id, CASE WHEN status = 'new' AND (location_key = 'overseas' OR NOT {RELEVANT}) THEN 'irrelevant' ELSE status END AS status, "
         "salary_raw, first_seen, last_seen FROM u",
     ),
+    "point_lookup": with_(
+        _STORE,
+        "SELECT id, seq, source_job_id, status, salary_raw FROM v0n WHERE id = (SELECT min(id) FROM v0n) OR id = (SELECT max(id) FROM v0n)",
+    ),
     "regate": with_(
         _STORE
         + f", t AS (SELECT *, ' ' || trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) || ' ' AS tok, lower(title) AS title_lc FROM v0n), "

@@ -358,6 +358,15 @@ def store_run(spark, sf_dir):
     return merged.select("id", "seq", "source_job_id", "status", "salary_raw", day("first_seen"), day("last_seen"))
 
 
+@query
+def point_lookup(spark, sf_dir):
+    """The stored postings of the smallest and the greatest id."""
+    rows = conform(stored_v0(spark, sf_dir), POSTING).drop("first_seen", "last_seen")
+    stored = store.merge_table(scratch_dir(spark, "lookup"), rows, POSTING, F.lit(datetime(2026, 8, 1)))
+    ends = stored.agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+    return store.find(stored, [i for i in ends if i is not None]).select("id", "seq", "source_job_id", "status", "salary_raw")
+
+
 @query
 def regate(spark, sf_dir):
     return store.regate(stored_v0(spark, sf_dir)).select("id", "status")

@@ -66,6 +66,10 @@ def test_merge_and_maintenance_rewrite_only_touched_buckets(spark, tmp_path):
     merged = store.merge_table(path, table(spark, [posting(200, "QA Lead 7", posted_date=None, final_score=9.0)]), POSTING, at(2))
     second = files()
     moved = merged.where("final_score = 9").first()
+    found = store.find(merged, [moved.id, "unknown"])
+    assert [r.seq for r in found.collect()] == [200] and store.find(merged, []).count() == 0
+    scan = next(line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in line)
+    assert "bucket#" in scan.split("PartitionFilters")[1].split("]")[0]
     assert merged.count() == 61 and moved.seq == 200
     assert {str(p) for p in first if first[p] != second[p]} == {f"month=none/bucket={moved.bucket}"}
     assert store.maintain(spark, path, POSTING) == {"regated": 1, "relinked": 0, "promoted": 0}
