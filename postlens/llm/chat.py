@@ -159,9 +159,9 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
 
     ``formatted`` is the window's text, its first ``repeated`` turns repeat earlier ones, and
     ``loss`` lists [begin, end) character ranges of the assistant texts to learn. Windows of a
-    conversation are in the order of (stretch, window). Rows are ordered by turn, then by
-    place in the input for ties; a null turn comes first; repeated rows are turns of their
-    own. A null role or text is empty; null conv_ids form one conversation. A system turn is
+    conversation are in the order of (stretch, window). Rows are ordered by turn, those
+    of one turn by role and a hash of the text, so that the order of files decides nothing; a
+    null turn comes first; repeated rows are turns of their own. A null role or text is empty; null conv_ids form one conversation. A system turn is
     the first turn with that role at the head of a conversation; any other is an ordinary
     turn. Tokens are white-space words plus ``MARK_TOKENS``.
     """
@@ -169,9 +169,9 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     rows = turns.select(
         F.col("conv_id").isNotNull().alias("has_id"), F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv_id"), "turn",
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-        (F.coalesce(words, F.lit(0)) + MARK_TOKENS).cast("long").alias("tokens"), F.monotonically_increasing_id().alias("tie"),
+        (F.coalesce(words, F.lit(0)) + MARK_TOKENS).cast("long").alias("tokens"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("copy"),
     )
-    order = ["has_id", "conv_id", F.col("turn").asc_nulls_first(), "tie"]
+    order = ["has_id", "conv_id", F.col("turn").asc_nulls_first(), "role", "tie", "copy"]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = ranged.withColumn("mid", F.monotonically_increasing_id())
     schema = "has_id boolean, conv_id long, role string, text string, tokens long, mid long, before long"
