@@ -23,7 +23,9 @@ from postlens.operators.materialize import cut
 
 WINDOW = 13
 SHINGLE = 5
-BLOCK_WINDOWS = 250_000  # windows held by a task at once; more are matched block after block
+BLOCK_WINDOWS = 250_000  # windows held by a matcher at once; more are matched block after block
+CHAINED = 4  # matchers that work on one reading of the texts, each in a process of its own
+COUNTED = 8_000_000  # distinct shingles counted in one reading of the texts, 64 MB; overlapping windows share theirs
 HIT_PERCENT = 5
 
 HITS = T.ArrayType(
@@ -60,12 +62,13 @@ class _Lookup:
 
     def __init__(self, keys: np.ndarray):
         self.keys = np.unique(keys)
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        self.low = np.uint64((1 << min(26, max(20, len(self.keys).bit_length() + 3))) - 1)
+        self.seen = np.zeros(int(self.low) + 1, bool)
+        self.seen[(self.keys & self.low).astype(np.int64)] = True
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``hashes`` that are keys, and which key each is."""
-        maybe = np.flatnonzero(self.seen[(hashes & np.uint64(0xFFFFF)).astype(np.int64)])
+        maybe = np.flatnonzero(self.seen[(hashes & self.low).astype(np.int64)])
         at = np.searchsorted(self.keys, hashes[maybe])
         at[at == len(self.keys)] = 0
         real = self.keys[at] == hashes[maybe] if len(self.keys) else np.zeros(len(at), bool)
@@ -143,40 +146,56 @@ def _digest(n_words: list[int], hits: list[list[dict]]) -> list[pa.Array]:
     return [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
 
 
+def _rarity(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """``(gram, n)``: how often the shingles of the windows occur in the documents, 0 left out.
+
+    One reading of the texts counts ``COUNTED`` distinct shingles, far more than the usual
+    benchmarks have together; beyond that, each reading counts its share of the hashes.
+    """
+    grams = cut(windows.select(F.explode("grams").alias("gram")).distinct(), "benchmark-shingles")
+    lengths = [r["size"] for r in windows.select(F.least("size", F.lit(SHINGLE)).alias("size")).distinct().collect()]
+    rounds = max(1, -(-grams.count() // COUNTED))
+    counted = docs.sparkSession.createDataFrame([], "gram long, n long")
+    for r in range(rounds):
+        keys = grams.where(F.pmod("gram", F.lit(rounds)) == r).toPandas()["gram"].to_numpy(np.int64)
+        counted = counted.union(docs.select("text").mapInArrow(_count_grams(keys.view(np.uint64), sorted(lengths)), "gram long, n long"))
+    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``n_words, n_hit, n_items, items_sha256, contaminated``; every row stays.
 
     ``keep`` names the columns to return (all but those five by default). Null or empty
     texts have no words and no hits; items without an id, a text or a word take no part;
-    repeated items and windows count once per item_id. Windows are matched in blocks of
-    ``BLOCK_WINDOWS``, so the memory of a task does not grow with the benchmark; documents
-    are never shuffled. Without any items nothing is hit.
+    repeated items and windows count once per item_id. Without any items nothing is hit.
+
+    The texts are read once to count shingles and once to match them. Windows are matched in
+    blocks of ``BLOCK_WINDOWS``, ``CHAINED`` of them on one reading: the memory of a task
+    does not grow with the benchmark beyond that, as texts and hits so far are then written
+    out and read again. Documents are never shuffled.
     """
     keep = [c for c in docs.columns if c not in _ADDED] if keep is None else keep
     slots = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text")
     windows = slots.mapInArrow(_item_windows, "item_id long, size int, words binary, grams array<long>")
-    n_blocks_of = F.pmod(F.xxhash64("words"), F.lit(1 << 30))
-    windows = cut(windows.distinct().withColumn("spot", n_blocks_of), "benchmark-windows")
-    blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
+    spot = F.pmod(F.xxhash64("words"), F.lit(1 << 30))
+    windows = cut(windows.distinct().withColumn("spot", spot), "benchmark-windows")
+    placed = windows.select("item_id", "size", "words", "spot", F.posexplode("grams").alias("place", "gram"), F.size("grams").alias("of"))
+    ranked = placed.join(_rarity(docs, windows), "gram").groupBy("item_id", "size", "words", "spot", "of").agg(
+        F.count("*").alias("known"), F.min(F.struct("n", "place", "gram")).alias("rarest")
+    )
+    # A window with a shingle that no document has cannot occur.
+    possible = ranked.where("known = of").select("rarest.gram", "rarest.place", "size", "words", "item_id", "spot")
+    possible = cut(possible, "benchmark-prefixes")
+    blocks = max(1, -(-possible.count() // BLOCK_WINDOWS))
     passing = docs.select(*dict.fromkeys([*keep, "text"]))
     for b in range(blocks):
-        block = windows.where(F.pmod("spot", F.lit(blocks)) == b)
-        grams = block.select(F.explode("grams").alias("gram")).distinct().toPandas()["gram"].to_numpy(np.int64)
-        lengths = sorted({min(SHINGLE, r["size"]) for r in block.select("size").distinct().collect()})
-        counted = docs.select("text").mapInArrow(_count_grams(grams.view(np.uint64), lengths), "gram long, n long")
-        rarity = cut(counted.groupBy("gram").agg(F.sum("n").alias("n")), "shingle-counts")
-        placed = block.select("item_id", "size", "words", F.posexplode("grams").alias("place", "gram"), F.size("grams").alias("of"))
-        ranked = placed.join(rarity, "gram").groupBy("item_id", "size", "words", "of").agg(
-            F.count("*").alias("known"), F.min(F.struct("n", "place", "gram")).alias("rarest")
-        )
-        # A window with a shingle that no document has cannot occur.
-        prefixes = [
-            (r["gram"], r["place"], r["size"], bytes(r["words"]), r["item_id"])
-            for r in ranked.where("known = of").select("rarest.gram", "rarest.place", "size", "words", "item_id").collect()
-        ]
+        block = possible.where(F.pmod("spot", F.lit(blocks)) == b)
+        prefixes = [(r["gram"], r["place"], r["size"], bytes(r["words"]), r["item_id"]) for r in block.collect()]
         last = b == blocks - 1
         names = keep if last else list(dict.fromkeys([*keep, "text"]))
         added = [T.StructField(n, t) for n, t in _ADDED.items()] if last else [T.StructField("_dc_hits", HITS)]
         schema = T.StructType([*[docs.schema[n] for n in names], *added])
         passing = passing.mapInArrow(_matcher(prefixes, names, not b, last), schema)
+        if b % CHAINED == CHAINED - 1 and not last:
+            passing = cut(passing, "contamination-so-far")
     return passing

@@ -194,9 +194,10 @@ def expected_hits(docs, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [250_000, 7])
-def test_contamination_agrees_with_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,counted", [(250_000, 8_000_000), (9, 50)])
+def test_contamination_agrees_with_brute_force(spark, monkeypatch, block, counted):
     monkeypatch.setattr(decontam, "BLOCK_WINDOWS", block)
+    monkeypatch.setattr(decontam, "COUNTED", counted)
     rng = random.Random(11)
     word = lambda: rng.choice(["the", "of", "Éa", "x1", "and"]) if rng.random() < 0.5 else f"w{rng.randrange(60)}"
     items = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 4, 5, 9, 13, 14, 30])))) for i in range(12)]
