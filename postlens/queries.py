@@ -5,7 +5,9 @@ Outputs are flat: arrays joined to text, dates as ISO text, doubles rounded.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -655,15 +657,36 @@ def company_sync(spark, sf_dir):
 
 
 # -- landed payloads -----------------------------------------------------------------
-def paged(spark, sf_dir, source: str, base: str, site: str, item: Column, wrap) -> DataFrame:
-    """Landed bodies of 20 postings each, built from the posting rows."""
-    raw = postings_raw(spark, sf_dir).withColumn("page_no", F.floor(C("seq") / 20))
-    pages = raw.groupBy("page_no").agg(F.sort_array(F.collect_list(F.struct("seq", item.alias("item")))).alias("items"))
-    items = F.transform("items", lambda x: x["item"])
-    return pages.select(
-        F.lit(source).alias("source"), F.lit("bega").alias("company_id"), F.lit("Bega Group").alias("company_name"),
-        F.lit(base).alias("base_url"), F.lit(site).alias("site"), "page_no", wrap(items).alias("payload"),
-    )
+class Feed(NamedTuple):
+    """How a site shows its postings: an entry of each, and the body around the entries of a page."""
+
+    source: str
+    base: str
+    site: str
+    item: Column
+    wrap: Callable[[Column], Column]
+
+
+def paged(spark, sf_dir, *feeds: Feed) -> DataFrame:
+    """Landed bodies of 20 postings each, built from the posting rows, with ``feed``, the place among ``feeds``.
+
+    Rows are brought together once, before entries are made of them, so texts are read and moved once for all feeds.
+    """
+    docs = table(spark, sf_dir, "documents")
+    tasks = max(2 * spark.sparkContext.defaultParallelism, 4 * docs.rdd.getNumPartitions())
+    raw = raw_of(docs).withColumn("page_no", F.floor(C("seq") / 20)).repartition(tasks, "page_no")
+    entries = F.struct("seq", *[f.item.alias(f"item{k}") for k, f in enumerate(feeds)])
+    pages = raw.groupBy("page_no").agg(F.sort_array(F.collect_list(entries)).alias("items"))
+
+    def body(k: int, feed: Feed) -> Column:
+        items = F.transform("items", lambda x: x[f"item{k}"])
+        return F.struct(
+            F.lit(feed.source).alias("source"), F.lit("bega").alias("company_id"), F.lit("Bega Group").alias("company_name"),
+            F.lit(feed.base).alias("base_url"), F.lit(feed.site).alias("site"), feed.wrap(items).alias("payload"),
+        )
+
+    told = pages.select("page_no", F.posexplode(F.array(*[body(k, f) for k, f in enumerate(feeds)])).alias("feed", "b"))
+    return told.select("feed", *[C(f"b.{c}") for c in ("source", "company_id", "company_name", "base_url", "site")], "page_no", "b.payload")
 
 
 def struct(**fields: Column) -> Column:
@@ -679,12 +702,12 @@ def complete() -> Column:
     return C("seq") % 17 != 0
 
 
-def workday_pages(spark, sf_dir) -> DataFrame:
+def workday_feed() -> Feed:
     item = struct(
         title=C("title"), externalPath=F.when(complete(), F.concat(F.lit("/job/"), seq_text())), locationsText=C("location"),
         postedOn=C("posted_date_raw"), bulletFields=F.when(C("seq") % 5 != 0, F.array(F.concat(F.lit("R"), seq_text()))).otherwise(F.array().cast("array<string>")),
     )
-    return paged(spark, sf_dir, "official_ats", "https://wd.example.com/", "Careers", item, lambda i: F.to_json(struct(jobPostings=i)))
+    return Feed("official_ats", "https://wd.example.com/", "Careers", item, lambda i: F.to_json(struct(jobPostings=i)))
 
 
 def escaped(column: Column) -> Column:
@@ -693,35 +716,35 @@ def escaped(column: Column) -> Column:
     return column
 
 
-def greenhouse_pages(spark, sf_dir) -> DataFrame:
+def greenhouse_feed() -> Feed:
     body = F.concat(F.lit("<p>"), escaped(C("description")), F.lit("</p>"))
     item = struct(
         id=C("seq"), title=C("title"), absolute_url=F.when(complete() | (C("seq") % 20 == 0), C("apply_url")), location=struct(name=C("location")),
         updated_at=C("posted_date_raw"), content=escaped(body),
     )
-    return paged(spark, sf_dir, "official_ats", "", "", item, lambda i: F.to_json(struct(jobs=i)))
+    return Feed("official_ats", "", "", item, lambda i: F.to_json(struct(jobs=i)))
 
 
-def lever_pages(spark, sf_dir) -> DataFrame:
+def lever_feed() -> Feed:
     item = struct(
         id=F.concat(F.lit("L"), seq_text()), text=C("title"), hostedUrl=F.when(complete(), C("apply_url")),
         categories=struct(location=C("location"), team=F.lit("QA")), createdAt=F.lit(1750118400000) + C("seq") * 7200000,
         descriptionPlain=C("description"),
     )
-    return paged(spark, sf_dir, "official_ats", "", "", item, F.to_json)
+    return Feed("official_ats", "", "", item, F.to_json)
 
 
-def phenom_pages(spark, sf_dir) -> DataFrame:
+def phenom_feed() -> Feed:
     data = struct(
         slug=F.concat(F.lit("slug-"), seq_text()), req_id=F.when(C("seq") % 4 != 0, F.concat(F.lit("Q"), seq_text())), title=C("title"),
         city=F.substring_index("location", " ", 1), state=F.when(C("seq") % 3 == 0, F.lit("NSW")), country=F.lit("Australia"),
         full_location=F.when(C("seq") % 2 == 0, C("location")), posted_date=C("posted_date_raw"),
         apply_url=F.when(C("seq") % 6 == 0, C("apply_url")),
     )
-    return paged(spark, sf_dir, "official_ats", "https://ph.example.com/", "", struct(data=data), lambda i: F.to_json(struct(jobs=i)))
+    return Feed("official_ats", "https://ph.example.com/", "", struct(data=data), lambda i: F.to_json(struct(jobs=i)))
 
 
-def widget_pages(spark, sf_dir) -> DataFrame:
+def widget_feed() -> Feed:
     item = struct(
         title=C("title"), cityState=F.when(C("seq") % 2 == 0, C("location")), city=F.lit("Sydney"),
         country=F.when(C("seq") % 3 == 0, F.lit("Australia")).when(C("seq") % 3 == 1, F.lit("AU")).otherwise(F.lit("Vietnam")),
@@ -730,19 +753,19 @@ def widget_pages(spark, sf_dir) -> DataFrame:
         descriptionTeaser=F.concat(F.lit("<b>"), escaped(C("title")), F.lit("</b> role")), postedDate=C("posted_date_raw"),
     )
     wrap = lambda i: F.to_json(struct(refineSearch=struct(totalHits=F.size(i), data=struct(jobs=i))))
-    return paged(spark, sf_dir, "official_ats", "", "", item, wrap)
+    return Feed("official_ats", "", "", item, wrap)
 
 
-def smart_pages(spark, sf_dir) -> DataFrame:
+def smart_feed() -> Feed:
     item = struct(
         id=F.when(complete(), F.concat(F.lit("S"), seq_text())), name=C("title"), ref=F.lit("r"), releasedDate=C("posted_date_raw"),
         location=struct(city=F.substring_index("location", " ", 1), region=F.when(C("seq") % 2 == 0, F.lit("NSW")), country=F.lit("au")),
         company=F.when(C("seq") % 3 == 0, struct(name=C("company_name"))),
     )
-    return paged(spark, sf_dir, "official_ats", "https://sr.example.com", "board", item, lambda i: F.to_json(struct(content=i)))
+    return Feed("official_ats", "https://sr.example.com", "board", item, lambda i: F.to_json(struct(content=i)))
 
 
-def rss_pages(spark, sf_dir) -> DataFrame:
+def rss_feed() -> Feed:
     def tag(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"<{name}>"), escaped(value), F.lit(f"</{name}>"))
 
@@ -757,10 +780,10 @@ def rss_pages(spark, sf_dir) -> DataFrame:
         F.array_join(i, ""),
         F.when(C("page_no") % 10 == 9, F.lit("</broken>")).otherwise(F.lit("</channel></rss>")),
     )
-    return paged(spark, sf_dir, "official_ats", "", "", item, wrap)
+    return Feed("official_ats", "", "", item, wrap)
 
 
-def card_pages(spark, sf_dir, kind: str) -> DataFrame:
+def card_feed(kind: str) -> Feed:
     def el(tag: str, attrs: str, value: Column) -> Column:
         return F.concat(F.lit(f"<{tag} {attrs}>"), escaped(F.coalesce(value, F.lit(""))), F.lit(f"</{tag}>"))
 
@@ -790,10 +813,10 @@ def card_pages(spark, sf_dir, kind: str) -> DataFrame:
             F.lit('<time datetime="2026-06-18">3 days ago</time></div></li>'),
         )
     wrap = lambda i: F.concat(F.lit("<html><body><ul>"), F.array_join(i, "\n"), F.lit("</ul></body></html>"))
-    return paged(spark, sf_dir, kind, "", "", card, wrap)
+    return Feed(kind, "", "", card, wrap)
 
 
-def state_pages(spark, sf_dir) -> DataFrame:
+def state_feed() -> Feed:
     item = struct(
         id=F.when(complete(), C("seq")), title=C("title"), companyName=F.when(C("seq") % 3 != 0, C("company_name")),
         advertiser=struct(description=F.when(C("seq") % 9 == 0, F.lit("Private Advertiser")).otherwise(C("company_name"))),
@@ -805,7 +828,7 @@ def state_pages(spark, sf_dir) -> DataFrame:
     wrap = lambda i: F.concat(
         F.lit("<html><script>window.SEEK_REDUX_DATA = "), F.when(C("page_no") % 2 == 0, as_list(i)).otherwise(keyed(i)), F.lit(";\nfoo();</script></html>")
     )
-    return paged(spark, sf_dir, "seek", "", "", item, wrap)
+    return Feed("seek", "", "", item, wrap)
 
 
 def feed_rows(rows: DataFrame, label: str, with_description: bool = True) -> DataFrame:
@@ -818,33 +841,33 @@ def feed_rows(rows: DataFrame, label: str, with_description: bool = True) -> Dat
 
 @query
 def ingest_json_list(spark, sf_dir):
-    listed = feed_rows(json_feeds.workday(workday_pages(spark, sf_dir)), "list", False)
-    return listed.unionByName(feed_rows(json_feeds.greenhouse(greenhouse_pages(spark, sf_dir)), "board_jobs"))
+    listed = feed_rows(json_feeds.workday(paged(spark, sf_dir, workday_feed())), "list", False)
+    return listed.unionByName(feed_rows(json_feeds.greenhouse(paged(spark, sf_dir, greenhouse_feed())), "board_jobs"))
 
 
 @query
 def ingest_json_nested(spark, sf_dir):
-    jobs = feed_rows(json_feeds.phenom_jobs(phenom_pages(spark, sf_dir)), "api_jobs", False)
-    widgets = json_feeds.phenom_widgets(widget_pages(spark, sf_dir), country_words=("australia", "au"))
-    smart = json_feeds.smartrecruiters(smart_pages(spark, sf_dir))
+    jobs = feed_rows(json_feeds.phenom_jobs(paged(spark, sf_dir, phenom_feed())), "api_jobs", False)
+    widgets = json_feeds.phenom_widgets(paged(spark, sf_dir, widget_feed()), country_words=("australia", "au"))
+    smart = json_feeds.smartrecruiters(paged(spark, sf_dir, smart_feed()))
     return jobs.unionByName(feed_rows(widgets, "widgets")).unionByName(feed_rows(smart, "content", False))
 
 
 @query
 def ingest_epoch_millis(spark, sf_dir):
-    return feed_rows(json_feeds.lever(lever_pages(spark, sf_dir)), "postings_array")
+    return feed_rows(json_feeds.lever(paged(spark, sf_dir, lever_feed())), "postings_array")
 
 
 @query
 def ingest_xml_items(spark, sf_dir):
-    return feed_rows(xml_feeds.rss(rss_pages(spark, sf_dir)), "rss")
+    return feed_rows(xml_feeds.rss(paged(spark, sf_dir, rss_feed())), "rss")
 
 
 @query
 def feed_files(spark, sf_dir):
     """A folder of feed files: the rows of each, and the broken files by reason."""
     folder = scratch_dir(spark, "feeds")
-    rss_pages(spark, sf_dir).select("payload").write.option("maxRecordsPerFile", 1).text(folder)
+    paged(spark, sf_dir, rss_feed()).select("payload").write.option("maxRecordsPerFile", 1).text(folder)
     rows, errors = xml_feeds.rss_files(spark, f"{folder}/*.txt", "official_ats", "bega", "Bega Group")
     found = rows.select("apply_url", "title", "location", F.lit(None).cast("string").alias("reason"))
     # A file's name is Spark's own, so broken files are counted.
@@ -859,7 +882,7 @@ def ingest_detail_join(spark, sf_dir):
         F.lit("official_ats").alias("source"), F.lit("bega").alias("company_id"),
         F.concat(F.lit("/job/"), seq_text()).alias("detail_key"), body.alias("payload"), F.timestamp_seconds(F.lit(2)).alias("landed_at"),
     )
-    rows = json_feeds.workday(workday_pages(spark, sf_dir))
+    rows = json_feeds.workday(paged(spark, sf_dir, workday_feed()))
     # Another company has details under the same paths, and older ones of this company exist.
     wrong = details.withColumn("payload", F.lit('{"jobPostingInfo":{"jobDescription":"wrong"}}'))
     other = wrong.withColumn("company_id", F.lit("another"))
@@ -869,50 +892,49 @@ def ingest_detail_join(spark, sf_dir):
     return joined.select("apply_url", "title", F.when(C("description").isNotNull(), text.description_hash(C("description"))).alias("body_hash"))
 
 
-def all_pages(spark, sf_dir) -> DataFrame:
-    makers = [workday_pages, greenhouse_pages, lever_pages, phenom_pages, widget_pages, smart_pages, rss_pages, state_pages]
-    union = card_pages(spark, sf_dir, "seek")
-    for make in makers:
-        union = union.unionByName(make(spark, sf_dir))
-    return union
+def all_feeds() -> list[Feed]:
+    makers = [workday_feed, greenhouse_feed, lever_feed, phenom_feed, widget_feed, smart_feed, rss_feed, state_feed]
+    return [card_feed("seek"), *[make() for make in makers]]
 
 
 @query
 def payload_router(spark, sf_dir):
-    landed = all_pages(spark, sf_dir).select("page_no", "payload").unionByName(
+    landed = paged(spark, sf_dir, *all_feeds()).select("page_no", "payload").unionByName(
         table(spark, sf_dir, "pages").select(C("page_id").alias("page_no"), C("html").alias("payload"))
     )
     return landed.groupBy(json_feeds.payload_kind(C("payload")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 def _landed(spark, sf_dir) -> DataFrame:
-    """Bodies of every shape, pages of unknown sites, and what goes wrong: see :func:`_trouble`."""
+    """Bodies of every shape, pages of unknown sites, and what goes wrong: see :func:`_with_trouble`."""
     linked = F.replace("html", F.lit('href="/'), F.lit('href="/job/'))
     raw = table(spark, sf_dir, "pages").select(
         F.lit("site").alias("source"), F.lit(None).cast("string").alias("company_id"), F.lit(None).cast("string").alias("company_name"),
         C("url").alias("base_url"), F.lit("").alias("site"), C("page_id").alias("page_no"), linked.alias("payload"),
     )
+    good = paged(spark, sf_dir, *all_feeds())
     board = F.when(C("source") == "seek", F.lit("https://seek.example.com/")).otherwise(C("base_url"))
-    return cut(all_pages(spark, sf_dir).withColumn("base_url", board).unionByName(raw).unionByName(_trouble(spark, sf_dir)), "landed")
+    return _with_trouble(good.withColumn("base_url", board)).unionByName(raw)
 
 
-def _trouble(spark, sf_dir) -> DataFrame:
-    """Bodies under page numbers that good ones have: landed twice, of another search term,
-    cut off, without links, empty, and of no known shape."""
-    def some(pages: DataFrame, every: int, payload: Column) -> DataFrame:
-        return pages.where(C("page_no") % every == 0).withColumn("payload", payload)
+def _with_trouble(good: DataFrame) -> DataFrame:
+    """The bodies of :func:`all_feeds`, and more under page numbers that these have: landed twice, of another
+    search term, cut off, without links, empty, and of no known shape."""
+    listed, board, lever = (C("feed") == k for k in (1, 2, 3))
 
-    listed, board, lever = (make(spark, sf_dir) for make in (workday_pages, greenhouse_pages, lever_pages))
-    parts = [
+    def some(asked: Column, every: int, payload: Column) -> Column:
+        asked = asked & (C("page_no") % every == 0)
+        return F.struct(asked.alias("asked"), F.when(asked, payload).alias("payload"))
+
+    bodies = F.array(
+        F.struct(F.lit(True).alias("asked"), C("payload").alias("payload")),
         some(listed, 3, C("payload")), some(board, 2, F.replace("payload", F.lit("ex.com/job/"), F.lit("ex.com/term/"))),
         some(lever, 4, F.expr("substring(payload, 1, length(payload) div 2)")),
         some(listed, 5, F.replace("payload", F.lit("externalPath"), F.lit("path"))),
         some(listed, 6, F.lit('{"jobPostings":[]}')), some(listed, 7, F.lit("")), some(listed, 8, F.lit('{"x":1}')),
-    ]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
+    )
+    kept = [c for c in good.columns if c not in ("feed", "payload")]
+    return good.select(*kept, F.explode(F.filter(bodies, lambda b: b["asked"])).alias("b")).select(*kept, "b.payload")
 
 
 @query
@@ -939,9 +961,7 @@ def body_states(spark, sf_dir):
 @query
 def loose_fields(spark, sf_dir):
     """Fields that one feed has, from landed bodies through the run's steps to the stored table."""
-    pages = workday_pages(spark, sf_dir)
-    for make in (phenom_pages, widget_pages, smart_pages):
-        pages = pages.unionByName(make(spark, sf_dir))
+    pages = paged(spark, sf_dir, workday_feed(), phenom_feed(), widget_feed(), smart_feed())
     rows = store.with_id(normalize.normalize(landing.parse_all(pages), TODAY))
     stored = store.merge_table(scratch_dir(spark, "loose"), rows, POSTING, F.lit(datetime(2026, 9, 1)))
     return stored.select("apply_url", *[C("extra")[k].alias(k) for k in ("external_path", "slug", "job_id", "ref")])
@@ -981,7 +1001,7 @@ def html_extract(spark, sf_dir):
     boards = [("seek", html.SEEK_CARDS), ("jora", html.JORA_CARDS), ("linkedin", html.LINKEDIN_CARDS)]
     union = None
     for kind, config in boards:
-        found = html.cards(card_pages(spark, sf_dir, kind), "payload", config, ["page_no"])
+        found = html.cards(paged(spark, sf_dir, card_feed(kind)), "payload", config, ["page_no"])
         rows = html.board_postings(found, kind, f"https://{kind}.example.com").drop("page_no", "pos")
         union = rows if union is None else union.unionByName(rows)
     return union
@@ -998,7 +1018,7 @@ def html_extract_pages(spark, sf_dir):
 
 @query
 def html_embedded_json(spark, sf_dir):
-    rows = html.embedded_json(state_pages(spark, sf_dir).select("page_no", "payload"), "payload", "https://seek.example.com")
+    rows = html.embedded_json(paged(spark, sf_dir, state_feed()).select("page_no", "payload"), "payload", "https://seek.example.com")
     return rows.drop("page_no", "pos")
 
 

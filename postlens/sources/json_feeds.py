@@ -236,16 +236,22 @@ def payload_kind(payload: Column) -> Column:
     text = F.trim(F.coalesce(payload, F.lit("")))
     page = text.rlike(r"(?is)^(<\?xml.*?\?>\s*)?(<!--.*?-->\s*)*<(!doctype\s+html|html)\b")
     rss = ~page & (text.startswith("<?xml") | text.rlike(r"(?i)<rss\b|<item\b"))
+
+    def has(key: str, path: str | None = None) -> Column:
+        """A body without the name, plain or escaped, has no such key and is not parsed for it."""
+        named = text.contains(f'"{key}"') | text.contains("\\u") | text.contains(f"'{key}'")
+        return named & F.get_json_object(text, path or f"$.{key}").isNotNull()
+
     return (
         F.when(text == "", F.lit("empty"))
         .when(F.substring(text, 1, 1) == "[", F.lit("postings_array"))
         .when(
             F.substring(text, 1, 1) == "{",
-            F.when(F.get_json_object(text, "$.refineSearch").isNotNull(), F.lit("widgets"))
-            .when(F.get_json_object(text, "$.jobPostings").isNotNull(), F.lit("list"))
-            .when(F.get_json_object(text, "$.content").isNotNull(), F.lit("content"))
-            .when(F.get_json_object(text, "$.jobs[0].absolute_url").isNotNull(), F.lit("board_jobs"))
-            .when(F.get_json_object(text, "$.jobs").isNotNull(), F.lit("api_jobs"))
+            F.when(has("refineSearch"), F.lit("widgets"))
+            .when(has("jobPostings"), F.lit("list"))
+            .when(has("content"), F.lit("content"))
+            .when(has("absolute_url", "$.jobs[0].absolute_url"), F.lit("board_jobs"))
+            .when(has("jobs"), F.lit("api_jobs"))
             .otherwise(F.lit("unknown_json")),
         )
         .when(rss, F.lit("rss"))

@@ -50,15 +50,15 @@ ROW = [
 _POSITIVE = (1 << 63) - 1
 
 
-def numbered_bodies(payloads: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """``payloads`` with ``body``: a number of their own for all landed bodies, also for equal ones.
+def numbered_bodies(routed: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """``routed`` with ``body``: a number of their own for all landed bodies, also for equal ones.
 
     It is a hash of what landed, so a body has the same number in every run; of n equal bodies
     one has that number and the others hashes of it and 1 to n - 1. Only bodies that repeat
-    are shuffled.
+    are shuffled; which ones do is told from the stored hashes, without the bodies.
     """
-    hashed = payloads.withColumn("_hash", F.xxhash64(*IDENTITY))
-    told = number_copies(hashed, ["_hash"], "_copy", hot_rows)
+    # Equal bodies have one route; as part of the key it lets a reader of one route leave the others out.
+    told = number_copies(routed, ["route", "_hash"], "_copy", hot_rows)
     number = F.when(F.col("_copy") == 0, F.col("_hash")).otherwise(F.xxhash64("_hash", "_copy"))
     return told.withColumn("body", number).drop("_hash", "_copy")
 
@@ -73,17 +73,18 @@ def _board(pages: DataFrame, board: str) -> DataFrame:
     return html.board_postings(found, board, F.regexp_replace("base_url", "/+$", ""), outer=True)
 
 
-def _routed(bodies: DataFrame) -> DataFrame:
+def _routed(payloads: DataFrame) -> DataFrame:
     """The bodies in a folder per ``route``: the shape, or the board whose cards the page should hold.
 
-    A body is looked at once to tell its shape, and each parser then reads its own bodies only.
+    A body is looked at once to tell its shape and its hash, and each parser then reads its own bodies only.
     """
     kind = json_feeds.payload_kind(F.col("payload"))
-    path = scratch_dir(bodies.sparkSession, "routed")
+    path = scratch_dir(payloads.sparkSession, "routed")
     board = (F.col("kind") == "html") & F.coalesce(F.col("source").isin(*html.BOARD_CARDS), F.lit(False))
-    told = bodies.withColumn("kind", kind).withColumn("route", F.when(board, F.col("source")).otherwise(F.col("kind"))).drop("kind")
+    told = payloads.withColumns({"kind": kind, "_hash": F.xxhash64(*IDENTITY)})
+    told = told.withColumn("route", F.when(board, F.col("source")).otherwise(F.col("kind"))).drop("kind")
     told.write.partitionBy("route").parquet(path)
-    return bodies.sparkSession.read.schema(told.schema).parquet(path)
+    return payloads.sparkSession.read.schema(told.schema).parquet(path)
 
 
 def _state(pages: DataFrame) -> DataFrame:
@@ -112,7 +113,7 @@ def account(payloads: DataFrame, hot_rows: int | None = None) -> DataFrame:
     a list without entries. A page of a board goes to the board's cards, any other page to its
     posting links.
     """
-    routed = _routed(numbered_bodies(payloads, hot_rows))
+    routed = numbered_bodies(_routed(payloads), hot_rows)
 
     def of(route: str) -> DataFrame:
         return routed.where(F.col("route") == route)

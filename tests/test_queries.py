@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 
 import __spark_entry__ as entry
+from postlens import queries
 from tools import check
 
 FOLDER = "/root/testdata/sf0.001"
@@ -22,3 +23,8 @@ def agree(spark, name):
 
 def test_normalize_postings_has_the_columns_of_its_sql(spark):
     agree(spark, "normalize_postings")
+
+
+def test_bodies_of_all_feeds_come_from_one_reading_of_the_documents(spark):
+    plan = queries.paged(spark, FOLDER, *queries.all_feeds())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange") == 1

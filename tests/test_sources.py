@@ -168,3 +168,31 @@ def test_rows_that_share_a_number_do_not_multiply(spark):
     done = resolve.deduplicate(normalize(raw, date(2026, 6, 21)), hot_rows=1).collect()
     assert sorted(r.apply_url for r in done) == sorted(u for _, _, u in rows) and len({r.seq for r in done}) == 4
     assert sorted(r.status for r in done) == ["duplicate", "duplicate", "new", "new"]
+
+
+def test_landed_bodies_are_read_once(spark):
+    """Shape, hash and copies are told from one reading, however many bodies repeat."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(payload):
+        seen.add(1)
+        return payload
+
+    bodies = ['{"jobPostings":[]}', '{"jobPostings":[]}', "", '{"x":1}', '{"content":null,"jobs":[{"absolute_url":"u"}]}', "<html></html>"]
+    payloads = landed(spark, *bodies).withColumn("payload", counted.asNondeterministic()("payload"))
+    states = landing.states_of(landing.account(payloads))
+    assert sorted(r.kind for r in states.select("kind").collect()) == ["board_jobs", "empty", "html", "list", "list", "unknown_json"]
+    assert seen.value == len(bodies)
+
+
+def test_shapes_told_without_parsing_are_those_parsing_tells(spark):
+    """Names in other places, escaped or quoted otherwise, and keys without value do not mislead."""
+    kinds = {
+        '{"\\u006aobs":[1]}': "api_jobs", "{'jobPostings':[]}": "list", '{"refineSearch":null,"content":[]}': "content",
+        '{"x":{"jobPostings":[]}}': "unknown_json", '{"x":"\\"content\\":1"}': "unknown_json", '{"jobs":[{"absolute_url":null}]}': "api_jobs",
+        '{"jobPostings":[': "unknown_json",
+    }
+    df = spark.createDataFrame(list(enumerate(kinds)), "i int, payload string")
+    told = df.select("i", json_feeds.payload_kind(F.col("payload")).alias("kind")).orderBy("i").collect()
+    assert [r.kind for r in told] == list(kinds.values())
