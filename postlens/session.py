@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Whole pages and texts go to Python: a batch of them must not grow with the partition.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
 
 

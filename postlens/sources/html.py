@@ -106,6 +106,22 @@ def anchor_postings(pages: DataFrame, html: str, base: str, any_link: bool = Fal
     return rows if outer else rows.drop("usable")
 
 
+# Pages whose cards are held at a time: what a task holds does not grow with its input.
+PAGES_HELD = 100
+
+
+def card_frames(
+    batch: pd.DataFrame, html: str, config: dict[str, list[str]], keep: list[str], outer: bool = False
+) -> Iterator[pd.DataFrame]:
+    """The rows of :func:`cards` for a batch, a frame for every ``PAGES_HELD`` pages."""
+    for first in range(0, len(batch), PAGES_HELD):
+        part, out = batch.iloc[first : first + PAGES_HELD], []
+        for page, *key in zip(part[html], *[part[c] for c in keep]):
+            found = [(pos, row) for pos, row in enumerate(html_tree.extract(page or "", config)) if row.get("title") and row.get("link")]
+            out += [[*key, pos, *[row.get(f) for f in CARD_FIELDS]] for pos, row in found or ([(None, {})] if outer else [])]
+        yield pd.DataFrame(out, columns=[*keep, "pos", *CARD_FIELDS]).astype({"pos": "Int32"})
+
+
 def cards(pages: DataFrame, html: str, config: dict[str, list[str]], keep: list[str], outer: bool = False) -> DataFrame:
     """One row per item with the configured fields; items without title or link are skipped.
 
@@ -117,12 +133,7 @@ def cards(pages: DataFrame, html: str, config: dict[str, list[str]], keep: list[
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for page, *key in zip(batch[html], *[batch[c] for c in keep]):
-                found = [(pos, row) for pos, row in enumerate(html_tree.extract(page or "", config)) if row.get("title") and row.get("link")]
-                out += [[*key, pos, *[row.get(f) for f in CARD_FIELDS]] for pos, row in found or ([(None, {})] if outer else [])]
-            rows = pd.DataFrame(out, columns=[*keep, "pos", *CARD_FIELDS])
-            yield rows.astype({"pos": "Int32"})
+            yield from card_frames(batch, html, config, keep, outer)
 
     return pages.select(*keep, html).mapInPandas(parse, schema)
 

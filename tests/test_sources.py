@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from postlens.operators import resolve
@@ -196,3 +197,12 @@ def test_shapes_told_without_parsing_are_those_parsing_tells(spark):
     df = spark.createDataFrame(list(enumerate(kinds)), "i int, payload string")
     told = df.select("i", json_feeds.payload_kind(F.col("payload")).alias("kind")).orderBy("i").collect()
     assert [r.kind for r in told] == list(kinds.values())
+
+
+def test_cards_are_held_for_few_pages_at_a_time():
+    """A batch of many pages comes out in frames of few, so memory does not grow with the batch."""
+    page = '<article data-automation="normalJob"><a data-automation="jobTitle" href="/job/1">Lead</a></article>'
+    batch = pd.DataFrame({"page_no": range(250), "payload": [page] * 250})
+    frames = list(html.card_frames(batch, "payload", html.SEEK_CARDS, ["page_no"]))
+    assert [len(f) for f in frames] == [100, 100, 50]
+    assert sorted(n for f in frames for n in f["page_no"]) == list(range(250))
