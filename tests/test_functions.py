@@ -160,3 +160,9 @@ def test_vectors_of_another_length_have_no_cosine(spark):
     assert got == {1: 1.0, 2: None, 3: None, 4: None, 5: 0.0}
     built_in = df.select("id", vectors.cosine(F.col("v"), F.array(F.lit(1.0), F.lit(0.0))).alias("s"))
     assert {r.id: r.s for r in built_in.collect()} == got
+
+
+def test_texts_without_entities_are_not_taken_apart(spark):
+    check(spark, text.clean_text, {"a <b>b</b>  c": "a b c", "x &amp;lt; &nope; &": "x &lt; &nope; &", "<i>&eacute;</i>&#65;": "é A"})
+    plan = spark.range(1).select(text.clean_text(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert ", &) THEN" in plan
