@@ -1086,7 +1086,8 @@ def stream_first(spark, sf_dir):
         landed = ingest.file_stream(spark, zone, events.schema, files_per_batch=1_000_000)
         told = firsts.keep_earliest(landed, ["user_id", "event_type"], "ts", gap_days=1, late_days=3)
         firsts.start(told, out, state, spark.sparkContext.defaultParallelism).awaitTermination()
-    return spark.read.schema("user_id long, event_type string, ts timestamp, kind string").parquet(out)
+    told = spark.read.schema("user_id long, event_type string, ts timestamp, kind string").parquet(out)
+    return told.select("user_id", "event_type", "ts", "kind")
 
 
 def _stream_postings(docs: DataFrame) -> DataFrame:

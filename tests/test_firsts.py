@@ -87,3 +87,30 @@ def test_chains_do_not_depend_on_the_order_of_rows():
             chains = firsts.add_time(chains, t, row, 2)
         results.add(tuple(chains))
     assert len(results) == 1
+
+
+def test_rows_before_1970_are_not_late_when_nothing_came_before(spark, tmp_path):
+    day = lambda d: datetime(1969, 1, 1) + timedelta(days=d)
+    rows = [("a", 1, day(3)), ("a", 2, day(1)), ("a", 3, day(9)), (None, 4, day(2)), (None, 5, day(40))]
+    want = [("first", "a", 2, day(1)), ("first", "a", 3, day(9)), ("first", None, 4, day(2))]
+    assert run(spark, tmp_path, "old", [rows[:2], rows[2:]], 5, 7) == sorted(want, key=str)
+
+
+def test_a_repeated_batch_changes_nothing_and_no_key_goes_to_python(spark, tmp_path):
+    """Batches of one hot key and many others, each taken twice."""
+    rng = random.Random(5)
+    day = lambda d: ZERO + timedelta(days=d)
+    batches = []
+    for b in range(3):
+        rows = [("hot", b * 1000 + i, day(b * 4 + rng.random() * 6)) for i in range(800)]
+        batches.append(rows + [(f"k{i}", b * 1000 + 800 + i, day(b * 4 + rng.random() * 6 - 3)) for i in range(200)])
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    told = firsts.keep_earliest(spark.createDataFrame([], SCHEMA), ["k"], "at", 1, 2)
+    for b, rows in enumerate(batches):
+        for _ in range(2):
+            firsts.take(told, spark.createDataFrame(rows, SCHEMA), b, out, state)
+    got = [(r.kind, r.k, r.n, r["at"]) for r in spark.read.schema(f"{SCHEMA}, kind string").parquet(out).collect()]
+    assert sorted(got, key=str) == expected(batches, 1, 2)
+    fresh = firsts._fresh(told, spark.createDataFrame(batches[0], SCHEMA), None)
+    assert fresh.where("key LIKE '%hot%'").count() <= 7  # a row per day, not per row
+    assert "Python" not in firsts._joined(fresh, told.gap)._jdf.queryExecution().toString()
