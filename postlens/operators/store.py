@@ -169,14 +169,23 @@ def touched(rows: DataFrame) -> Column:
 
 def read_table(spark, path: str, schema) -> DataFrame:
     """The stored table, empty when nothing was written yet."""
+    stored = _stored(spark, path, schema)
+    return spark.createDataFrame([], _with_parts(schema)) if stored is None else stored
+
+
+def _with_parts(schema) -> StructType:
     # The month is declared as text: left to inference, '2026-05' could come back as a date.
-    with_parts = StructType([*schema.fields, StructField("month", StringType()), StructField("bucket", IntegerType())])
+    return StructType([*schema.fields, StructField("month", StringType()), StructField("bucket", IntegerType())])
+
+
+def _stored(spark, path: str, schema) -> DataFrame | None:
+    """The stored table, None when nothing was written yet."""
     try:
-        return spark.read.schema(with_parts).parquet(path)
+        return spark.read.schema(_with_parts(schema)).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], with_parts)
+        return None
 
 
 def find(stored: DataFrame, ids: list[str]) -> DataFrame:
@@ -190,13 +199,18 @@ def merge_table(path: str, batch: DataFrame, schema, now: Column) -> DataFrame:
     """Upsert a batch into the table at ``path``, partitioned by posting month and bucket of the id.
 
     Both derive from the key, so only parts present in the batch can change: just those are
-    read, merged, staged and replaced, of undated postings too. The staged copy is complete
-    before the table is touched, and replaying it gives the same result.
+    read, merged and replaced, of undated postings too. The new parts are complete before the table
+    is touched, and replaying it gives the same result. A first batch has nothing to be merged with and is
+    written as it comes, once.
     """
     spark = batch.sparkSession
-    batch = cut(batch.withColumn("month", month_of(F.col("posted_date"))), "merge-batch")
-    stored = read_table(spark, path, schema).where(touched(batch)).drop("month", "bucket")
-    _replace_parts(placed(upsert(stored, batch.drop("month"), now)), path, "merge-staged")
+    stored = _stored(spark, path, schema)
+    if stored is None:
+        stored = spark.createDataFrame([], schema)
+    else:
+        batch = cut(batch.withColumn("month", month_of(F.col("posted_date"))), "merge-batch")
+        stored, batch = stored.where(touched(batch)).drop("month", "bucket"), batch.drop("month")
+    _replace_parts(placed(upsert(stored, batch, now)), path)
     return read_table(spark, path, schema)
 
 
@@ -254,15 +268,17 @@ def set_status(spark, path: str, schema, changes: DataFrame, clear: list[str] =
         joined = joined.withColumn(name, F.when(F.col("_changed"), F.col(f"_{name}")).otherwise(F.col(name)))
     for name in clear:
         joined = joined.withColumn(name, F.when(F.col("_changed"), F.lit(None)).otherwise(F.col(name)))
-    _replace_parts(joined.drop("_status", "_duplicate_of", "_changed"), path, "status-staged")
+    _replace_parts(joined.drop("_status", "_duplicate_of", "_changed"), path)
 
 
-def _replace_parts(rows: DataFrame, path: str, name: str) -> None:
-    """Stage the rows, then put them in place of the parts they are of.
+def _replace_parts(rows: DataFrame, path: str) -> None:
+    """Put the rows in place of the parts they are of; they may come from these parts.
 
-    Staging brings a part's rows together, split again where they are many, so that parts get
-    few files of a good size instead of one from every task.
+    Spark stages the new parts in a folder beside them and moves them when the last row is
+    written, so nothing that is read goes before, and the rows are written once. Their parts are brought
+    together, split again where they are many, so that parts get few files of a good size instead
+    of one from every task.
     """
-    staged = cut(rows.hint("rebalance", F.col("month"), F.col("bucket")), name)
-    writer = staged.write.partitionBy("month", "bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    together = rows.hint("rebalance", F.col("month"), F.col("bucket"))
+    writer = together.write.partitionBy("month", "bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)

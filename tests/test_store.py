@@ -148,3 +148,19 @@ def test_plans_broadcast_pack_tables(spark):
     raw = spark.createDataFrame([], RAW_POSTING)
     plan = enrich.enrich_companies(raw, enrich.companies(spark))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_whole_rows_are_written_once_for_every_change(spark, tmp_path, monkeypatch):
+    """No copy of the texts is set aside by a first merge or by maintenance, and a later merge sets aside its batch alone."""
+    aside, real = [], store.cut
+    monkeypatch.setattr(store, "cut", lambda df, name: ("description" in df.columns and aside.append(name)) or real(df, name))
+    path = str(tmp_path / "table")
+    rows = [posting(i, f"QA Lead {i}", description="text") for i in range(40)] + [posting(99, "Quality Manager", "Franklin, WI")]
+    store.merge_table(path, table(spark, rows), POSTING, at(1))
+    assert store.maintain(spark, path, POSTING) == {"regated": 1, "relinked": 0, "promoted": 0}
+    assert aside == []
+    merged = store.merge_table(path, table(spark, [posting(200, "QA Lead 7", final_score=9.0)]), POSTING, at(2))
+    assert aside == ["merge-batch"]
+    got = {r.title: r for r in merged.collect()}
+    assert len(got) == 41 and got["QA Lead 7"].seq == 200 and got["QA Lead 8"].description == "text"
+    assert got["Quality Manager"].status == "irrelevant" and got["QA Lead 7"].first_seen == datetime(2026, 6, 1)
