@@ -1108,18 +1108,20 @@ def stream_ingest(spark, sf_dir):
 
 @query
 def stream_run(spark, sf_dir):
-    """The whole run over three files, one after the other: the table as one run over all would leave it."""
+    """The whole run over three lots of files, one after the other: the table as one run over all would leave it.
+
+    A lot lands as many files as tasks read it; the stream is started again after each, so a lot is a batch.
+    """
     docs = table(spark, sf_dir, "documents")
-    landing_zone = scratch_dir(spark, "landing")
     third = -(-docs.count() // 9) * 3  # documents come in groups of three
+    landing_zone, out, index, state = (scratch_dir(spark, n) for n in ("landing", "run-table", "run-index", "run-state"))
     for k in range(3):
         part = docs.where((C("doc_id") >= k * third) & ((C("doc_id") < (k + 1) * third) | F.lit(k == 2)))
-        part.coalesce(1).write.mode("append").parquet(landing_zone)
-    out, index, state = (scratch_dir(spark, n) for n in ("run-table", "run-index", "run-state"))
-    landed = ingest.file_stream(spark, landing_zone, docs.schema, files_per_batch=1)
-    ingest.run_stream(
-        landed, raw_of, enrich.companies(spark), enrich.ratings(spark), lambda df: with_similarity(df, spark, sf_dir), TODAY, out, index, state
-    ).awaitTermination()
+        part.write.mode("append").parquet(landing_zone)
+        landed = ingest.file_stream(spark, landing_zone, docs.schema, files_per_batch=1_000_000)
+        ingest.run_stream(
+            landed, raw_of, enrich.companies(spark), enrich.ratings(spark), lambda df: with_similarity(df, spark, sf_dir), TODAY, out, index, state
+        ).awaitTermination()
     stored = store.read_table(spark, out, POSTING)
     return stored.select("id", "status", "duplicate_of", "priority_tier", *rounded("final_score"))
 

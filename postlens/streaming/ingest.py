@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 from postlens.operators.materialize import cut
 from postlens.operators.store import merge_table
 from postlens.plans.pipeline import run_batch
+from postlens.session import spread
 
 
 def file_stream(spark: SparkSession, table: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -78,14 +79,15 @@ def run_stream(
 
     Every batch resolves, scores and stores its postings against what is there (see
     :func:`postlens.plans.pipeline.run_batch`) and logs its digest to ``alerts``. A replayed
-    batch has its first time and number, so table, index and log stay as they were.
+    batch has its first time and number, so table, index and log stay as they were. A file that few
+    tasks would read, as one of few row groups, is dealt over all cores before its texts are worked on.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         taken = batch_clock(spark, f"{checkpoint.rstrip('/')}-clock", batch_id)
         run_batch(
-            to_raw(batch), batch_id, companies, ratings, with_similarity, today, F.lit(taken), table, index,
+            to_raw(spread(batch)), batch_id, companies, ratings, with_similarity, today, F.lit(taken), table, index,
             hot_rows=hot_rows, alerts_path=alerts,
         )
 

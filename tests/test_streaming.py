@@ -58,3 +58,16 @@ def test_daily_counts_touch_their_own_days(spark, tmp_path):
     first = sorted(p.name for p in (tmp_path / "days" / "day=2026-01-01").iterdir())
     ingest.merge_days(spark.createDataFrame([("2026-01-03", None, 2)], "day string, source string, n long"), out)
     assert kept() == want and sorted(p.name for p in (tmp_path / "days" / "day=2026-01-01").iterdir()) == first
+
+
+def test_a_file_of_one_row_group_is_worked_on_by_all_cores(spark, tmp_path, monkeypatch):
+    from datetime import date
+
+    seen = []
+    monkeypatch.setattr(ingest, "run_batch", lambda raw, *args, **more: seen.append((raw.rdd.getNumPartitions(), raw.count())))
+    zone, state = str(tmp_path / "zone"), str(tmp_path / "state")
+    for k in range(2):
+        spark.range(k * 500, k * 500 + 500).coalesce(1).write.mode("append").parquet(zone)
+        landed = ingest.file_stream(spark, zone, spark.range(1).schema, files_per_batch=1_000_000)
+        ingest.run_stream(landed, lambda b: b, None, None, None, date(2026, 6, 21), "table", "index", state).awaitTermination()
+    assert seen == [(spark.sparkContext.defaultParallelism, 500)] * 2
