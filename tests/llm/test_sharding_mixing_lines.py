@@ -228,3 +228,38 @@ def test_op2_columns(spark):
     for r in rows:
         raw = docs[r["doc_id"]].encode()
         assert (r["size"], r["text_crc32"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), None)
+
+
+def test_windows_carry_a_hash_of_the_text_only_where_a_doc_id_has_several(spark, monkeypatch):
+    same = "One line here. Another line there. A third line too. "
+    carried, real = {}, linededup.cut
+    monkeypatch.setattr(linededup, "cut", lambda df, name: carried.update({name: {r[0] for r in df.select("_ld_hash").collect()}}) or real(df, name))
+
+    def removed(docs):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        return sorted((r["doc_id"] or -1, r["text"], r["n_removed"]) for r in linededup.dedup_lines(df).collect())
+
+    assert removed([(1, same + "End one."), (2, same + "End two."), (2, same + "End two."), (None, same + "End none.")]) == [
+        (-1, same + "End none.", 0), (1, "End one.", 3), (2, "End two.", 3), (2, "End two.", 3)
+    ]
+    assert carried == {"line-windows": {0}, "line-repeats": {0}, "line-starts": {0}}
+    got = removed([(1, same + "End one."), (2, "New start. " + same), (2, same + "End two.")])
+    assert [(i, n) for i, _, n in got] == [(1, 0), (2, 3), (2, 3)] and len(carried["line-windows"]) == 3
+
+
+def test_only_texts_that_may_have_repeats_are_shuffled(spark, monkeypatch):
+    """A filter that lets nearly all pass, and one that is exact, give the same rows; texts outside it meet no exchange."""
+    same = "One line here. Another line there. A third line too. "
+    docs = [(i, f"Own start {i}. Own middle {i}. Own end {i}. " + (same if i % 5 == 0 else "")) for i in range(60)]
+    df = spark.createDataFrame([*docs, (None, same), (None, same + "End.")], "doc_id long, text string").repartition(3)
+    told = {}
+    for words in (1, 1 << 18):
+        monkeypatch.setattr(linededup, "FILTER_WORDS", words)
+        told[words] = sorted(((r["doc_id"] if r["doc_id"] is not None else -9, r["text"], r["n_removed"]) for r in linededup.dedup_lines(df).collect()), key=str)
+    assert told[1] == told[1 << 18] and len(told[1]) == 62
+    assert sorted(i for i, _, n in told[1] if n == 3) == sorted([-9, *[i for i, _ in docs if i % 5 == 0]])
+    starts = spark.createDataFrame([(7, 0, [0])], "_ld_id long, _ld_hash long, _ld_starts array<int>")
+    plain = spark.createDataFrame([(i, "x") for i in range(100)], "doc_id long, text string")
+    out = linededup._with_starts(plain, F.lit(0).cast("long"), starts)
+    assert [r["doc_id"] for r in out.where("_ld_starts IS NOT NULL").collect()] == [7] and out.count() == 100
+    assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()
